@@ -22,11 +22,13 @@ def parse_logs(df: DataFrame, column: str, output: str = "logs") -> DataFrame:
     return df.withColumn(output, F.from_json(column, "map<string,double>"))
 
 
-def _is_point() -> Column:
+def is_point() -> Column:
+    """A log event that carries values."""
     return (F.col("kind") == LOG) & (F.coalesce(F.size("logs"), F.lit(0)) > 0)
 
 
-def _point_columns(df: DataFrame) -> list[Column]:
+def point_columns(df: DataFrame) -> list[Column]:
+    """Metrics under their usual names; 0.0 is a value, only null falls through."""
     log = F.col("logs")
     epoch = [log["epoch"], *([F.col("epoch")] if "epoch" in df.columns else [])]
     return [
@@ -42,7 +44,7 @@ def _point_columns(df: DataFrame) -> list[Column]:
 
 def metric_points(events: DataFrame) -> DataFrame:
     """One point per non-empty log event."""
-    return events.where(_is_point()).select("run_id", "seq", *_point_columns(events))
+    return events.where(is_point()).select("run_id", "seq", *point_columns(events))
 
 
 def _last_begin(events: DataFrame) -> DataFrame:
@@ -73,9 +75,9 @@ def latest_state(events: DataFrame) -> DataFrame:
 
     One aggregate with a constant-size buffer per run, so it also serves as the stream form.
     """
-    point = F.struct(F.col("seq"), *_point_columns(events))
+    point = F.struct(F.col("seq"), *point_columns(events))
     latest = events.groupBy("run_id").agg(
-        F.max_by(point, F.when(_is_point(), F.col("seq"))).alias("p"),
+        F.max_by(point, F.when(is_point(), F.col("seq"))).alias("p"),
         F.max(F.when(F.col("kind") == TRAIN_BEGIN, F.col("seq"))).alias("b"),
     )
     alive = F.when(F.col("b").isNull() | (F.col("p.seq") > F.col("b")), F.col("p"))
@@ -132,12 +134,12 @@ def run_status(events: DataFrame) -> DataFrame:
     def last(*kinds: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("kind").isin(*kinds), F.col("seq"))), F.lit(-1))
 
-    point = F.struct(F.col("seq"), *_point_columns(events))
+    point = F.struct(F.col("seq"), *point_columns(events))
     runs = events.groupBy("run_id").agg(
         last(TRAIN_BEGIN).alias("begin"),
         last(TRAIN_END).alias("end"),
         last(FAILURE).alias("failure"),
-        F.max_by(point, F.when(_is_point(), F.col("seq"))).alias("p"),
+        F.max_by(point, F.when(is_point(), F.col("seq"))).alias("p"),
     )
     status = (
         F.when((F.col("begin") >= 0) & (F.col("begin") > F.greatest("end", "failure")), "running")

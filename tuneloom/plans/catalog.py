@@ -20,6 +20,7 @@ from tuneloom.operators.prompts import (
 from tuneloom.operators.scale import previous_row
 from tuneloom.operators.scoring import (
     group_advantage,
+    long_rewards,
     mean_reward,
     score_group_reward,
     score_rewards,
@@ -474,18 +475,37 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = views.log_events(_stream(spark, sf_dir, "events"))
     path = scratch_path(spark, "stream-latest")
-    streams.latest_stream(events, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
-    return streams.current_latest(spark, f"{path}/rows").select("run_id", "seq", "step", "loss", "reward")
+    live = streams.latest_table(f"{path}/rows")
+    streams.latest_stream(events, live, f"{path}/checkpoint").awaitTermination()
+    return streams.current_latest(spark, live).select("run_id", "seq", "step", "loss", "reward")
 
 
 @query
 def stream_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = views.log_events(_stream(spark, sf_dir, "events"))
     path = scratch_path(spark, "stream-ring")
-    history.history_stream(events, f"{path}/rows", f"{path}/checkpoint", max_points=3).awaitTermination()
-    ring = history.current_history(spark, f"{path}/rows", max_points=3)
+    live = history.history_table(f"{path}/rows", max_points=3)
+    history.history_stream(events, live, f"{path}/checkpoint").awaitTermination()
+    ring = history.current_history(spark, live)
     return ring.select("run_id", "seq", "step", "loss", "reward")
 
 
+@query
+def stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First answers of every ten dialogues per reward; the whole table is one batch here."""
+    scored = score_rewards(views.answer_rows(_stream(spark, sf_dir, "conversations")), REWARDS)
+    placed = scored.select(
+        F.lit("run").alias("run_id"),
+        F.floor(F.col("conv_id") / 10).alias("step"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"),
+        "completion",
+        *REWARD_NAMES,
+    )
+    path = scratch_path(spark, "stream-capture")
+    streams.capture_stream(long_rewards(placed, REWARD_NAMES), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    captured = spark.read.parquet(f"{path}/rows")
+    return captured.select("step", "reward_name", "pos", "completion", "reward")
+
+
 def queries() -> dict[str, Query]:
     return dict(_REGISTRY)

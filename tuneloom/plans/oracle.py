@@ -211,6 +211,14 @@ def oracle_sql() -> dict[str, str]:
         "stream_format": alpaca,
         "stream_score": f"""with {ANSWERS} select conv_id, turn, {LENGTH} as length_reward,
             {REGEX} as regex_format_reward, {CONTAINS} as contains_reward from answers""",
+        "stream_capture": f"""with {ANSWERS}, scored as (
+              select *, {LENGTH} as r1, {REGEX} as r2, {CONTAINS} as r3 from answers),
+            samples as (
+              select conv_id // 10 as step, conv_id * 1000 + turn as pos, completion, u.n as reward_name, u.r as reward
+              from (select *, unnest([{{'n': 'length_reward', 'r': r1}}, {{'n': 'regex_format_reward', 'r': r2}},
+                                      {{'n': 'contains_reward', 'r': r3}}]) as u from scored))
+            select step, reward_name, pos, completion, reward from samples
+            qualify row_number() over (partition by step, reward_name order by pos) <= 4""",
         "stream_latest": LATEST,
         "stream_ring": RING,
     }

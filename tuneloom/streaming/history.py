@@ -1,103 +1,51 @@
 """Live bounded history per run.
 
-A run is kept in several shards so that one busy run does not end up in a single task. A
-shard remembers its own last ``max_points`` points and the latest run start it has seen;
-reading merges the few shards of a run.
+The history of a run is a fold: its newest points, and where it started last. Each
+micro-batch is cut to that on the map side before anything is shuffled, so a run that sends
+a third of all events costs no task more than its share, and nothing leaves the JVM.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-from itertools import chain
-from typing import Any
-
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tuneloom.operators.scale import top_n
-from tuneloom.operators.telemetry import LOG, MAX_POINTS, TRAIN_BEGIN, _is_point, _point_columns
-from tuneloom.streaming.streams import current_emissions, emission_stream
-
-POINT_COLUMNS = ["seq", "step", "loss", "learning_rate", "grad_norm", "epoch", "reward", "ts"]
-
-
-class HistoryProcessor(StatefulProcessor):
-    """Last points of one (run, shard), oldest first."""
-
-    def __init__(self, point_schema: T.StructType, max_points: int):
-        self.point_schema = point_schema
-        self.max_points = max_points
+from tuneloom.operators.telemetry import LOG, MAX_POINTS, TRAIN_BEGIN, is_point, point_columns
+from tuneloom.streaming.folded import FOLD_EVERY, FoldedTable
+from tuneloom.streaming.streams import batch_stream
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.points = handle.getListState("points", self.point_schema)
-        self.begin = handle.getValueState("begin", T.StructType([T.StructField("seq", T.LongType())]))
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        run_id, shard = key
-        stored = self.begin.get()
-        begin = begin_before = stored[0] if stored else -1
+def _fold(max_points: int):
+    def fold(rows: DataFrame) -> DataFrame:
+        begins = (
+            rows.where(F.col("kind") == TRAIN_BEGIN)
+            .groupBy("run_id", "kind")
+            .agg(F.max("seq").alias("seq"))
+        )
+        newest = top_n(rows.where(F.col("kind") == LOG), max_points, [F.desc("seq")], ["run_id"])
+        started = begins.select("run_id", F.col("seq").alias("__begin"))
+        alive = newest.join(started, "run_id", "left").where(
+            F.col("__begin").isNull() | (F.col("seq") > F.col("__begin"))
+        )
+        return alive.drop("__begin").unionByName(begins, allowMissingColumns=True)
 
-        def arrived() -> Iterator[tuple]:
-            nonlocal begin
-            for row in rows:
-                if row["kind"] == TRAIN_BEGIN:
-                    begin = max(begin, row["seq"])
-                else:
-                    yield tuple(row[name] for name in POINT_COLUMNS)
+    return fold
 
-        # The heap behind nlargest never holds more than max_points points.
-        newest = heapq.nlargest(
-            self.max_points, chain(map(tuple, self.points.get()), arrived()), key=lambda point: point[0]
-        )
-        kept = [point for point in reversed(newest) if point[0] > begin]
-        if begin > begin_before:
-            self.begin.update((begin,))
-        if kept:
-            self.points.put(kept)
-        else:
-            self.points.clear()
-        for point in kept:
-            yield Row(run_id, shard, LOG, *point)
-        yield Row(run_id, shard, TRAIN_BEGIN, begin, *[None] * (len(POINT_COLUMNS) - 1))
 
-    def close(self) -> None:
-        pass
+def history_table(path: str, max_points: int = MAX_POINTS, fold_every: int = FOLD_EVERY) -> FoldedTable:
+    return FoldedTable(path, _fold(max_points), fold_every)
 
 
 def history_stream(
-    events: DataFrame,
-    path: str,
-    checkpoint: str,
-    max_points: int = MAX_POINTS,
-    shards: int = 8,
-    interval: str | None = None,
+    events: DataFrame, table: FoldedTable, checkpoint: str, interval: str | None = None
 ) -> StreamingQuery:
-    """Maintain the last points of every run; read them back with ``current_history``."""
-    relevant = events.where(_is_point() | (F.col("kind") == TRAIN_BEGIN)).select(
-        "run_id",
-        F.pmod(F.xxhash64("seq"), F.lit(shards)).cast("int").alias("shard"),
-        "kind",
-        "seq",
-        *_point_columns(events),
-    )
-    point_schema = T.StructType([relevant.schema[name] for name in POINT_COLUMNS])
-    point_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in point_schema])
-    output = T.StructType([relevant.schema[n] for n in ("run_id", "shard", "kind")] + list(point_schema))
-    output = T.StructType([T.StructField(f.name, f.dataType, True) for f in output])
-    state = relevant.groupBy("run_id", "shard").transformWithState(
-        statefulProcessor=HistoryProcessor(point_schema, max_points),
-        outputStructType=output,
-        outputMode="Update",
-        timeMode="None",
+    """Maintain the last points of every run since its latest start, in a ``history_table``."""
+    rows = events.where(is_point() | (F.col("kind") == TRAIN_BEGIN)).select(
+        "run_id", "kind", "seq", *point_columns(events)
     )
-    return emission_stream(state, path, checkpoint, interval)
+    return batch_stream(rows, table.write, checkpoint, interval)
 
 
-def current_history(spark: SparkSession, path: str, max_points: int = MAX_POINTS) -> DataFrame:
-    """Merge the shards: points after the run's latest start, the last ``max_points``."""
-    emitted = current_emissions(spark, path, ["run_id", "shard"])
-    begin = emitted.where(F.col("kind") == TRAIN_BEGIN).groupBy("run_id").agg(F.max("seq").alias("__begin"))
-    points = emitted.where(F.col("kind") == LOG).join(begin, "run_id", "left")
-    alive = points.where(F.col("seq") > F.coalesce("__begin", F.lit(-1)))
-    return top_n(alive.select("run_id", *POINT_COLUMNS), max_points, [F.desc("seq")], ["run_id"])
+def current_history(spark: SparkSession, table: FoldedTable) -> DataFrame:
+    return table.read(spark).where(F.col("kind") == LOG).drop("kind")

@@ -1,20 +1,16 @@
-"""Streaming forms of formatting, scoring, capture and telemetry.
-
-Queries that change earlier results (latest point, history) write *emissions*: every
-micro-batch appends the new state of the keys it touched under ``batch=<id>``. A batch that
-is run again overwrites its own folder, and readers take the newest emission of each key.
-"""
+"""Streaming forms of formatting, scoring, capture and the latest point of a run."""
 
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tuneloom.operators.capture import capture_samples
 from tuneloom.operators.telemetry import latest_state
+from tuneloom.streaming.folded import FOLD_EVERY, FoldedTable
 
 logger = logging.getLogger(__name__)
 
@@ -39,32 +35,45 @@ def append_stream(
     return _trigger(writer, interval).start(path)
 
 
-def emission_stream(
-    df: DataFrame, path: str, checkpoint: str, interval: str | None = None, output_mode: str = "update"
+def batch_stream(
+    df: DataFrame,
+    write: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    interval: str | None = None,
+    output_mode: str = "append",
 ) -> StreamingQuery:
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
+    """Hand every micro-batch to ``write``, which must bear being called again for a batch."""
     writer = df.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
     return _trigger(writer.foreachBatch(write), interval).start()
 
 
-def current_emissions(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """The newest emission of every key."""
-    emitted = spark.read.parquet(path)
-    newest = emitted.groupBy(*keys).agg(F.max("batch").alias("batch"))
-    return emitted.join(newest, [*keys, "batch"]).drop("batch")
+def latest_table(path: str, fold_every: int = FOLD_EVERY) -> FoldedTable:
+    def fold(rows: DataFrame) -> DataFrame:
+        columns = [c for c in rows.columns if c not in ("run_id", "emitted")]
+        newest = F.max_by(F.struct(*columns), "emitted").alias("p")
+        return rows.groupBy("run_id").agg(newest, F.max("emitted").alias("emitted")).select(
+            "run_id", "p.*", "emitted"
+        )
+
+    return FoldedTable(path, fold, fold_every)
 
 
 def latest_stream(
-    events: DataFrame, path: str, checkpoint: str, interval: str | None = None
+    events: DataFrame, table: FoldedTable, checkpoint: str, interval: str | None = None
 ) -> StreamingQuery:
-    """Keep the latest point of every run; read it back with ``current_latest``."""
-    return emission_stream(latest_state(events), path, checkpoint, interval)
+    """Maintain the latest point of every run since its latest start, in a ``latest_table``.
 
+    The streaming aggregate keeps one row of state per run and emits the runs that changed.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        table.write(batch.withColumn("emitted", F.lit(batch_id).cast("bigint")), batch_id)
 
-def current_latest(spark: SparkSession, path: str) -> DataFrame:
-    return current_emissions(spark, path, ["run_id"]).where(F.col("seq").isNotNull())
+    return batch_stream(latest_state(events), write, checkpoint, interval, output_mode="update")
+
+
+def current_latest(spark: SparkSession, table: FoldedTable) -> DataFrame:
+    return table.read(spark).where(F.col("seq").isNotNull()).drop("emitted")
 
 
 def guarded(work: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
@@ -95,5 +104,4 @@ def capture_stream(
     def write(batch: DataFrame, batch_id: int) -> None:
         capture_samples(batch, **options).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    writer = scored.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-    return _trigger(writer.foreachBatch(write), interval).start()
+    return batch_stream(scored, write, checkpoint, interval)
