@@ -1,0 +1,136 @@
+import random
+import re
+
+import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from tuneloom.functions import text as T
+from tuneloom.functions.patterns import NotPortable, to_spark_pattern
+
+ALPHABET = T.WHITESPACE + "aB.é中😀'"
+TEXTS = st.lists(st.text(alphabet=ALPHABET, max_size=12), min_size=1, max_size=200)
+RELAXED = settings(
+    max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
+
+
+def column(spark, texts, expression):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    return [r["v"] for r in df.select("i", expression.alias("v")).orderBy("i").collect()]
+
+
+@RELAXED
+@given(texts=TEXTS)
+def test_tokens_strip_lines_match_python(spark, texts):
+    assert column(spark, texts, T.strip(F.col("t"))) == [t.strip() for t in texts]
+    assert column(spark, texts, T.tokens(F.col("t"))) == [t.split() for t in texts]
+    assert column(spark, texts, T.token_count(F.col("t"))) == [len(t.split()) for t in texts]
+    assert column(spark, texts, T.lines(F.col("t"))) == [t.splitlines() for t in texts]
+
+
+def test_whitespace_is_exactly_pythons():
+    assert set(T.WHITESPACE) == {chr(i) for i in range(0x110000) if chr(i).isspace()}
+
+
+def test_capitalize(spark):
+    texts = ["", "human", "GPT", "two words", "éCOLE", "x"]
+    assert column(spark, texts, T.capitalize(F.col("t"))) == [t.capitalize() for t in texts]
+
+
+def test_first_truthy_skips_null_and_empty(spark):
+    df = spark.createDataFrame([("", "b"), (None, "b"), ("a", "b"), ("", None)], "x string, y string")
+    got = [r[0] for r in df.select(T.first_truthy(F.col("x"), F.col("y"))).collect()]
+    assert got == ["b", "b", "a", ""]
+
+
+def test_first_present_looks_at_the_schema_only(spark):
+    df = spark.createDataFrame([(None, "m")], "conversations string, messages string")
+    assert T.first_present(df, "conversations", "messages") == "conversations"
+    assert T.first_present(df.drop("conversations"), "conversations", "messages") == "messages"
+    assert T.first_present(df, "other") is None
+
+
+@pytest.mark.parametrize(
+    "schema, value, expected",
+    [
+        ("string", "plain", "plain"),
+        ("string", None, ""),
+        ("array<struct<role:string,content:string>>", [("user", "a"), ("assistant", None), ("user", "c")], "a\n\nc"),
+        ("array<struct<role:string>>", [("user",), ("assistant",)], "\n"),
+        ("array<map<string,string>>", [{"content": "a"}, {"role": "x"}], "a\n"),
+        ("array<string>", ["a", "b"], "a\nb"),
+        ("array<int>", [1, 2], "1\n2"),
+        ("array<string>", [], ""),
+        ("struct<role:string,content:string>", ("user", "hi"), "hi"),
+        ("struct<role:string>", ("user",), '{"role":"user"}'),
+        ("map<string,string>", {"content": "hi"}, "hi"),
+        ("map<string,string>", {"role": "x"}, '{"role":"x"}'),
+        ("bigint", 12, "12"),
+        ("boolean", True, "True"),
+        ("double", 1.5, "1.5"),
+    ],
+)
+def test_flatten(spark, schema, value, expected):
+    df = spark.createDataFrame([(value,)], f"v {schema}")
+    assert df.select(T.flat_column(df, "v")).head()[0] == expected
+
+
+PATTERNS = [
+    (r"<answer>\d+</answer>", 0),
+    (r"^x$", 0),
+    (r"^b.c$", re.MULTILINE),
+    (r"a.c", re.DOTALL),
+    (r"HELLO", re.IGNORECASE),
+    (r"É", re.IGNORECASE),
+    (r"\w+\s\w+", 0),
+    (r"\w+\s\w+", re.ASCII),
+    (r"[^\s]{3}", 0),
+    (r"\S+\Z", 0),
+    (r"(?P<q>['\"]).*(?P=q)", 0),
+    (r"[]x]", 0),
+    (r"[[x]", 0),
+    (r"[a&&b]", 0),
+    (r"[\w-]+@", 0),
+    (r"[a\W]z", 0),
+    (r"a  b # note", re.VERBOSE),
+    (r"[ ]x", re.VERBOSE),
+    (r"\bcat\b", 0),
+    (r".*", 0),
+]
+SUBJECTS = [
+    "", "x", "x\n", "abc", "a\nc", "a c", "a\rc", "b\u0085c", "HELLO", "hello", "éa", "É", "<answer>42</answer>",
+    "<answer>٣</answer>", "<answer>x</answer>", "中文　word", "a\x1cb", "á b", "'q'", "\"q'", "]", "[", "&", "me-too@",
+    "ab", "a b", "a§z", "one\nb1c\ntwo", " x", "the cat sat", "concat", "٣ a", "a\x1d b",
+]
+
+
+@pytest.mark.parametrize("pattern, flags", PATTERNS)
+@pytest.mark.filterwarnings("ignore::FutureWarning")
+def test_patterns_search_as_python_does(spark, pattern, flags):
+    got = column(spark, SUBJECTS, F.col("t").rlike(to_spark_pattern(pattern, int(flags))))
+    assert got == [bool(re.search(pattern, s, flags)) for s in SUBJECTS]
+
+
+def test_pattern_errors():
+    with pytest.raises(ValueError, match="Unsupported regex flags"):
+        to_spark_pattern("a", int(re.LOCALE))
+    with pytest.raises(re.error):
+        to_spark_pattern("(")
+    for pattern in (r"(a)?(?(1)b|c)", r"(?P<a_b>x)", r"[^\W\d]"):
+        with pytest.raises(NotPortable):
+            to_spark_pattern(pattern)
+
+
+def test_random_patterns_of_brackets(spark):
+    """Brackets with odd members behave as in Python."""
+    rng = random.Random(5)
+    for _ in range(10):
+        body = "".join(rng.choice(["a", "b", "[", "^", "&", r"\s", r"\w", r"\]", "-z"]) for _ in range(3))
+        pattern = f"[x{body}]"
+        try:
+            re.compile(pattern)
+        except re.error:
+            continue
+        got = column(spark, SUBJECTS, F.col("t").rlike(to_spark_pattern(pattern)))
+        assert got == [bool(re.search(pattern, s)) for s in SUBJECTS], pattern

@@ -12,9 +12,10 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-WHITESPACE_RUN = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-# The line boundaries Python's str.splitlines() recognises.
-LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
+# The same characters as a pattern; the JVM's Unicode \s lacks the four separators.
+WHITESPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
+# The line boundaries of Python's str.splitlines(), after CR LF has become LF.
+LINE_BREAK = r"[\n-\r\x1c-\x1e\x85\u2028\u2029]"
 
 
 def strip(text: Column) -> Column:
@@ -31,8 +32,9 @@ def tokens(text: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
+    """How many tokens; splitting '' gives one empty part, which does not count."""
     stripped = strip(text)
-    return F.when(stripped == "", F.lit(0)).otherwise(F.size(F.split(stripped, WHITESPACE_RUN)))
+    return F.size(F.split(stripped, WHITESPACE_RUN)) - (stripped == "").cast("int")
 
 
 def capitalize(text: Column) -> Column:
@@ -42,7 +44,7 @@ def capitalize(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Split at line boundaries; a final line break does not open another line."""
-    parts = F.split(text, LINE_BREAK)
+    parts = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), LINE_BREAK)
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 

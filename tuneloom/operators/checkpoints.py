@@ -12,12 +12,13 @@ CHECKPOINT_NAME = r"^checkpoint-([0-9]+)\z"
 
 def checkpoints(manifest: DataFrame) -> DataFrame:
     """Rows of a manifest (run_id, path, is_dir) that are saved states, with their number."""
-    name = F.element_at(F.split(F.rtrim("path", F.lit("/")), "/"), -1)
-    return (
-        manifest.where(F.col("is_dir"))
-        .withColumn("number", F.regexp_extract(name, CHECKPOINT_NAME, 1).try_cast("bigint"))
-        .where(F.col("number").isNotNull())
-    )
+    name = F.substring_index(F.rtrim("path", F.lit("/")), "/", -1)
+    digits = "__digits"
+    named = manifest.where(F.col("is_dir")).withColumn(digits, F.regexp_extract(name, CHECKPOINT_NAME, 1))
+    # Only digits are cast: a try_cast that fails costs an exception per row. Numbers beyond
+    # 64 bits are no step numbers.
+    numbered = named.where(F.col(digits) != "").withColumn("number", F.col(digits).try_cast("bigint"))
+    return numbered.where(F.col("number").isNotNull()).drop(digits)
 
 
 def latest_checkpoint(manifest: DataFrame) -> DataFrame:

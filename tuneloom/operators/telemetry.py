@@ -120,7 +120,9 @@ def log_tail(log_lines: DataFrame, max_lines: int = MAX_LOG_LINES) -> DataFrame:
 def trace_tail(df: DataFrame, column: str = "trace", max_lines: int = MAX_TRACE_LINES) -> DataFrame:
     """Keep the last lines of a trace; adds ``line_no`` (from 1) and ``line``."""
     rest = [c for c in df.columns if c != column]
-    split = df.select(*rest, lines(F.col(column)).alias("__lines"))
+    # Lines are at least as many as newlines, so the end of the text holds all of the tail.
+    end = F.substring_index(F.col(column), "\n", -(max_lines + 1))
+    split = df.select(*rest, lines(end).alias("__lines"))
     keep = F.least(F.size("__lines"), F.lit(max_lines))
     tail = F.slice("__lines", F.size("__lines") - keep + 1, keep)
     return split.select(*rest, F.posexplode(tail).alias("__i", "line")).select(
