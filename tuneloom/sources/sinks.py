@@ -39,4 +39,4 @@ def write_document(spark: SparkSession, path: str, document: Mapping[str, Any])
 
 
 def read_document(spark: SparkSession, path: str) -> dict[str, Any]:
-    return json.loads(spark.read.option("wholetext", True).text(path).head()["value"])
+    return json.loads(spark.read.text(path, wholetext=True).head()["value"])
