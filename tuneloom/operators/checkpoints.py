@@ -10,25 +10,29 @@ from tuneloom.operators.scale import join_groups, top_n
 CHECKPOINT_NAME = r"^checkpoint-([0-9]+)\z"
 
 
-def checkpoints(manifest: DataFrame) -> DataFrame:
-    """Rows of a manifest (run_id, path, is_dir) that are saved states, with their number."""
+def numbered(manifest: DataFrame) -> DataFrame:
+    """Add the ``number`` of saved states to a manifest (run_id, path, is_dir); null for the rest."""
     name = F.substring_index(F.rtrim("path", F.lit("/")), "/", -1)
     digits = "__digits"
-    named = manifest.where(F.col("is_dir")).withColumn(digits, F.regexp_extract(name, CHECKPOINT_NAME, 1))
     # Only digits are cast: a try_cast that fails costs an exception per row. Numbers beyond
     # 64 bits are no step numbers.
-    numbered = named.where(F.col(digits) != "").withColumn("number", F.col(digits).try_cast("bigint"))
-    return numbered.where(F.col("number").isNotNull()).drop(digits)
+    number = F.when(F.col("is_dir") & (F.col(digits) != ""), F.col(digits).try_cast("bigint"))
+    named = manifest.withColumn(digits, F.regexp_extract(name, CHECKPOINT_NAME, 1))
+    return named.withColumn("number", number).drop(digits)
+
+
+def checkpoints(manifest: DataFrame) -> DataFrame:
+    """The rows of a manifest that are saved states."""
+    return numbered(manifest).where(F.col("number").isNotNull())
 
 
 def latest_checkpoint(manifest: DataFrame) -> DataFrame:
     """Path of the highest-numbered saved state of every run; null for runs without one."""
-    runs = manifest.select("run_id", F.lit(None).cast("bigint").alias("number"), F.lit(None).cast("string").alias("path"))
-    found = checkpoints(manifest).select("run_id", "number", "path")
+    newest = F.when(F.col("number").isNotNull(), F.struct("number", "path"))
     return (
-        runs.unionByName(found)
+        numbered(manifest)
         .groupBy("run_id")
-        .agg(F.max_by("path", F.struct("number", "path")).alias("path"), F.max("number").alias("number"))
+        .agg(F.max_by("path", newest).alias("path"), F.max("number").alias("number"))
     )
 
 

@@ -68,26 +68,38 @@ def previous_row(
     which is looked up by key. Also adds ``has_previous``.
     """
     by = list(by)
-    part, carry, prev = "__stretch", "__carry", "__prev"
-    cut = df.withColumn(part, F.floor(F.col(order) / F.lit(stretch)))
-    picked = F.struct(*(F.col(source).alias(name) for name, source in values.items()))
-    inner = cut.withColumn(prev, F.lag(picked).over(Window.partitionBy(*by, part).orderBy(order)))
+    part, carry, had = "__stretch", "__carry", "__had"
+    prev = {name: f"__prev_{name}" for name in values}
+    last = f"__last_{order}"
+    cut = df.withColumn(part, F.expr(f"`{order}` div {int(stretch)}L"))
+    window = Window.partitionBy(*by, part).orderBy(order)
+    # The lag reads the columns themselves: no second copy of a text goes through the shuffle.
+    inner = cut.withColumns(
+        {
+            had: F.lag(F.lit(True)).over(window),
+            **{prev[name]: F.lag(source).over(window) for name, source in values.items()},
+        }
+    )
 
     # Narrow pass: where does the stretch before end? Empty unless a group has several.
-    last = f"__last_{order}"
     ends = (
         cut.groupBy(*by, part)
         .agg(F.max(order).alias(last))
         .withColumn(last, F.lag(last).over(Window.partitionBy(*by).orderBy(part)))
         .where(F.col(last).isNotNull())
     )
+    picked = F.struct(F.lit(True).alias("has_previous"), *(F.col(v).alias(name) for name, v in values.items()))
     source = df.select(*by, F.col(order).alias(last), picked.alias(carry))
     carried = ends.join(source, [*by, last]).select(*by, part, carry)
-    joined = inner.join(carried, [*by, part], "left").withColumn(prev, F.coalesce(prev, carry))
+    joined = inner.join(carried, [*by, part], "left")
+    inside = F.col(had).isNotNull()
     return joined.select(
         *df.columns,
-        F.col(prev).isNotNull().alias("has_previous"),
-        *(F.col(prev).getField(name).alias(name) for name in values),
+        (inside | F.col(carry).isNotNull()).alias("has_previous"),
+        *(
+            F.when(inside, F.col(prev[name])).otherwise(F.col(carry).getField(name)).alias(name)
+            for name in values
+        ),
     )
 
 
