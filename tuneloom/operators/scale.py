@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+# Lists up to this length are cut per input partition for all groups.
+SHORT_LIST = 64
 # A partial cut may hand this many rows of one group to the next level.
 ROWS_PER_CUT = 1_000_000
 # Groups larger than this are spread over several join tasks.
@@ -26,32 +28,46 @@ def _shards(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def top_n(df: DataFrame, n: int, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
-    """The first ``n`` rows of each group under a total ``order``.
+def _cut(df: DataFrame, n: int, order: Sequence[Column], keys: Sequence[str]) -> DataFrame:
+    rank = "__rank"
+    return (
+        df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        .where(F.col(rank) <= n)
+        .drop(rank)
+    )
 
-    Every level keeps n rows per (group, shard), so a later level sees at most
-    shards x n rows of a group. The shard is the input partition, hence a map task can cut
-    each of its groups to n rows before the shuffle (``WindowGroupLimit``).
+
+def _precut(df: DataFrame, n: int, order: Sequence[Column], by: Sequence[str]) -> DataFrame:
+    """Cut every (group, shard) to n rows, so that a later task sees shards x n of a group.
+
+    The shard is the input partition: a map task cuts each of its groups to n rows before
+    the shuffle (``WindowGroupLimit``).
     """
-    rank, shard = "__rank", "__shard"
-    order = list(order)
+    shard = "__shard"
     fan = _shards(df)
     while fan > 1:
-        keys = [*by, shard]
-        df = (
-            df.withColumn(shard, F.pmod(F.spark_partition_id(), F.lit(fan)))
-            .withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-            .where(F.col(rank) <= n)
-            .drop(rank, shard)
-        )
+        marked = df.withColumn(shard, F.pmod(F.spark_partition_id(), F.lit(fan)))
+        df = _cut(marked, n, order, [*by, shard]).drop(shard)
         fan = 1 if fan * n <= ROWS_PER_CUT else math.isqrt(fan)
+    return df
+
+
+def top_n(df: DataFrame, n: int, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` rows of each group under a total ``order``.
+
+    For a short list the map-side cut removes nearly everything, so all groups go through
+    the precut. For a long one most groups are shorter than the list and would only be
+    shuffled twice; there the precut serves the large groups alone.
+    """
+    order, by = list(order), list(by)
     if not by:
-        return df.orderBy(*order).limit(n)
-    return (
-        df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-        .where(F.col(rank) <= n)
-        .drop(rank)
-    )
+        return _precut(df, n, order, by).orderBy(*order).limit(n)
+    if n <= SHORT_LIST:
+        return _cut(_precut(df, n, order, by), n, order, by)
+    large = F.broadcast(_large_groups(df, by))
+    match = _null_safe(df, by, large, [f"__large_{k}" for k in by])
+    rest = df.join(large, match, "left_anti")
+    return _cut(rest.unionByName(_precut(df.join(large, match, "left_semi"), n, order, by)), n, order, by)
 
 
 def previous_row(
@@ -108,7 +124,7 @@ def join_groups(
     per_group: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    rows_per_split: int = ROWS_PER_SPLIT,
+    rows_per_split: int | None = None,
 ) -> DataFrame:
     """Join one row per group back to its member rows (null keys match each other).
 
@@ -118,18 +134,7 @@ def join_groups(
     """
     on = list(on)
     splits, salt = "__splits", "__salt"
-    count = "__n"
-    large = (
-        rows.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias(count))
-        .where(F.col(count) > rows_per_split)
-        .orderBy(F.desc(count))
-        .limit(MAX_SPLIT_GROUPS)
-        .select(
-            *(F.col(k).alias(f"__large_{k}") for k in on),
-            F.ceil(F.col(count) / rows_per_split).cast("int").alias(splits),
-        )
-    )
+    large = _large_groups(rows, on, rows_per_split)
     rename = {k: f"__group_{k}" for k in on}
 
     def mark(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -154,6 +159,27 @@ def join_groups(
     return many.join(one, match, how).drop(salt, "__group_salt", *rename.values())
 
 
+def _large_groups(rows: DataFrame, on: Sequence[str], rows_per_split: int | None = None) -> DataFrame:
+    """Keys of the groups above ``rows_per_split`` and how many tasks each should get.
+
+    Counting reads the key columns only. No more than the ``MAX_SPLIT_GROUPS`` largest are
+    listed, which bounds the broadcast; any further one is smaller than all of those.
+    """
+    count = "__n"
+    rows_per_split = rows_per_split or ROWS_PER_SPLIT
+    return (
+        rows.groupBy(*on)
+        .agg(F.count(F.lit(1)).alias(count))
+        .where(F.col(count) > rows_per_split)
+        .orderBy(F.desc(count))
+        .limit(MAX_SPLIT_GROUPS)
+        .select(
+            *(F.col(k).alias(f"__large_{k}") for k in on),
+            F.ceil(F.col(count) / rows_per_split).cast("int").alias("__splits"),
+        )
+    )
+
+
 def _null_safe(left: DataFrame, left_names: Sequence[str], right: DataFrame, right_names: Sequence[str]) -> Column:
     match = F.lit(True)
     for a, b in zip(left_names, right_names, strict=True):
