@@ -17,10 +17,8 @@ from tuneloom.operators.prompts import (
     prompt_column,
     zip_lists,
 )
-from tuneloom.operators.scale import previous_row
 from tuneloom.operators.scoring import (
     group_advantage,
-    long_rewards,
     mean_reward,
     score_group_reward,
     score_rewards,
@@ -300,24 +298,14 @@ def zip_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def weighted_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = views.scored_pairs(_turns(spark, sf_dir))
+    scored = weighted_total(views.scored_turns(_turns(spark, sf_dir)), REWARDS)
     return scored.select("conv_id", "turn", *REWARD_NAMES, F.round("total_reward", 6).alias("total_reward"))
 
 
 @query
 def group_relative_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: score every assistant turn that has a predecessor, compare within the dialogue.
-
-    Turns are scored where they are read, so only ids and rewards are shuffled.
-    """
-    turns = _turns(spark, sf_dir)
-    answered = F.when(F.col("role") == "assistant", F.col("text"))
-    scored = score_rewards(turns.withColumn("completion", answered), REWARDS)
-    narrow = scored.select("conv_id", "turn", "role", *REWARD_NAMES)
-    pairs = previous_row(narrow, ["conv_id"], "turn", {}).where(
-        (F.col("role") == "assistant") & F.col("has_previous")
-    )
-    total = weighted_total(pairs.select("conv_id", "turn", *REWARD_NAMES), REWARDS)
+    """Flagship: score every answer that has a turn before it, compare within the dialogue."""
+    total = weighted_total(views.scored_turns(_turns(spark, sf_dir)), REWARDS)
     compared = group_advantage(total, ["conv_id"])
     return compared.select(
         "conv_id",
@@ -328,7 +316,7 @@ def group_relative_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def mean_reward_by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = views.sample_rows(_turns(spark, sf_dir))
+    samples = views.reward_rows(_turns(spark, sf_dir))
     means = mean_reward(samples, ["run_id", "step", "reward_name"])
     return means.withColumn("mean_reward", F.round("mean_reward", 6))
 
@@ -493,16 +481,9 @@ def stream_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First answers of every ten dialogues per reward; the whole table is one batch here."""
-    scored = score_rewards(views.answer_rows(_stream(spark, sf_dir, "conversations")), REWARDS)
-    placed = scored.select(
-        F.lit("run").alias("run_id"),
-        F.floor(F.col("conv_id") / 10).alias("step"),
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"),
-        "completion",
-        *REWARD_NAMES,
-    )
+    samples = views.answer_samples(_stream(spark, sf_dir, "conversations"))
     path = scratch_path(spark, "stream-capture")
-    streams.capture_stream(long_rewards(placed, REWARD_NAMES), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    streams.capture_stream(samples, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
     captured = spark.read.parquet(f"{path}/rows")
     return captured.select("step", "reward_name", "pos", "completion", "reward")
 

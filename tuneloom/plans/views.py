@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tuneloom.operators.prompts import conversations, dialogue_pairs
-from tuneloom.operators.scoring import long_rewards, score_rewards, weighted_total
+from tuneloom.operators.scale import previous_row
+from tuneloom.operators.scoring import long_rewards, score_rewards
 from tuneloom.operators.telemetry import FAILURE, LOG, TRAIN_BEGIN
 
 REWARDS = [
@@ -43,24 +44,46 @@ def pair_rows(turns: DataFrame) -> DataFrame:
     return dialogue_pairs(turns)
 
 
-def scored_pairs(turns: DataFrame) -> DataFrame:
-    return weighted_total(score_rewards(pair_rows(turns), REWARDS), REWARDS)
+def scored_turns(turns: DataFrame) -> DataFrame:
+    """Rewards of every answer that has a turn before it, without the texts.
 
+    Turns are scored where they are read, so only ids and rewards are shuffled.
+    """
+    answered = F.when(F.col("role") == "assistant", F.col("text"))
+    scored = score_rewards(turns.withColumn("completion", answered), REWARDS)
+    narrow = scored.select("conv_id", "turn", "role", *REWARD_NAMES)
+    found = previous_row(narrow, ["conv_id"], "turn", {})
+    answers = found.where((F.col("role") == "assistant") & F.col("has_previous"))
+    return answers.select("conv_id", "turn", *REWARD_NAMES)
 
-def sample_rows(turns: DataFrame) -> DataFrame:
-    """Scored pairs in long form; ten dialogues make one step."""
-    scored = score_rewards(pair_rows(turns), REWARDS)
+
+def _placed(scored: DataFrame, *texts: str) -> DataFrame:
+    """Ten dialogues make one step; one row per reward."""
     placed = scored.select(
         F.lit("run").alias("run_id"),
-        F.floor(F.col("conv_id") / 10).alias("step"),
+        F.expr("conv_id div 10").alias("step"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"),
-        "prompt",
-        "completion",
+        *texts,
         *REWARD_NAMES,
     )
     return long_rewards(placed, REWARD_NAMES)
 
 
+def reward_rows(turns: DataFrame) -> DataFrame:
+    """Rewards of the pairs in long form."""
+    return _placed(scored_turns(turns))
+
+
+def sample_rows(turns: DataFrame) -> DataFrame:
+    """The same with prompts and completions."""
+    return _placed(score_rewards(pair_rows(turns), REWARDS), "prompt", "completion")
+
+
+def answer_samples(turns: DataFrame) -> DataFrame:
+    """Scored answers in long form, each by itself, so that it also works on a stream."""
+    return _placed(score_rewards(answer_rows(turns), REWARDS), "completion")
+
+
 def log_events(events: DataFrame) -> DataFrame:
     """Events as trainer logs of one run per user."""
     value, none = F.col("value"), F.expr("cast(map() as map<string,double>)")

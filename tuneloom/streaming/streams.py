@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -47,6 +48,14 @@ def batch_stream(
     return _trigger(writer.foreachBatch(write), interval).start()
 
 
+def first_streamed(df: DataFrame, n: int = 5) -> DataFrame:
+    """The first ``n`` rows a stream delivers, as a batch of at most that many rows."""
+    name = f"preview_{uuid.uuid4().hex}"
+    writer = df.limit(n).writeStream.outputMode("append").format("memory").queryName(name)
+    _trigger(writer, None).start().awaitTermination()
+    return df.sparkSession.table(name)
+
+
 def latest_table(path: str, fold_every: int = FOLD_EVERY) -> FoldedTable:
     def fold(rows: DataFrame) -> DataFrame:
         columns = [c for c in rows.columns if c not in ("run_id", "emitted")]
