@@ -139,6 +139,10 @@ def test_stream_texts(spark, data, tmp_path):
     jobs.stream_texts(spark, data, job).awaitTermination()
     streamed = spark.read.parquet(f"{tmp_path}/s/texts")
     assert rows(streamed) == rows(jobs.training_texts(spark, data, job))
+    jobs.resume_texts(spark, data, f"{tmp_path}/s").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/s/texts").count() == streamed.count()
+    with pytest.raises(FileNotFoundError, match="No config"):
+        jobs.resume_texts(spark, data, f"{tmp_path}/nowhere")
 
 
 def test_every_query_has_sql_and_runs_on_whole_tables(spark):

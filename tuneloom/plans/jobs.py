@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,9 +15,9 @@ from tuneloom.operators.formatting import cap_tokens, format_rows
 from tuneloom.operators.layout import step_schedule
 from tuneloom.operators.prompts import generation_slots, map_columns, prompt_column
 from tuneloom.operators.scoring import group_advantage, score_group_reward, score_rewards, weighted_total
-from tuneloom.plans.spec import JobSpec
+from tuneloom.plans.spec import JobSpec, job_from_dict
 from tuneloom.sources.datasets import DatasetCatalog, load_dataset
-from tuneloom.sources.sinks import write_document, write_rows
+from tuneloom.sources.sinks import read_document, write_document, write_rows
 from tuneloom.streaming.streams import append_stream
 
 
@@ -113,6 +114,20 @@ def run_job(spark: SparkSession, catalog: DatasetCatalog, job: JobSpec) -> dict[
 def stream_texts(spark: SparkSession, catalog: DatasetCatalog, job: JobSpec, interval: str | None = None) -> StreamingQuery:
     """Format a growing dataset; run again, it goes on after the last finished batch."""
     base = job.output_dir.rstrip("/")
+    write_document(spark, f"{base}/config", job.to_dict())
     return append_stream(
         training_texts(spark, catalog, job, streaming=True), f"{base}/texts", f"{base}/checkpoint", interval=interval
     )
+
+
+def resume_texts(spark: SparkSession, catalog: DatasetCatalog, output_dir: str, interval: str | None = None) -> StreamingQuery:
+    """Go on with the stream whose config echo lies in ``output_dir``."""
+    base = output_dir.rstrip("/")
+    try:
+        spec = read_document(spark, f"{base}/config")
+    except AnalysisException as error:
+        raise FileNotFoundError(f"No config in {base}; nothing to resume") from error
+    job = job_from_dict(spec)
+    if job.type != "sft":
+        raise ValueError(f"A job of type {job.type!r} has no text stream to resume")
+    return stream_texts(spark, catalog, replace(job, output_dir=base), interval)
