@@ -12,7 +12,7 @@ from tuneloom.functions.resolve import (
     resolve_rewards,
 )
 from tuneloom.functions.rewards import parse_keywords
-from tuneloom.operators.capture import capture_samples, recent_samples, sample_table
+from tuneloom.operators.capture import capture_rewards, capture_samples, recent_samples, sample_table
 from tuneloom.operators.checkpoints import checkpoint_retention, latest_checkpoint
 from tuneloom.operators.formatting import cap_tokens, format_rows
 from tuneloom.operators.layout import batch_plan, step_schedule

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tuneloom.functions.text import flat_column
 from tuneloom.operators.scale import top_n
+from tuneloom.operators.scoring import long_rewards
 
 MAX_PER_STEP = 4
 MAX_SAMPLES = 20
@@ -28,6 +29,21 @@ def capture_samples(
     )
 
 
+def capture_rewards(
+    scored: DataFrame,
+    rewards: Sequence[str],
+    by: Sequence[str] = ("run_id", "step"),
+    order: Sequence[str] = ("pos",),
+    max_per_step: int = MAX_PER_STEP,
+) -> DataFrame:
+    """Samples of several rewards that scored the same rows, in long form.
+
+    Every reward captures the same first rows of a step, so they are cut out once, before
+    their texts are repeated for each reward.
+    """
+    return long_rewards(capture_samples(scored, by, order, max_per_step), rewards)
+
+
 def recent_samples(
     samples: DataFrame,
     order: Sequence[str] = ("step", "reward_index", "pos"),

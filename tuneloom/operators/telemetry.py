@@ -70,18 +70,30 @@ def metric_history(events: DataFrame, max_points: int = MAX_POINTS) -> DataFrame
     )
 
 
+def _at_last_point(events: DataFrame) -> list[Column]:
+    """Aggregates for ``seq`` and the values of the newest point.
+
+    One ``max_by`` per column: all have a fixed width, so the plan is a hash aggregate,
+    where a struct of them would need a sort.
+    """
+    at = F.when(is_point(), F.col("seq"))
+    names = ["step", "loss", "learning_rate", "grad_norm", "epoch", "reward", "ts"]
+    values = zip(names, point_columns(events), strict=True)
+    return [F.max(at).alias("seq"), *(F.max_by(value, at).alias(name) for name, value in values)]
+
+
 def latest_state(events: DataFrame) -> DataFrame:
     """Latest point of each run since its latest start, null when there is none.
 
     One aggregate with a constant-size buffer per run, so it also serves as the stream form.
     """
-    point = F.struct(F.col("seq"), *point_columns(events))
     latest = events.groupBy("run_id").agg(
-        F.max_by(point, F.when(is_point(), F.col("seq"))).alias("p"),
-        F.max(F.when(F.col("kind") == TRAIN_BEGIN, F.col("seq"))).alias("b"),
+        *_at_last_point(events),
+        F.max(F.when(F.col("kind") == TRAIN_BEGIN, F.col("seq"))).alias("__begin"),
     )
-    alive = F.when(F.col("b").isNull() | (F.col("p.seq") > F.col("b")), F.col("p"))
-    return latest.select("run_id", alive.alias("p")).select("run_id", "p.*")
+    alive = F.col("__begin").isNull() | (F.col("seq") > F.col("__begin"))
+    kept = [name for name in latest.columns if name not in ("run_id", "__begin")]
+    return latest.select("run_id", *(F.when(alive, F.col(name)).alias(name) for name in kept))
 
 
 def latest_points(events: DataFrame) -> DataFrame:
@@ -136,12 +148,11 @@ def run_status(events: DataFrame) -> DataFrame:
     def last(*kinds: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("kind").isin(*kinds), F.col("seq"))), F.lit(-1))
 
-    point = F.struct(F.col("seq"), *point_columns(events))
     runs = events.groupBy("run_id").agg(
         last(TRAIN_BEGIN).alias("begin"),
         last(TRAIN_END).alias("end"),
         last(FAILURE).alias("failure"),
-        F.max_by(point, F.when(is_point(), F.col("seq"))).alias("p"),
+        *_at_last_point(events),
     )
     status = (
         F.when((F.col("begin") >= 0) & (F.col("begin") > F.greatest("end", "failure")), "running")
@@ -149,12 +160,12 @@ def run_status(events: DataFrame) -> DataFrame:
         .when(F.col("end") > F.col("begin"), "done")
         .otherwise("idle")
     )
-    alive = F.col("p.seq") > F.col("begin")
+    alive = F.col("seq") > F.col("begin")
     return runs.select(
         "run_id",
         status.alias("status"),
-        F.when(alive, F.col("p.step")).alias("step"),
-        F.when(alive, F.col("p.loss")).alias("loss"),
+        F.when(alive, F.col("step")).alias("step"),
+        F.when(alive, F.col("loss")).alias("loss"),
     )
 
 

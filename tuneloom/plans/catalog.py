@@ -328,19 +328,19 @@ _SAMPLE_COLUMNS = ["step", "reward_name", "pos", "prompt", "completion", "reward
 
 @query
 def capture_per_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captured = capture.capture_samples(views.sample_rows(_turns(spark, sf_dir)))
+    captured = capture.capture_rewards(views.sample_rows(_turns(spark, sf_dir)), REWARD_NAMES)
     return captured.select(*_SAMPLE_COLUMNS)
 
 
 @query
 def recent_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captured = capture.capture_samples(views.sample_rows(_turns(spark, sf_dir)))
+    captured = capture.capture_rewards(views.sample_rows(_turns(spark, sf_dir)), REWARD_NAMES)
     return capture.recent_samples(captured).select(*_SAMPLE_COLUMNS)
 
 
 @query
 def sample_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captured = capture.capture_samples(views.sample_rows(_turns(spark, sf_dir)))
+    captured = capture.capture_rewards(views.sample_rows(_turns(spark, sf_dir)), REWARD_NAMES)
     return capture.sample_table(captured, keep=["step", "reward_name", "pos"])
 
 

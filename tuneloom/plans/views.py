@@ -58,30 +58,30 @@ def scored_turns(turns: DataFrame) -> DataFrame:
 
 
 def _placed(scored: DataFrame, *texts: str) -> DataFrame:
-    """Ten dialogues make one step; one row per reward."""
-    placed = scored.select(
+    """Ten dialogues make one step."""
+    return scored.select(
         F.lit("run").alias("run_id"),
         F.expr("conv_id div 10").alias("step"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"),
         *texts,
         *REWARD_NAMES,
     )
-    return long_rewards(placed, REWARD_NAMES)
 
 
 def reward_rows(turns: DataFrame) -> DataFrame:
     """Rewards of the pairs in long form."""
-    return _placed(scored_turns(turns))
+    return long_rewards(_placed(scored_turns(turns)), REWARD_NAMES)
 
 
 def sample_rows(turns: DataFrame) -> DataFrame:
-    """The same with prompts and completions."""
+    """Scored pairs with their texts, one column per reward."""
     return _placed(score_rewards(pair_rows(turns), REWARDS), "prompt", "completion")
 
 
 def answer_samples(turns: DataFrame) -> DataFrame:
     """Scored answers in long form, each by itself, so that it also works on a stream."""
-    return _placed(score_rewards(answer_rows(turns), REWARDS), "completion")
+    placed = _placed(score_rewards(answer_rows(turns), REWARDS), "completion")
+    return long_rewards(placed, REWARD_NAMES)
 
 
 def log_events(events: DataFrame) -> DataFrame:
