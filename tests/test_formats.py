@@ -127,6 +127,8 @@ def test_keep_columns_from_before_the_map(spark):
     df = spark.createDataFrame([(7, "a", "b")], "id int, source string, body string")
     out = df.transform(format_rows("completion", column_map={"source": "prompt", "body": "completion"}, keep=["id", "source"]))
     assert rows(out) == [(7, "a", "ab")]
+    dotted = spark.createDataFrame([(7, "a")], "`meta.id` int, text string")
+    assert rows(dotted.transform(format_rows("raw_text", keep=["meta.id"]))) == [(7, "a")]
 
 
 def test_turns_become_ordered_conversations(spark):

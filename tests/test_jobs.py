@@ -1,5 +1,5 @@
 import pytest
-from conftest import SF, rows
+from conftest import SF, plan, rows
 from pyspark.sql import functions as F
 
 import tuneloom as tl
@@ -159,6 +159,19 @@ def test_query_equals_sql(spark, duck, name):
     assert canonical(mine) == canonical(theirs)
 
 
+def test_plans_have_no_cross_joins_and_python_only_in_user_rewards(spark):
+    skipped = {"sink_summary", "stream_format", "stream_score", "stream_latest", "stream_ring", "stream_capture"}
+    with_python = set()
+    for name, query in catalog.queries().items():
+        if name in skipped:
+            continue
+        text = plan(query(spark, SF))
+        assert "CartesianProduct" not in text and "NestedLoop" not in text, name
+        if "Python" in text or "ArrowEval" in text:
+            with_python.add(name)
+    assert with_python == {"reward_user_udf", "reward_user_columns", "reward_group_udf"}
+
+
 @pytest.fixture(scope="module")
 def duck():
     import glob

@@ -26,8 +26,8 @@ def format_rows(
     build, chat = get_format(format), get_template(template)
 
     def step(df: DataFrame) -> DataFrame:
-        kept = [f"__keep_{name}" for name in keep]
-        carried = df.withColumns({k: F.col(name) for k, name in zip(kept, keep, strict=True)}) if keep else df
+        kept = [f"__keep_{i}" for i in range(len(keep))]
+        carried = df.withColumns({k: F.col(f"`{name}`") for k, name in zip(kept, keep, strict=True)}) if keep else df
         mapped = map_columns(carried, column_map)
         return mapped.select(
             *(F.col(k).alias(name) for k, name in zip(kept, keep, strict=True)),
