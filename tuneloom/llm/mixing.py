@@ -30,7 +30,7 @@ def water_fill(parts: DataFrame, group: list[str], total: str, capacity: str, we
     left = F.col(total) - F.coalesce(F.sum(capacity).over(before), F.lit(0.0))
     level = left / (F.sum(weight).over(everything) - F.coalesce(F.sum(weight).over(before), F.lit(0.0)))
     parts = parts.withColumn("__level", level).withColumn("__full", F.col("__level") * F.col(weight) > F.col(capacity))
-    open_level = F.min(F.when(~F.col("__full"), F.col("__level"))).over(everything)
+    open_level = F.max(F.when(~F.col("__full"), F.col("__level"))).over(everything)
     filled = F.when(F.col("__full"), F.col(capacity)).otherwise(F.least(F.col(capacity), open_level * F.col(weight)))
     return parts.withColumn("filled", filled.cast("double")).drop("__level", "__full")
 

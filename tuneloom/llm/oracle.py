@@ -13,11 +13,11 @@ parts as (
 levels as (
   select *, (total - coalesce(sum(room) over before, 0.0::double)) / (sum(weight) over () - coalesce(sum(weight) over before, 0.0::double)) as level
   from parts window before as (order by room / weight, weight rows between unbounded preceding and 1 preceding)),
-filled as (select *, level * weight > room as capped, min(case when not (level * weight > room) then level end) over () as open_level from levels),
+filled as (select *, level * weight > room as capped, max(case when not (level * weight > room) then level end) over () as open_level from levels),
 targets as (
   select source, source_size, case when capped then room else least(room, open_level * weight) end as target from filled),
 rates as (
-  select *, floor(least(3.0::double * source_size, target / source_size * source_size) / source_size) as whole,
+  select *, floor(target / source_size) as whole,
     target / source_size - floor(target / source_size) as part
   from targets where source_size > 0),
 drawn as (
