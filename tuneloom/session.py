@@ -13,6 +13,8 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Lets per-run histories of 10,000 rows be cut on the map side, before the shuffle.
     "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
+    # Batches of long texts have to fit into a Python worker.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # Per-run aggregates of the streams keep their state in RocksDB, not on the heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
