@@ -35,9 +35,10 @@ def _slot(keys: Column) -> Column:
 def survivors(docs: DataFrame, text: Column) -> DataFrame:
     """Lengths and prefix hashes that several rows share."""
     narrow = stored(docs.select(_first_keys(text).alias("k")).select("k.*"), "dedup-keys")
-    lengths = narrow.groupBy("length").count().filter("count > 1").select("length")
-    same_length = narrow.join(lengths, "length", "left_semi")
-    return same_length.groupBy("length", "prefix").count().filter("count > 1").drop("count")
+    # Rows that agree in both are one row from here on: a group of copies weighs no more than its count.
+    keys = narrow.groupBy("length", "prefix").count()
+    lengths = keys.groupBy("length").agg(F.sum("count").alias("rows")).filter("rows > 1").select("length")
+    return keys.join(lengths, "length", "left_semi").filter("count > 1").drop("count")
 
 
 def _bitmap(keys: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tuneloom.llm import exact, mixing, sharding
+from tuneloom.llm import bpe, exact, mixing, records, sharding
 from tuneloom.llm.common import table
+from tuneloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -25,6 +26,29 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def vocabulary(name: str) -> str:
+    """Path of an installed vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def byte_bpe(spark: SparkSession) -> bpe.ByteBpe:
+    import public_tokenizers
+
+    return bpe.ByteBpe(spark, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as ids, and the ids as bytes again."""
+    coder = byte_bpe(spark)
+    coded = table(spark, sf_dir, "documents").select("doc_id", coder.encode(F.col("text")).alias("ids"))
+    coded = coded.select("doc_id", "ids", coder.decode(F.col("ids")).alias("decoded"))
+    tokens = (F.octet_length("ids") / 4).cast("long")
+    return coded.select("doc_id", tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards of near equal bytes."""
@@ -41,5 +65,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("row.doc_id", "keep_id", "group_size", "kept", "row.text_sha256")
 
 
+@query
+def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text from record files: where they start, how many they are, their checksum."""
+    path = scratch_path(spark, "token-records")
+    records.write_records(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    read = records.read_records(records.read_index(spark, path), path)
+    return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_REGISTRY)
