@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tuneloom.llm import bpe, exact, mixing, records, sharding
+from tuneloom.llm import bpe, exact, mixing, records, sharding, simhash
 from tuneloom.llm.common import table
 from tuneloom.session import scratch_path
 
@@ -65,6 +65,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("row.doc_id", "keep_id", "group_size", "kept", "row.text_sha256")
 
 
+@query
+def op9_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of near copies of every document."""
+    found = simhash.near_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 @query
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text from record files: where they start, how many they are, their checksum."""
