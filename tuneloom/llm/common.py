@@ -34,7 +34,10 @@ def squeeze(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in ``text``; null has none."""
-    marked = _marked(F.coalesce(text, F.lit("")))
-    runs = (F.octet_length(marked) - F.octet_length(F.replace(marked, F.lit("\t\n"), F.lit("")))) / 2
-    edges = F.startswith(marked, F.lit("\t")).cast("int") + F.endswith(marked, F.lit("\n")).cast("int")
-    return F.when(marked == "", 0).otherwise(runs + 1 - edges).cast("long")
+    def count(marked: Column) -> Column:
+        runs = (F.octet_length(marked) - F.octet_length(F.replace(marked, F.lit("\t\n"), F.lit("")))) / 2
+        edges = F.startswith(marked, F.lit("\t")).cast("int") + F.endswith(marked, F.lit("\n")).cast("int")
+        return F.when(marked == "", 0).otherwise(runs + 1 - edges).cast("long")
+
+    # Bound by a lambda, the marked text is made once however often the count refers to it.
+    return F.transform(F.array(_marked(F.coalesce(text, F.lit("")))), count)[0]
