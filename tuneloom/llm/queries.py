@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tuneloom.llm import bpe, exact, mixing, records, sharding, simhash
+from tuneloom.llm import bpe, exact, mixing, neighbours, records, sharding, simhash
 from tuneloom.llm.common import table
 from tuneloom.session import scratch_path
 
@@ -65,6 +65,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("row.doc_id", "keep_id", "group_size", "kept", "row.text_sha256")
 
 
+@query
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all others, by inner product."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, 20)
+
+
 @query
 def op9_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of near copies of every document."""
