@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tuneloom.llm import bpe, exact, mixing, neighbours, records, sharding, simhash
+from tuneloom.llm import bpe, exact, mixing, neighbours, records, sharding, simhash, toxicity
 from tuneloom.llm.common import table
 from tuneloom.session import scratch_path
 
@@ -49,6 +49,15 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op3_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.scored(docs.select("doc_id", "text"), model)
+    return scored.select("row.doc_id", toxicity.held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards of near equal bytes."""
