@@ -34,8 +34,8 @@ STANDS_FOR = {
 GAPS = " .-_*~'/,;:"
 SPELLED = re.compile(r"(?<!\S)\w(?: \w){3,}(?!\S)")
 STRETCHED = re.compile(r"(.)\1\1")
-COST_SUBSTITUTE, COST_GAP, COST_STRETCH, COST_DOUBLE = 1.0, 0.5, 1.5, 4.0
-COST_BREAK, COST_LOST = 1.0, 3.0  # a gap, or a stand-in, that does end a word
+COST_SUBSTITUTE, COST_GAP, COST_STRETCH = 1.0, 0.5, 1.5
+COST_BREAK, COST_LOST = 2.0, 8.0  # a gap, or a stand-in, that does end a word
 MOST_WORDS_HELD = 300_000
 
 
@@ -135,10 +135,8 @@ def lattice(word: str) -> list[list[tuple[float, list[tuple[str, int]]]]]:
         if char.isalpha():
             own = (char, _symbol(char))
             options.append((0.0, [own] * run))
-            if run > 1:
-                options.append((COST_STRETCH if run > 2 else COST_DOUBLE, [own]))
             if run > 2:
-                options.append((COST_STRETCH, [own, own]))
+                options += [(COST_STRETCH, [own]), (COST_STRETCH, [own, own])]
         else:
             options.append((COST_LOST if char in STANDS_FOR else COST_BREAK, [(" ", 0)]))
             if char in GAPS or char in STANDS_FOR and not char.isalnum():
@@ -146,7 +144,7 @@ def lattice(word: str) -> list[list[tuple[float, list[tuple[str, int]]]]]:
             for letter in STANDS_FOR.get(char, ""):
                 stand_in = (letter, _symbol(letter))
                 options.append((COST_SUBSTITUTE, [stand_in] * run))
-                if run > 1:
+                if run > 2:
                     options.append((COST_SUBSTITUTE + COST_STRETCH, [stand_in]))
         steps.append(options)
         at = end
