@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tuneloom.llm import bpe, exact, mixing, neighbours, records, sharding, simhash, toxicity
+from tuneloom.llm import bpe, exact, mixing, neighbours, records, repeats, sharding, simhash, toxicity
 from tuneloom.llm.common import table
 from tuneloom.session import scratch_path
 
@@ -74,6 +74,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("row.doc_id", "keep_id", "group_size", "kept", "row.text_sha256")
 
 
+@query
+def op7_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the bytes of 200-byte strings that start anywhere else as well."""
+    cut = repeats.without_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every twentieth vector among all others, by inner product."""
