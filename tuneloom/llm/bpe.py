@@ -3,7 +3,8 @@
 Each match of the splitting pattern is merged on its own. The leaves of its tree are byte positions; a
 leaf holds the rank of the pair that starts there together with the position, so the root is the
 leftmost pair of lowest rank. A merge updates the leaves of the merged pair and its live neighbours, each
-in logarithmic time: a match of n bytes takes O(n log n) however long it is.
+in logarithmic time: a match of n bytes takes O(n log n) however long it is. The trees of short matches
+are updated together, a level at a time.
 
 Defined results: null counts as the empty text, which has no ids; other columns pass through.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 import base64
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F
 
@@ -88,21 +90,98 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class Merger:
+    """Merges many matches at once: a forest of trees of one size whose updates run in step, a level at a time."""
+
+    WIDEST = 64  # longer matches have a tree of their own
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.most = ranks, len(ranks) + 1
+        halves = [(ranks[t[:i]] * self.most + ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        self.pairs, self.pair_ranks = (np.array(x, dtype=np.int64) for x in zip(*sorted(halves)))
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+
+    def _values(self, left: np.ndarray, right: np.ndarray, start: np.ndarray, live: np.ndarray) -> np.ndarray:
+        keys = left * self.most + right
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(live & (self.pairs[at] == keys), self.pair_ranks[at] << 32 | start, NO_PAIR)
+
+    def _forest(self, pieces: list[bytes], size: int) -> list[bytes]:
+        n, position = np.array([len(p) for p in pieces]), np.arange(size)
+        ids = self.bytes[np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), dtype=np.uint8).reshape(-1, size)]
+        after, before = np.tile(position + 1, (len(n), 1)), np.tile(position - 1, (len(n), 1))
+        alive = position < n[:, None]
+        tree = np.full((len(n), 2 * size), NO_PAIR)
+        tree[:, size:-1] = self._values(ids[:, :-1], ids[:, 1:], position[:-1], alive[:, 1:])
+        at = size
+        while at > 1:
+            at //= 2
+            tree[:, at:2 * at] = np.minimum(tree[:, 2 * at:4 * at:2], tree[:, 2 * at + 1:4 * at:2])
+
+        def put(rows: np.ndarray, leaf: np.ndarray, values) -> None:
+            tree[rows, leaf + size] = values
+            up = (leaf + size) >> 1
+            for _ in range(size.bit_length() - 1):
+                tree[rows, up] = np.minimum(tree[rows, 2 * up], tree[rows, 2 * up + 1])
+                up >>= 1
+
+        rows = np.arange(len(n))
+        while True:
+            root = tree[rows, 1]
+            rows, root = rows[root != NO_PAIR], root[root != NO_PAIR]
+            if not len(rows):
+                break
+            start = root & 0xFFFFFFFF
+            gone = after[rows, start]
+            following = after[rows, gone]
+            ids[rows, start], after[rows, start], alive[rows, gone] = root >> 32, following, False
+            more = following < n[rows]
+            before[rows[more], following[more]] = start[more]
+            put(rows, gone, NO_PAIR)
+            put(rows, start, self._values(ids[rows, start], ids[rows, np.minimum(following, size - 1)], start, more))
+            earlier = before[rows, start]
+            some = earlier >= 0
+            put(rows[some], earlier[some], self._values(ids[rows[some], earlier[some]], ids[rows[some], start[some]], earlier[some], True))
+        flat, ends = ids[alive].astype("<u4").tobytes(), (4 * np.cumsum(alive.sum(axis=1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def all(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each distinct match."""
+        found, sized = {}, {}
+        for piece in set(pieces):
+            rank = self.ranks.get(piece)
+            if rank is not None:
+                found[piece] = rank.to_bytes(4, "little")
+            elif len(piece) > self.WIDEST:
+                ids = merge(piece, self.ranks)
+                found[piece] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                sized.setdefault(1 << (len(piece) - 1).bit_length(), []).append(piece)
+        for size, some in sized.items():
+            found.update(zip(some, self._forest(some, size)))
+        return found
+
+
 def encoder(ranks: dict[bytes, int], pattern: str) -> ChunkTable:
     import regex
 
-    pieces = regex.compile(pattern)
+    split, merger = regex.compile(pattern).findall, Merger(ranks)
 
     def encode(texts: list[str]) -> list[bytes]:
-        found = []
-        for text in texts:
-            ids = [i for piece in pieces.findall(text) for i in merge(piece.encode(), ranks)]
-            found.append(struct.pack(f"<{len(ids)}I", *ids))
-        return found
+        cut = [[b] if (b := _one_word(text)) else [piece.encode() for piece in split(text)] for text in texts]
+        ids = merger.all([piece for pieces in cut for piece in pieces])
+        return [b"".join(map(ids.__getitem__, pieces)) for pieces in cut]
 
     return ChunkTable(encode)
 
 
+def _one_word(text: str) -> bytes | None:
+    """The bytes of a space and letters of well-known scripts, which the patterns of public vocabularies take as one match."""
+    if text[:1] == " " and text[1:].isalpha() and max(text) < "\u0250":
+        return text.encode()
+    return None
+
+
 class ByteBpe:
     """Columns of ids and of decoded bytes; the ranks travel as one broadcast of the vocabulary's size."""
 
