@@ -1,7 +1,7 @@
 """Token ids as length-delimited binary records, with an offset index for shuffled reads.
 
 A record is the payload's length (8 bytes), the masked checksum of those bytes (4), the payload (ids as
-little-endian unsigned 32-bit integers) and its masked checksum (4). Checksums are CRC-32 (zlib), masked
+little-endian unsigned integers, of 2 bytes where the vocabulary allows it, else of 4) and its masked checksum (4). Checksums are CRC-32 (zlib), masked
 by a rotation and an offset so that checksums stored inside checksummed data stay harmless. Each task
 writes one file for its stretch of ids; the index, a Parquet table, has a record's file, offset and
 length. A repeated or speculative task writes a file of its own, and only the files of tasks that Spark
@@ -28,7 +28,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from tuneloom.llm.chunks import ChunkTable
 
 MASK_DELTA = 0xA282EAD8
-INDEX_SCHEMA = "doc_id {kind}, part int, file string, offset long, bytes long, n_tokens long, before long"
+INDEX_SCHEMA = "doc_id {kind}, part int, file string, offset long, bytes long, n_tokens long, before long, width int"
 _READY: dict[str, ChunkTable] = {}  # per Python worker
 
 
@@ -96,7 +96,9 @@ def library_table(tokenizer_path: str) -> ChunkTable:
             out[i] = ids
         return out
 
-    return ChunkTable(encode)
+    table = ChunkTable(encode)
+    table.width = 2 if len(sizes) <= 1 << 16 else 4
+    return table
 
 
 def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, text: str = "text", doc_id: str = "doc_id") -> None:
@@ -118,20 +120,21 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                     texts = ["" if text is None else text for text in piece.column(1).to_pylist()]
                     index = []
                     for ids in table.texts(texts):
-                        record = frame(ids + end)
+                        whole = np.frombuffer(ids + end, dtype="<u4")
+                        record = frame(whole.astype(f"<u{table.width}").tobytes())
                         if out is None:
                             system, where = _file_system(root)
                             system.create_dir(where, recursive=True)
                             out = system.open_output_stream(f"{where}/{name}")
                         out.write(record)
-                        n = len(ids) // 4 + 1
+                        n = len(whole)
                         index.append((offset, len(record), n, before))
                         offset, before = offset + len(record), before + n
                     n = piece.num_rows
                     longs = [pa.array(column, pa.int64()) for column in zip(*index)]
                     yield pa.RecordBatch.from_arrays(
-                        [piece.column(0), pa.array([part] * n, pa.int32()), pa.array([name] * n, pa.string()), *longs],
-                        names=["doc_id", "part", "file", "offset", "bytes", "n_tokens", "before"],
+                        [piece.column(0), pa.array([part] * n, pa.int32()), pa.array([name] * n, pa.string()), *longs, pa.array([table.width] * n, pa.int32())],
+                        names=["doc_id", "part", "file", "offset", "bytes", "n_tokens", "before", "width"],
                     )
         finally:
             if out is not None:
@@ -152,9 +155,9 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(index: DataFrame, path: str) -> DataFrame:
-    """Rows of an index, or of any selection or order of it, with the ``ids`` in their record."""
+    """Rows of an index, or of any selection or order of it, with the ``ids`` in their record (as unsigned 32-bit integers)."""
     root, schema = f"{path}/records", StructType([*index.schema.fields, StructField("ids", BinaryType())])
-    at = {name: index.columns.index(name) for name in ("file", "offset", "bytes")}
+    at = {name: index.columns.index(name) for name in ("file", "offset", "bytes", "width")}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, where = _file_system(root)
@@ -163,12 +166,12 @@ def read_records(index: DataFrame, path: str) -> DataFrame:
             for start in range(0, batch.num_rows, 512):
                 piece = batch.slice(start, 512)
                 ids = []
-                for file, offset, size in zip(*(piece.column(at[c]).to_pylist() for c in ("file", "offset", "bytes"))):
+                for file, offset, size, width in zip(*(piece.column(i).to_pylist() for i in at.values())):
                     if file != name:
                         if source is not None:
                             source.close()
                         name, source = file, system.open_input_file(f"{where}/{file}")
-                    ids.append(unframe(source.read_at(size, offset)))
+                    ids.append(np.frombuffer(unframe(source.read_at(size, offset)), dtype=f"<u{width}").astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, "ids"])
 
     return index.mapInArrow(read, schema)
