@@ -65,6 +65,8 @@ def library_table(tokenizer_path: str) -> ChunkTable:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
+    if hasattr(tokenizer.model, "_resize_cache"):
+        tokenizer.model._resize_cache(0)  # the chunk table is the cache; a second one only costs
     vocabulary = tokenizer.get_vocab(with_added_tokens=False)
     sizes = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True) + 1, dtype=np.int64)
     for token, at in vocabulary.items():
