@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tuneloom.llm.licences import KNOWN, SPELLINGS
+
 OP1 = r"""
 with sized as (
   select doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::bigint as size
@@ -35,6 +37,32 @@ left join targets t on d.source is not distinct from t.source
 left join ordered o on o.doc_id is not distinct from d.doc_id and o.source is not distinct from d.source and o.size = d.size
 """
 
+
+
+def _canonical(text: str) -> str:
+    line = r"(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+    text = f"trim(regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{line}', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    for spelling, common in SPELLINGS:
+        text = f"replace({text}, '{spelling}', '{common}')"
+    return f"sha256({text})"
+
+
+def op5() -> str:
+    listed = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN)
+    return f"""
+with known as (select {_canonical('t')} as digest, min(n) as licence from (values {listed}) as k(n, t) group by 1),
+whole as (select doc_id, text, {_canonical('text')} as canonical_sha256 from documents),
+lines as (select doc_id, canonical_sha256, unnest(string_split(text, chr(10))) as line from whole),
+found as (
+  select distinct doc_id, canonical_sha256, k.licence from lines join known k on {_canonical('line')} = k.digest
+  where trim(line) <> ''),
+notices as (select doc_id, canonical_sha256, string_agg(licence, ',' order by licence) as notices from found group by 1, 2)
+select w.doc_id, w.canonical_sha256, k.licence, coalesce(n.notices, '') as notices
+from whole w left join known k on k.digest = w.canonical_sha256
+left join notices n on n.doc_id is not distinct from w.doc_id and n.canonical_sha256 = w.canonical_sha256
+"""
+
+
 OP6 = r"""
 with normal as (
   select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as body from documents)
@@ -45,4 +73,4 @@ from normal
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pareto_mix": OP1, "op6_exact_dedup": OP6}
+    return {"op1_pareto_mix": OP1, "op5_licence_digests": op5(), "op6_exact_dedup": OP6}

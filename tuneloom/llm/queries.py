@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tuneloom.llm import bpe, exact, mixing, neighbours, records, repeats, sharding, simhash, toxicity
+from tuneloom.llm import bpe, exact, licences, mixing, neighbours, records, repeats, sharding, simhash, toxicity
 from tuneloom.llm.common import table
 from tuneloom.session import scratch_path
 
@@ -65,6 +65,12 @@ def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op5_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every whole text, and of its lines."""
+    return licences.licence_scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one that stays of its equal texts."""

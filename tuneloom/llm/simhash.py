@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tuneloom.llm.common import stored
 from tuneloom.llm.components import components
@@ -175,11 +175,27 @@ def _ask_trees(rows: DataFrame, radius: int) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 2) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row; the component is named by its smallest id."""
+    """``doc_id, fp, component_id, root`` of every row; a component is named by its smallest id (and by its smallest fingerprint)."""
     marked = stored(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), words).alias("fp")), "simhash")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     roots = components(near_links(distinct, radius)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(lowest, "root").select("fp", "component_id", "root")
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def kept_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 2) -> DataFrame:
+    """``docs`` with one row of each component: the row with the smallest id, of several such rows one."""
+    named = stored(near_copies(docs, text, doc_id, words, radius), "simhash-named")
+    per_id = named.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
+    if per_id.isEmpty():
+        # Ids are unique: a row stays if it names its component.
+        kept = named.filter("doc_id = component_id").select(F.col("doc_id").alias("__id"))
+        return docs.join(kept, F.col(doc_id) == F.col("__id"), "left_semi")
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("f"))
+    first = first.select(F.col("f.doc_id").alias("__id"), F.col("f.fp").alias("__of"))
+    rows = docs.withColumn("__fp", fingerprint(F.col(text), words))
+    rows = rows.join(first, (F.col("__fp") == F.col("__of")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("__fp", doc_id).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns])))
+    return rows.withColumn("__nth", nth).filter("__nth = 1").drop("__nth", "__fp")
