@@ -1,0 +1,99 @@
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+from conftest import SF
+from odd_rows import no_docs, odd_docs  # noqa: F401
+from pyspark.sql import functions as F
+
+from tuneloom.llm import exact, sharding
+from tuneloom.llm.queries import queries
+
+
+def normal(text):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+
+
+def test_exact_dedup_of_odd_rows(odd_docs, no_docs):
+    got = exact.exact_dedup(odd_docs, keep=["doc_id", "text"]).select("row.*", "keep_id", "group_size", "kept").collect()
+    groups = defaultdict(list)
+    for row in odd_docs.collect():
+        groups[normal(row["text"])].append(row["doc_id"])
+    assert len(got) == odd_docs.count()
+    for row in got:
+        ids = groups[normal(row["text"])]
+        assert row["group_size"] == len(ids)
+        assert row["keep_id"] == min((i for i in ids if i is not None), default=None)
+    assert sum(row["kept"] for row in got) == len(groups)
+    assert exact.kept_rows(odd_docs).columns == odd_docs.columns
+    assert exact.exact_dedup(no_docs).collect() == []
+
+
+def test_same_length_and_prefix_but_not_equal(spark):
+    head = "h" * 300
+    docs = spark.createDataFrame([(1, head + "a"), (2, head + "b"), (3, head + "a"), (4, "h" * 301)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact.exact_dedup(docs).select("row.doc_id", "keep_id", "kept").collect()}
+    assert got == {1: (1, True), 2: (2, True), 3: (1, False), 4: (4, True)}
+
+
+def test_exact_query(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    first = {}
+    for i in sorted(docs):
+        first.setdefault(normal(docs[i]), i)
+    for row in queries()["op6_exact_dedup"](spark, SF).collect():
+        text = normal(docs[row["doc_id"]])
+        assert row["keep_id"] == first[text] and row["kept"] == (row["doc_id"] == first[text])
+        assert row["text_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def check_shards(rows, texts, shards):
+    slots, sizes = defaultdict(list), [0] * shards
+    for row in rows:
+        slots[row["shard"]].append(row["slot"])
+        sizes[row["shard"]] += row["size"]
+        body = (texts[row["doc_id"]] or "").encode()
+        assert row["size"] == len(body) + 8 and row["text_crc32"] == zlib.crc32(body)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    return sizes
+
+
+def test_shards_of_whole_table(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries()["op4_histogram_shards"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    sizes = check_shards(rows, texts, 24)
+    largest = max(row["size"] for row in rows)
+    assert max(sizes) - min(sizes) <= 2 * largest
+
+
+def test_splitters_are_the_nearest_boundaries(spark):
+    rows = [(i * i % 10_007 << 40, 1 + i % 9) for i in range(3000)]
+    keyed = spark.createDataFrame(rows, "key long, size long")
+    total = sum(size for _, size in rows)
+    for k, splitter in enumerate(sharding.find_splitters(keyed, 8, 0.0), 1):
+        below = sum(size for key, size in rows if key < splitter)
+        keys = sorted({key for key, _ in rows}) + [1 << 62]
+        assert abs(below - total * k / 8) == min(abs(sum(s for key, s in rows if key < edge) - total * k / 8) for edge in keys)
+
+
+def test_a_huge_group_of_copies_is_cut_and_small_ones_stay_together(spark):
+    rows = [(i, "copy") for i in range(3000)] + [(3000 + i, f"text number {i // 3:05d}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = sharding.histogram_shards(docs, 12, tolerance=0.01).collect()
+    sizes = check_shards(placed, dict(rows), 12)
+    assert max(sizes) - min(sizes) < 0.03 * sum(sizes) / 12
+    homes = defaultdict(set)
+    for row in placed:
+        homes[row["text_crc32"]].add(row["shard"])
+    assert sum(len(h) > 1 for h in homes.values()) <= 4
+
+
+def test_odd_shards(odd_docs, no_docs):
+    rows = sharding.histogram_shards(odd_docs, 24).collect()
+    assert len(rows) == odd_docs.count() and {row["shard"] for row in rows} <= set(range(24))
+    assert sharding.histogram_shards(no_docs, 24).collect() == []
+    moved = sharding.sharded_rows(odd_docs.drop("shard"), 4)
+    assert moved.drop("shard").columns == odd_docs.drop("shard").columns and moved.count() == odd_docs.count()
+    assert moved.select("shard").distinct().count() > 1 and moved.filter(F.col("shard").isNull()).isEmpty()
