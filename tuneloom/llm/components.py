@@ -27,7 +27,7 @@ def _digest(links: DataFrame) -> tuple:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, root`` for every node of the links ``a, b``; the root is the smallest node of the component.
+    """``node, root`` for every node of the links ``a, b`` but the roots; a root is the smallest node of its component.
 
     Every round is written to the shared folder; the rounds grow with the logarithm of the longest chain.
     """
