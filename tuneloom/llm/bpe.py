@@ -12,15 +12,18 @@ Defined results: null counts as the empty text, which has no ids; other columns
 from __future__ import annotations
 
 import base64
+import re
 import struct
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F
 
-from tuneloom.llm.chunks import ChunkTable
+from tuneloom.llm.chunks import MOST_CHARS, MOST_ENTRIES, ChunkTable
 
 NO_PAIR = 1 << 62
+#: A space, letters of the Latin blocks and perhaps one mark, which the patterns of public vocabularies take as a match or two.
+PLAIN_WORD = re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+([.,;:!?])?")
 _READY: dict[tuple, object] = {}  # per Python worker
 
 
@@ -98,21 +101,46 @@ class Merger:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.most = ranks, len(ranks) + 1
         halves = [(ranks[t[:i]] * self.most + ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.pairs, self.pair_ranks = (np.array(x, dtype=np.int64) for x in zip(*sorted(halves)))
+        pairs, pair_ranks = (np.array(x, dtype=np.int64) for x in zip(*halves))
+        # An open hash table: a pair stands at its slot or one of the next few.
+        self.bits = len(pairs).bit_length() + 3
+        self.slots, self.slot_ranks = np.full((1 << self.bits) + 64, -1), np.zeros((1 << self.bits) + 64, dtype=np.int64)
+        self.reach, at, left = 0, self._slot(pairs), np.arange(len(pairs))
+        while len(left):
+            free = left[self.slots[at[left]] < 0]
+            _, one = np.unique(at[free], return_index=True)
+            placed = free[one]
+            self.slots[at[placed]], self.slot_ranks[at[placed]] = pairs[placed], pair_ranks[placed]
+            left = np.setdiff1d(left, placed)
+            at[left] += 1
+            self.reach += 1
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.byte_pairs = self._ranks(np.repeat(self.bytes, 256), np.tile(self.bytes, 256))
 
-    def _values(self, left: np.ndarray, right: np.ndarray, start: np.ndarray, live: np.ndarray) -> np.ndarray:
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, -1 where they don't merge."""
         keys = left * self.most + right
-        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-        return np.where(live & (self.pairs[at] == keys), self.pair_ranks[at] << 32 | start, NO_PAIR)
+        at, found = self._slot(keys), np.full(len(keys), -1)
+        for step in range(self.reach):
+            hit = self.slots[at + step] == keys
+            found[hit] = self.slot_ranks[at[hit] + step]
+        return found
+
+    def _values(self, left: np.ndarray, right: np.ndarray, start: np.ndarray, live: np.ndarray) -> np.ndarray:
+        rank = self._ranks(left, right)
+        return np.where(live & (rank >= 0), rank << 32 | start, NO_PAIR)
 
     def _forest(self, pieces: list[bytes], size: int) -> list[bytes]:
         n, position = np.array([len(p) for p in pieces]), np.arange(size)
-        ids = self.bytes[np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), dtype=np.uint8).reshape(-1, size)]
+        raw = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), dtype=np.uint8).reshape(-1, size)
+        ids, pairs = self.bytes[raw], self.byte_pairs[raw[:, :-1].astype(np.int64) << 8 | raw[:, 1:]]
         after, before = np.tile(position + 1, (len(n), 1)), np.tile(position - 1, (len(n), 1))
         alive = position < n[:, None]
         tree = np.full((len(n), 2 * size), NO_PAIR)
-        tree[:, size:-1] = self._values(ids[:, :-1], ids[:, 1:], position[:-1], alive[:, 1:])
+        tree[:, size:-1] = np.where(alive[:, 1:] & (pairs >= 0), pairs << 32 | position[:-1], NO_PAIR)
         at = size
         while at > 1:
             at //= 2
@@ -165,23 +193,29 @@ class Merger:
 def encoder(ranks: dict[bytes, int], pattern: str) -> ChunkTable:
     import regex
 
-    split, merger = regex.compile(pattern).findall, Merger(ranks)
+    split, merger, known = regex.compile(pattern).findall, Merger(ranks), {}
+
+    def cut(text: str) -> list[str]:
+        word = PLAIN_WORD.fullmatch(text)
+        return split(text) if word is None else [text] if word.end(1) == -1 else [text[:-1], text[-1]]
 
     def encode(texts: list[str]) -> list[bytes]:
-        cut = [[b] if (b := _one_word(text)) else [piece.encode() for piece in split(text)] for text in texts]
-        ids = merger.all([piece for pieces in cut for piece in pieces])
-        return [b"".join(map(ids.__getitem__, pieces)) for pieces in cut]
+        pieces = [cut(text) for text in texts]
+        new = list(set().union(*pieces).difference(known))
+        if len(known) + len(new) > MOST_ENTRIES:
+            known.clear()
+            new = list(set().union(*pieces))
+        coded = [piece.encode() for piece in new]
+        ids = merger.all(coded)
+        long = {}
+        for piece, data in zip(new, coded):
+            (known if len(piece) <= MOST_CHARS else long)[piece] = ids[data]
+        find = known.__getitem__ if not long else lambda piece: known[piece] if piece in known else long[piece]
+        return [b"".join(map(find, one)) for one in pieces]
 
     return ChunkTable(encode)
 
 
-def _one_word(text: str) -> bytes | None:
-    """The bytes of a space and letters of well-known scripts, which the patterns of public vocabularies take as one match."""
-    if text[:1] == " " and text[1:].isalpha() and max(text) < "\u0250":
-        return text.encode()
-    return None
-
-
 class ByteBpe:
     """Columns of ids and of decoded bytes; the ranks travel as one broadcast of the vocabulary's size."""
 
