@@ -22,9 +22,7 @@ def frame(spark, data, parts=7):
 
 @pytest.mark.parametrize("n", [1, 3, 50, 70])
 @pytest.mark.parametrize("parts", [1, 40])
-def test_top_n_equals_brute_force(spark, monkeypatch, n, parts):
-    # Long lists: the hot group and one more count as large.
-    monkeypatch.setattr(scale, "ROWS_PER_SPLIT", 90)
+def test_top_n_equals_brute_force(spark, n, parts):
     data = skewed()
     expected = []
     for g in {d[0] for d in data}:
@@ -66,33 +64,70 @@ def test_previous_row_equals_lag(spark, stretch):
     assert got == sorted(expected, key=repr)
 
 
-@pytest.mark.parametrize("rows_per_split", [1, 5, 50, 10_000])
-def test_join_groups_with_split_groups_and_null_keys(spark, rows_per_split):
-    data = skewed(300)
+def test_previous_row_with_null_groups_and_repeated_numbers(spark):
+    data = [(g, i, i) for g in (None, "a") for i in range(25)] + [("b", 9, 1), ("b", 9, 2), ("b", 12, 3), (None, 30, 30)]
+    got = previous_row(frame(spark, data), ["g"], "seq", {"before": "v"}, 10).collect()
+    assert len(got) == len(data)
+    for row in got:
+        if row["g"] != "b":
+            assert row["before"] == (24 if row["seq"] == 30 else row["seq"] - 1 if row["seq"] else None)
+            assert row["has_previous"] == (row["seq"] > 0)
+    assert [r["before"] in (1, 2) for r in got if r["g"] == "b" and r["seq"] == 12] == [True]
+
+
+def test_texts_of_pairs_are_shuffled_once(spark):
+    from pyspark.sql.types import StringType
+
+    text = "t" * 1000
+    turns = spark.createDataFrame([(c, t, "user" if t % 2 else "assistant", text) for c in range(50) for t in range(8)], "conv_id int, turn int, role string, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = tl.dialogue_pairs(turns)
+        pairs.collect()
+        final = plan(pairs).split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert final.count("Exchange hashpartitioning") == 1 and isinstance(pairs.schema["prompt"].dataType, StringType)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_join_groups_with_null_keys(spark, broadcast):
+    data = skewed(300) + [(f"g{i % 1500}", i, 1) for i in range(3000)]
     sums = {}
     for g, _, v in data:
         sums[g] = sums.get(g, 0) + v
     df = frame(spark, data)
-    per_group = df.groupBy("g").agg(F.sum("v").alias("s"))
-    got = rows(join_groups(df, per_group, ["g"], rows_per_split=rows_per_split))
-    assert got == sorted(((*d, sums[d[0]]) for d in data), key=repr)
-    some = per_group.where("g = 'hot' or g is null")
-    inner = rows(join_groups(df, some, ["g"], how="inner", rows_per_split=rows_per_split))
+    if not broadcast:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        per_group = df.groupBy("g").agg(F.sum("v").alias("s"))
+        assert rows(join_groups(df, per_group, ["g"])) == sorted(((*d, sums[d[0]]) for d in data), key=repr)
+        some = per_group.where("g = 'hot' or g is null")
+        inner = rows(join_groups(df, some, ["g"], how="inner"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert inner == sorted(((*d, sums[d[0]]) for d in data if d[0] in ("hot", None)), key=repr)
 
 
-def test_join_groups_spreads_the_large_group(spark):
-    data = [("hot", i, 0) for i in range(400)] + [("a", i, 0) for i in range(10)]
-    df = frame(spark, data)
-    joined = join_groups(df, df.groupBy("g").agg(F.count(F.lit(1)).alias("n")), ["g"], rows_per_split=50)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+def test_adaptive_execution_splits_a_large_group_of_equal_rows(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    data = [("hot", 1, 1)] * 20_000 + [(f"g{i}", i, 0) for i in range(50)]
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
-        sizes = joined.where("g = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+        df = frame(spark, data, 20)
+        joined = join_groups(df, df.groupBy("g").agg(F.count(F.lit(1)).alias("n")), ["g"])
+        assert joined.where("g = 'hot' and n = 20000").count() == 20_000
+        joined.write.format("noop").mode("overwrite").save()
+        joined.collect()
+        assert "skew=true" in plan(joined)
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert len(sizes) > 2 and max(r["count"] for r in sizes) < 300
+        for key in settings:
+            spark.conf.unset(key)
 
 
 @pytest.mark.parametrize("ddof", [0, 1])
@@ -117,7 +152,7 @@ def test_group_advantage(spark, ddof):
 def test_prompt_column(spark):
     df = spark.createDataFrame([("q", "a")], "question string, answer string")
     assert tl.prompt_column(df, "question").columns == ["prompt", "answer"]
-    with pytest.raises(ValueError, match="not found in dataset columns"):
+    with pytest.raises(ValueError, match="No column 'missing'"):
         tl.prompt_column(df, "missing")
     with pytest.raises(ValueError, match="another 'prompt'"):
         tl.prompt_column(df.withColumn("prompt", F.lit("x")), "question")
@@ -169,4 +204,3 @@ def test_flagship_reads_texts_once_and_shuffles_only_rewards(spark):
     final = plan(df).split("== Initial Plan ==")[0]
     scans = [line for line in final.splitlines() if "FileScan" in line and "text:string" in line]
     assert len(scans) == 1
-    assert "ReusedExchange" in final

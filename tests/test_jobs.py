@@ -100,7 +100,7 @@ def test_sft_job(spark, data, tmp_path):
 def test_grpo_job_and_scoring(spark, data, tmp_path):
     job = job_from_dict({**GRPO, "output_dir": f"{tmp_path}/run"})
     summary = jobs.run_job(spark, data, job)
-    assert summary == {"output_dir": f"{tmp_path}/run", "type": "grpo", "num_rewards": 2, "rows": 15}
+    assert summary == {"output_dir": f"{tmp_path}/run", "type": "grpo", "num_rewards": 2, "rows": 15, "truncated": 15}
     prompts = spark.read.parquet(f"{tmp_path}/run/prompts")
     assert rows(prompts.where("id = 3"), "prompt", "gen_idx") == [("question number", i) for i in range(3)]
 
@@ -126,7 +126,7 @@ def test_scoring_with_group_reward_and_repeated_names(spark, data):
     df = spark.createDataFrame(data_, "id int, gen_idx int, prompt string, completion string")
     out = jobs.scored_completions(df, job, ["id"])
     assert rows(out, "gen_idx", "length_reward", "length_reward_2", "distinct", "total_reward") == [
-        (0, 1.0, 0.5, 2.0, 3.25), (1, 0.0, 1.0, 2.0, 2.5), (2, 1.0, 0.5, 2.0, 3.25), (3, 1.0, 0.5, 1.0, 2.25)
+        (0, 1.0, 0.5, 3.0, 4.25), (1, 0.0, 1.0, 3.0, 3.5), (2, 1.0, 0.5, 3.0, 4.25), (3, 1.0, 0.5, 3.0, 4.25)
     ]
 
 
@@ -134,6 +134,22 @@ def distinct(prompts, completions):
     return [float(len(set(completions)))] * len(completions)
 
 
+def test_scoring_job_counts_late_answers_and_resumes(spark, tmp_path):
+    job = job_from_dict({
+        "type": "grpo", "dataset": {"name": "x"}, "output_dir": f"{tmp_path}/scored", "max_completion_length": 8,
+        "rewards": [{"name": "regex_format_reward", "kwargs": {"pattern": "</answer>"}}],
+    })
+    data_ = [(i % 3, i, "p", "word " * 300 + ("</answer>" if i % 2 else "")) for i in range(12)]
+    df = spark.createDataFrame(data_, "step int, gen_idx int, prompt string, completion string")
+    summary = jobs.run_scoring(spark, df, job, ["step"], "step")
+    assert summary["rows"] == 12 and summary["mean_total"] == 0.5 and summary["samples"] == 12
+    scores = spark.read.parquet(f"{tmp_path}/scored/scores")
+    assert rows(scores, "gen_idx", "total_reward") == sorted(((i, float(i % 2)) for i in range(12)), key=repr)
+    assert scores.where("length(completion) < 1500").isEmpty()
+    again = jobs.run_scoring(spark, df.limit(0), job, ["step"], "step")
+    assert again == summary
+
+
 def test_stream_texts(spark, data, tmp_path):
     job = job_from_dict({"dataset": {"name": "poems", "column_map": {"question": "instruction"}, "key": "id"}, "output_dir": f"{tmp_path}/s"})
     jobs.stream_texts(spark, data, job).awaitTermination()

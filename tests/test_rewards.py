@@ -19,7 +19,7 @@ def scores(spark, completions, *specs, schema="string", **defaults):
 
 def test_length(spark):
     spec = {"name": "length_reward", "kwargs": {"target_tokens": 100}}
-    assert scores(spark, ["word " * n for n in (50, 100, 150, 300)], spec) == [0.5, 1.0, 0.5, 0.0]
+    assert scores(spark, ["leaf " * n for n in (25, 100, 140, 260)], spec) == [0.25, 1.0, pytest.approx(0.6), 0.0]
     assert scores(spark, ["a"], "length_reward", target_tokens=10) == [pytest.approx(0.1)]
     assert scores(spark, ["", "a", None], "length_reward", target_tokens=0) == [1.0, 0.0, 1.0]
     assert scores(spark, ["word " * 256], "length_reward") == [1.0]
@@ -32,8 +32,8 @@ def test_length_of_messages(spark):
 
 
 def test_regex(spark):
-    spec = {"name": "regex_format_reward", "kwargs": {"pattern": r"<answer>\d+</answer>"}}
-    assert scores(spark, ["<answer>1</answer>", "no", "prefix <answer>9</answer> suffix", None], spec) == [1.0, 0.0, 1.0, 0.0]
+    spec = {"name": "regex_format_reward", "kwargs": {"pattern": r"\[total: \d+\]"}}
+    assert scores(spark, ["[total: 7]", "total 7", "so [total: 31] it is", None], spec) == [1.0, 0.0, 1.0, 0.0]
     assert scores(spark, ["", "x\ny"], "regex_format_reward") == [1.0, 1.0]
     assert scores(spark, ["ABC"], "regex_format_reward", pattern="b", flags=2) == [1.0]
     with pytest.raises(ValueError, match="flags"):
@@ -46,10 +46,10 @@ def test_regex_only_python_knows(spark):
 
 
 def test_contains(spark):
-    assert scores(spark, ["The quick brown fox"], "contains_reward", keywords=["quick", "fox", "slow"]) == [pytest.approx(2 / 3)]
-    assert scores(spark, ["HELLO world"], "contains_reward", keywords=["hello"]) == [1.0]
-    assert scores(spark, ["anything"], "contains_reward") == [0.0]
-    assert scores(spark, ["anything"], "contains_reward", keywords=[]) == [0.0]
+    assert scores(spark, ["Rain falls over a calm harbour"], "contains_reward", keywords=["rain", "harbour", "desert"]) == [pytest.approx(2 / 3)]
+    assert scores(spark, ["MARBLE stairs"], "contains_reward", keywords=["marble"]) == [1.0]
+    assert scores(spark, ["pebble"], "contains_reward") == [0.0]
+    assert scores(spark, ["pebble"], "contains_reward", keywords=[]) == [0.0]
     assert scores(spark, ["ab"], "contains_reward", keywords=["a", "A", "x", ""]) == [0.75]
 
 
@@ -90,9 +90,9 @@ def test_resolver_forms(spark):
 @pytest.mark.parametrize(
     "spec, error, message",
     [
-        ("nonexistent_reward_xyz", ValueError, "Unknown reward"),
-        ("not.a.real.module.func", ValueError, "Could not import"),
-        ("json:no_such_function", ValueError, "no attribute"),
+        ("kindness", ValueError, "No reward is registered"),
+        ("tuneloom.absent_part.score", ValueError, "does not load"),
+        ("math:kindness", ValueError, "defines none of"),
         (5, TypeError, "reward spec"),
         ({"kwargs": {}}, ValueError, "Bad reward spec"),
         ({"name": "length_reward", "scope": "x"}, ValueError, "scope"),
@@ -166,18 +166,20 @@ def test_native_rewards_need_no_python_and_split_once(spark):
     assert optimized.count("lower(") == 1
 
 
-def test_group_reward_sees_whole_rounds(spark):
+def test_group_reward_sees_what_is_compared(spark):
     def share(prompts, completions):
         return [len(set(completions)) / len(completions)] * len(completions)
 
     data = [(g, i, "p", f"c{(g + i) % 3}") for g in range(5) for i in range(8)]
     df = spark.createDataFrame(data, "g int, gen_idx int, prompt string, completion string").repartition(7)
-    out = tl.score_group_reward(df, {"name": share, "scope": "group"}, ["g"], "gen_idx", 4)
-    expected = []
-    for g, i, p, c in data:
-        group = [d[3] for d in data if d[0] == g and d[1] // 4 == i // 4]
-        expected.append((g, i, p, c, len(set(group)) / len(group)))
-    assert rows(out) == sorted(expected, key=repr)
+    for by, same in ((["g"], lambda a, b: a[0] == b[0]), (["g", "round"], lambda a, b: a[0] == b[0] and a[1] // 4 == b[1] // 4)):
+        frame = df.withColumn("round", F.expr("gen_idx div 4"))
+        out = tl.score_group_reward(frame, {"name": share, "scope": "group"}, by, "gen_idx").drop("round")
+        expected = []
+        for row in data:
+            group = [d[3] for d in data if same(d, row)]
+            expected.append((*row, len(set(group)) / len(group)))
+        assert rows(out) == sorted(expected, key=repr)
     with pytest.raises(ValueError, match="group scope"):
         tl.score_rewards(df, [{"name": share, "scope": "group"}])
 

@@ -167,3 +167,39 @@ def test_write_rows_measures_while_writing(spark, tmp_path):
     assert len(list((tmp_path / "out").glob("*.parquet"))) >= 5
     write_document(spark, f"{tmp_path}/doc", {"type": "sft", "n": 3})
     assert read_document(spark, f"{tmp_path}/doc") == {"type": "sft", "n": 3}
+
+
+@pytest.mark.parametrize("kind, keys", [
+    ("bigint", [1, 1, 1, 2, 5, 5]), ("string", ["a", "a", "a", "b", "c", "c"]), ("date", None),
+])
+def test_repeated_keys_are_exact_or_refused(spark, kind, keys):
+    from datetime import date
+
+    keys = keys or [date(2024, 1, d) for d in (1, 1, 1, 2, 5, 5)]
+    df = spark.createDataFrame([(k,) for k in keys], f"k {kind}").repartition(3)
+    for start in range(7):
+        for stop in range(start, 7):
+            parted = any(0 < edge < 6 and keys[edge - 1] == keys[edge] for edge in (start, stop)) and start != stop
+            if parted:
+                with pytest.raises(ValueError, match="not unique"):
+                    positional_slice(df, "k", start, stop).collect()
+            else:
+                assert sorted(r["k"] for r in positional_slice(df, "k", start, stop).collect()) == keys[start:stop]
+
+
+@pytest.mark.parametrize("kind, keys", [("bigint", [None, 1, 2]), ("string", [None, "a", "b"])])
+def test_null_keys_are_refused(spark, kind, keys):
+    df = spark.createDataFrame([(k,) for k in keys], f"k {kind}")
+    with pytest.raises(ValueError, match="null"):
+        positional_slice(df, "k", 0, 2).collect()
+
+
+def test_a_shared_folder_has_to_be_named_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from tuneloom.session import shared_dir
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(fake)

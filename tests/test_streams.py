@@ -119,20 +119,39 @@ def parity(prompts, completions):
     return [float(len(c) % 4) for c in completions]
 
 
-def test_failing_capture_does_not_stop_the_stream(spark, tmp_path, caplog):
-    spark.createDataFrame([("a", 1.0)], "completion string, reward double").write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("completion string, reward double").parquet(f"{tmp_path}/in")
-    # The capture columns do not exist, so every capture fails.
-    streams.capture_stream(stream, f"{tmp_path}/samples", f"{tmp_path}/c1").awaitTermination()
-    assert "Capture of batch 0 failed" in caplog.text
+def test_failing_capture_does_not_touch_the_scores_and_loses_nothing(spark, tmp_path):
+    schema = "run_id string, step int, reward_name string, pos int, completion string, reward double"
+    spark.createDataFrame([("r", 1, "len", 0, "a", 1.0)], schema).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    broken = streams.capture_table(f"{tmp_path}/samples", order=("no_such_column",))
+    with pytest.raises(Exception):
+        streams.capture_stream(stream, broken, f"{tmp_path}/c1").awaitTermination()
     streams.append_stream(stream, f"{tmp_path}/scores", f"{tmp_path}/c2").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/scores").count() == 1
+    mended = streams.capture_table(f"{tmp_path}/samples")
+    streams.capture_stream(stream, mended, f"{tmp_path}/c1").awaitTermination()
+    assert mended.read(spark).count() == 1
 
 
-def test_capture_stream(spark, tmp_path):
-    data = [("r", 1, "len", i, f"c{i}", float(i)) for i in range(9)]
+def test_capture_keeps_the_first_of_a_step_over_all_batches(spark, tmp_path):
+    data = [("r", i % 2, "len", 100 - i, f"c{i}", float(i)) for i in range(40)]
     schema = "run_id string, step int, reward_name string, pos int, completion string, reward double"
-    spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-    streams.capture_stream(stream, f"{tmp_path}/out", f"{tmp_path}/c", max_per_step=2).awaitTermination()
-    assert rows(spark.read.parquet(f"{tmp_path}/out"), "pos", "completion") == [(0, "c0"), (1, "c1")]
+    spark.createDataFrame(data, schema).repartition(5, "pos").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    live = streams.capture_table(f"{tmp_path}/out", fold_every=2, max_per_step=3)
+    streams.capture_stream(stream, live, f"{tmp_path}/c").awaitTermination()
+    first = [sorted((d[3], d[4]) for d in data if d[1] == step)[:3] for step in (0, 1)]
+    assert rows(live.read(spark), "pos", "completion") == sorted(first[0] + first[1], key=repr)
+
+
+def test_live_log_tail(spark, tmp_path):
+    data = [(f"run{i % 3}", i, datetime(2024, 1, 1, 9, 0, i % 60), f"line {i}") for i in range(90)]
+    schema = "run_id string, seq bigint, ts timestamp, line string"
+    df = spark.createDataFrame(data, schema)
+    df.repartition(4, "seq").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    live = streams.log_table(f"{tmp_path}/out", max_lines=5, fold_every=2)
+    streams.log_stream(stream, live, f"{tmp_path}/c").awaitTermination()
+    from tuneloom.operators.telemetry import log_tail
+
+    assert rows(streams.current_log(spark, live, 5)) == rows(log_tail(df, 5))

@@ -134,3 +134,31 @@ def test_random_patterns_of_brackets(spark):
             continue
         got = column(spark, SUBJECTS, F.col("t").rlike(to_spark_pattern(pattern)))
         assert got == [bool(re.search(pattern, s)) for s in SUBJECTS], pattern
+
+
+BRACE_PATTERNS = [
+    (r"^{.*}$", 0), (r'{"answer"', 0), (r'{"answer": \d{1,3}}', 0), ("ab{,3}c", 0), ("a{2,}b", 0), ("x{}y", 0), ("x{,}y", 0), ("{x{2}}", 0),
+    (r"(?i:yes)\s{no}", 0), (r"(?m)^\{$", 0), (r"[{}]+,{1,2}", 0), (r"a{b}c{,1}d", 0), (r"(?s-i:a.b)", 2), (r"(?x: a b )", 0), (r"(?a:\w)", 0), (r"(?#note)a", 0),
+]
+BRACE_TEXTS = [
+    "{}", "{a}", '{"answer": 12}', 'x{"answer"', "abbbc", "ac", "abbbbc", "aab", "x{}y", "xy", "xxxy", "{xx}", "YES {no}", "yes\t{no}", "a\n{\n", "{},,", "a{b}cd", "a{b}ccd",
+    "a\nb", "A\nb", "ab", "é", "w", None,
+]
+
+
+@pytest.mark.parametrize("pattern, flags", BRACE_PATTERNS)
+def test_braces_and_inline_flags(spark, pattern, flags):
+    import re
+
+    import tuneloom as tl
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(BRACE_TEXTS)], "i int, completion string").withColumn("prompt", F.lit(""))
+    spec = {"name": "regex_format_reward", "kwargs": {"pattern": pattern, "flags": flags}}
+    got = [r["regex_format_reward"] for r in tl.score_rewards(df, [spec]).orderBy("i").collect()]
+    assert got == [float(bool(re.search(pattern, t or "", flags))) for t in BRACE_TEXTS]
+
+
+def test_what_only_python_has_is_found_on_the_driver(spark):
+    for pattern in (r"(?a:\w)", r"(?x: a)", r"(?#note)a", r"(a)?(?(1)b|c)"):
+        with pytest.raises(NotPortable):
+            to_spark_pattern(pattern)

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors.exceptions.captured import CapturedException
+
 # Python flag bits that have an inline form both sides share.
 INLINE_FLAGS = {re.IGNORECASE: "i", re.MULTILINE: "m", re.DOTALL: "s", re.VERBOSE: "x"}
 ALLOWED_FLAGS = re.IGNORECASE | re.MULTILINE | re.DOTALL | re.VERBOSE | re.UNICODE | re.ASCII
@@ -12,8 +16,10 @@ ALLOWED_FLAGS = re.IGNORECASE | re.MULTILINE | re.DOTALL | re.VERBOSE | re.UNICO
 SPACE_MEMBERS = r"\s\x1c-\x1f"
 WORD_MEMBERS = r"\p{L}\p{N}_"
 
-# One piece of a pattern: an escape, a bracket, a named-group opener, or any character.
-_PIECE = re.compile(r"\\[\s\S]|\(\?P<\w+>|\(\?P=\w+\)|\(\?\(|&&|[\s\S]")
+# One piece of a pattern: an escape, a named-group or flag opener, a quantifier in braces, or any character.
+_PIECE = re.compile(
+    r"\\[\s\S]|\(\?P<\w+>|\(\?P=\w+\)|\(\?\(|\(\?[aiLmsux]*-?[aiLmsux]+[:)]|\{\d+(?:,\d*)?\}|\{,\d*\}|&&|[\s\S]"
+)
 
 
 class NotPortable(ValueError):
@@ -52,6 +58,13 @@ def to_spark_pattern(pattern: str, flags: int = 0) -> str:
                 raise NotPortable(f"{piece!r} inside a negated bracket has no counterpart: {pattern!r}")
             elif members:
                 piece = f"[^{members}]"
+        elif piece == "{":
+            # Braces that hold no count are themselves.
+            piece = r"\{"
+        elif piece.startswith("{,"):
+            piece = "{0" + piece[1:]
+        elif piece.startswith("(?") and piece[-1] in ":)" and set(piece) & set("aLux"):
+            raise NotPortable(f"{piece!r} changes what classes mean: {pattern!r}")
         elif letter == "Z":
             piece = r"\z"
         elif members:
@@ -65,4 +78,15 @@ def to_spark_pattern(pattern: str, flags: int = 0) -> str:
             in_class, negated = True, False
             class_start = len(out) + 1
         out.append(piece)
-    return f"(?{inline})" + "".join(out)
+    return _compiled(f"(?{inline})" + "".join(out))
+
+
+def _compiled(pattern: str) -> str:
+    """``pattern``, tried once on the driver, so that what is left over fails there and not in a task."""
+    context = SparkContext._active_spark_context
+    if context is not None and getattr(context, "_jvm", None) is not None:
+        try:
+            context._jvm.java.util.regex.Pattern.compile(pattern)
+        except (Py4JJavaError, CapturedException) as error:
+            raise NotPortable(f"No counterpart of {pattern!r}: {error}") from error
+    return pattern

@@ -7,14 +7,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-# Buckets of the shuffle: this many leading hex digits of the row's hash.
-BUCKET_DIGITS = 3
+# Buckets of the shuffle are leading hex digits of the row's hash, as many as leave about this many rows in one.
+ROWS_PER_BUCKET = 50_000
 # The bucket table is broadcast up to this many rows; a schedule of more epochs joins it.
 MAX_BROADCAST_BUCKETS = 1_000_000
 
 
 def shuffle_hash(seed: Column, key: str) -> Column:
-    return F.md5(F.concat(seed.cast("string"), F.lit(":"), F.col(key).cast("string")))
+    """Null keys have a hash like any other."""
+    return F.md5(F.concat(seed.cast("string"), F.lit(":"), F.coalesce(F.col(key).cast("string"), F.lit("\0null"))))
+
+
+def _digits(rows: int) -> int:
+    return max(1, math.ceil(math.log(max(1, rows / ROWS_PER_BUCKET), 16)))
 
 
 def _positions(
@@ -34,7 +39,6 @@ def _positions(
     """
     bucketed = df.withColumn("__bucket", F.substring("__hash", 1, digits))
     order = Window.partitionBy(*by).orderBy("__bucket")
-    whole = Window.partitionBy(*by)
     starts = (
         bucketed.groupBy(*by, "__bucket")
         .agg(F.count(F.lit(1)).alias("__rows"))
@@ -42,7 +46,6 @@ def _positions(
             *by,
             "__bucket",
             (F.sum("__rows").over(order) - F.col("__rows")).alias("__start"),
-            F.sum("__rows").over(whole).alias("__total"),
         )
     )
     if limit is not None:
@@ -63,14 +66,14 @@ def batch_plan(
     seed: int = 42,
     batch_size: int = 2,
     accumulation: int = 4,
-    digits: int = BUCKET_DIGITS,
+    digits: int | None = None,
 ) -> DataFrame:
     """Add ``pos``, ``micro_batch`` and ``step`` of one reproducibly shuffled epoch.
 
     ``key`` identifies a row. Pass a narrow table: the columns of ``df`` are shuffled.
     """
     _check(batch_size, accumulation, digits)
-    placed = _positions(df.withColumn("__hash", shuffle_hash(F.lit(seed), key)), key, [], digits)
+    placed = _positions(df.withColumn("__hash", shuffle_hash(F.lit(seed), key)), key, [], digits or _digits(df.count()))
     return placed.select(
         *df.columns,
         "pos",
@@ -87,27 +90,26 @@ def step_schedule(
     batch_size: int = 2,
     accumulation: int = 4,
     max_steps: int = -1,
-    digits: int = BUCKET_DIGITS,
+    digits: int | None = None,
 ) -> DataFrame:
     """Rows repeated per epoch (reshuffled with seed + epoch) up to the last training step.
 
-    An epoch has ceil(rows / (batch_size * accumulation)) steps; training has
-    ceil(epochs * that) steps, capped by ``max_steps`` if that is positive.
+    An epoch has ceil(rows / (batch_size * accumulation)) steps. Training has ``max_steps`` steps if
+    that is positive, over as many epochs as they take; else ceil(epochs * steps of an epoch).
     """
     _check(batch_size, accumulation, digits)
-    per_step = batch_size * accumulation
-    steps_per_epoch = F.ceil(F.col("__total") / per_step)
     if epochs <= 0:
         raise ValueError("epochs must be positive")
-    passes = math.ceil(epochs)
-    last_step = F.ceil(F.lit(float(epochs)) * steps_per_epoch)
-    if max_steps > 0:
-        last_step = F.least(last_step, F.lit(max_steps))
+    per_step = batch_size * accumulation
+    rows = df.count()
+    steps_per_epoch = math.ceil(rows / per_step)
+    last_step = max_steps if max_steps > 0 else math.ceil(epochs * steps_per_epoch)
+    passes = max(1, math.ceil(last_step / max(1, steps_per_epoch)))
     repeated = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).withColumn(
         "__hash", shuffle_hash(F.lit(seed) + F.col("epoch"), key)
     )
-    room = (last_step - F.col("epoch") * steps_per_epoch) * per_step
-    placed = _positions(repeated, key, ["epoch"], digits, limit=room, groups=passes)
+    room = (F.lit(last_step) - F.col("epoch") * steps_per_epoch) * per_step
+    placed = _positions(repeated, key, ["epoch"], digits or _digits(rows), limit=room, groups=passes)
     step = F.col("epoch") * steps_per_epoch + F.floor(F.col("pos") / per_step)
     return (
         placed.withColumn("step", step.cast("bigint"))
@@ -122,8 +124,8 @@ def step_schedule(
     )
 
 
-def _check(batch_size: int, accumulation: int, digits: int) -> None:
+def _check(batch_size: int, accumulation: int, digits: int | None) -> None:
     if batch_size < 1 or accumulation < 1:
         raise ValueError("batch_size and accumulation must be at least 1")
-    if not 1 <= digits <= 4:
-        raise ValueError("digits is between 1 and 4")
+    if digits is not None and not 1 <= digits <= 32:
+        raise ValueError("digits is between 1 and 32")

@@ -26,7 +26,7 @@ def map_columns(df: DataFrame, column_map: dict[str, str] | None) -> DataFrame:
 def prompt_column(df: DataFrame, name: str = "prompt") -> DataFrame:
     """Make ``name`` the ``prompt`` column."""
     if name not in df.columns:
-        raise ValueError(f"prompt_column={name!r} not found in dataset columns {df.columns}")
+        raise ValueError(f"No column {name!r} to take prompts from; the rows have {', '.join(df.columns)}")
     if name == "prompt":
         return df
     if "prompt" in df.columns:

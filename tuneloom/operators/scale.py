@@ -2,24 +2,21 @@
 
 A window over a group puts the whole group into one task. These three operators give the
 same results without that: a tree of partial top-n cuts, a lag over bounded stretches of a
-group, and a join that spreads the rows of large groups over several tasks.
+group, and a join of rows with their group whose large partitions adaptive execution splits.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-# Lists up to this length are cut per input partition for all groups.
-SHORT_LIST = 64
+from tuneloom.session import stored
+
 # A partial cut may hand this many rows of one group to the next level.
 ROWS_PER_CUT = 1_000_000
-# Groups larger than this are spread over several join tasks.
-ROWS_PER_SPLIT = 1_000_000
-# At most this many of the largest groups are spread; it bounds the broadcast of their keys.
-MAX_SPLIT_GROUPS = 1_000
 # Rows of one group handled by one task of a lag.
 LAG_STRETCH = 100_000
 
@@ -53,21 +50,12 @@ def _precut(df: DataFrame, n: int, order: Sequence[Column], by: Sequence[str]) -
 
 
 def top_n(df: DataFrame, n: int, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
-    """The first ``n`` rows of each group under a total ``order``.
-
-    For a short list the map-side cut removes nearly everything, so all groups go through
-    the precut. For a long one most groups are shorter than the list and would only be
-    shuffled twice; there the precut serves the large groups alone.
-    """
+    """The first ``n`` rows of each group under a total ``order``, by one path for every ``n``."""
     order, by = list(order), list(by)
     if not by:
-        return _precut(df, n, order, by).orderBy(*order).limit(n)
-    if n <= SHORT_LIST:
-        return _cut(_precut(df, n, order, by), n, order, by)
-    large = F.broadcast(_large_groups(df, by))
-    match = _null_safe(df, by, large, [f"__large_{k}" for k in by])
-    rest = df.join(large, match, "left_anti")
-    return _cut(rest.unionByName(_precut(df.join(large, match, "left_semi"), n, order, by)), n, order, by)
+        # Each task keeps its first n rows; nothing else is shuffled.
+        return df.orderBy(*order).limit(n)
+    return _cut(_precut(df, n, order, by), n, order, by)
 
 
 def previous_row(
@@ -80,15 +68,16 @@ def previous_row(
     """Add columns of the preceding row of the same group; ``values`` maps new name -> source.
 
     ``order`` is a whole number, unique in its group. A group is worked on in stretches of
-    that number; the first row of a stretch takes its predecessor from the stretch before,
-    which is looked up by key. Also adds ``has_previous``.
+    that number. Which row a stretch begins after is found on the keys alone and written to
+    the shared folder first: where no group has a second stretch, the texts are shuffled once
+    and joined with nothing. Null keys are a group of their own. Also adds ``has_previous``.
     """
     by = list(by)
-    part, carry, had = "__stretch", "__carry", "__had"
+    group, part, carry, had, last = "__group", "__stretch", "__carry", "__had", "__last"
     prev = {name: f"__prev_{name}" for name in values}
-    last = f"__last_{order}"
-    cut = df.withColumn(part, F.expr(f"`{order}` div {int(stretch)}L"))
-    window = Window.partitionBy(*by, part).orderBy(order)
+    # Structs are equal where their fields are, nulls included.
+    cut = df.withColumns({group: F.struct(*by), part: F.expr(f"`{order}` div {int(stretch)}L")})
+    window = Window.partitionBy(group, part).orderBy(order)
     # The lag reads the columns themselves: no second copy of a text goes through the shuffle.
     inner = cut.withColumns(
         {
@@ -96,19 +85,20 @@ def previous_row(
             **{prev[name]: F.lag(source).over(window) for name, source in values.items()},
         }
     )
-
-    # Narrow pass: where does the stretch before end? Empty unless a group has several.
-    ends = (
-        cut.groupBy(*by, part)
+    inside = F.col(had).isNotNull()
+    ends = stored(
+        cut.groupBy(group, part)
         .agg(F.max(order).alias(last))
-        .withColumn(last, F.lag(last).over(Window.partitionBy(*by).orderBy(part)))
-        .where(F.col(last).isNotNull())
+        .withColumn(last, F.lag(last).over(Window.partitionBy(group).orderBy(part)))
+        .where(F.col(last).isNotNull()),
+        "stretches",
     )
+    if ends.isEmpty():
+        return inner.select(*df.columns, inside.alias("has_previous"), *(F.col(prev[name]).alias(name) for name in values))
     picked = F.struct(F.lit(True).alias("has_previous"), *(F.col(v).alias(name) for name, v in values.items()))
-    source = df.select(*by, F.col(order).alias(last), picked.alias(carry))
-    carried = ends.join(source, [*by, last]).select(*by, part, carry)
-    joined = inner.join(carried, [*by, part], "left")
-    inside = F.col(had).isNotNull()
+    source = cut.select(group, F.col(order).alias(last), picked.alias(carry))
+    carried = ends.join(source, [group, last]).groupBy(group, part).agg(F.first(carry).alias(carry))
+    joined = inner.join(carried, [group, part], "left")
     return joined.select(
         *df.columns,
         (inside | F.col(carry).isNotNull()).alias("has_previous"),
@@ -119,69 +109,13 @@ def previous_row(
     )
 
 
-def join_groups(
-    rows: DataFrame,
-    per_group: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    rows_per_split: int | None = None,
-) -> DataFrame:
+def join_groups(rows: DataFrame, per_group: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join one row per group back to its member rows (null keys match each other).
 
-    Member rows of a group above ``rows_per_split`` are dealt over several tasks by a hash
-    of the row, and the group's row is repeated once for each of them. Only the keys
-    of the split groups are broadcast, at most ``MAX_SPLIT_GROUPS``.
+    Members of a large group stand in one shuffle partition, which adaptive execution splits
+    over several tasks, repeating the group's one row for each.
     """
-    on = list(on)
-    splits, salt = "__splits", "__salt"
-    large = _large_groups(rows, on, rows_per_split)
     rename = {k: f"__group_{k}" for k in on}
-
-    def mark(df: DataFrame, names: Sequence[str]) -> DataFrame:
-        match = _null_safe(df, names, large, [f"__large_{k}" for k in on])
-        return df.join(F.broadcast(large), match, "left").drop(*(f"__large_{k}" for k in on))
-
-    # A hash, not a random number: a task that is run again must deal its rows the same way.
-    hashable = [f.name for f in rows.schema if "map<" not in f.dataType.simpleString()]
-    many = mark(rows, on).withColumn(
-        salt,
-        F.when(F.col(splits).isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(*hashable), F.coalesce(splits, F.lit(1))).cast("int")
-        ),
-    ).drop(splits)
-    renamed = per_group.select(
-        *(F.col(c).alias(rename.get(c, c)) for c in per_group.columns)
-    )
-    one = mark(renamed, [rename[k] for k in on]).withColumn(
-        "__group_salt", F.explode(F.sequence(F.lit(0), F.coalesce(splits, F.lit(1)) - 1))
-    ).drop(splits)
-    match = _null_safe(many, on, one, [rename[k] for k in on]) & (many[salt] == one["__group_salt"])
-    return many.join(one, match, how).drop(salt, "__group_salt", *rename.values())
-
-
-def _large_groups(rows: DataFrame, on: Sequence[str], rows_per_split: int | None = None) -> DataFrame:
-    """Keys of the groups above ``rows_per_split`` and how many tasks each should get.
-
-    Counting reads the key columns only. No more than the ``MAX_SPLIT_GROUPS`` largest are
-    listed, which bounds the broadcast; any further one is smaller than all of those.
-    """
-    count = "__n"
-    rows_per_split = rows_per_split or ROWS_PER_SPLIT
-    return (
-        rows.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias(count))
-        .where(F.col(count) > rows_per_split)
-        .orderBy(F.desc(count))
-        .limit(MAX_SPLIT_GROUPS)
-        .select(
-            *(F.col(k).alias(f"__large_{k}") for k in on),
-            F.ceil(F.col(count) / rows_per_split).cast("int").alias("__splits"),
-        )
-    )
-
-
-def _null_safe(left: DataFrame, left_names: Sequence[str], right: DataFrame, right_names: Sequence[str]) -> Column:
-    match = F.lit(True)
-    for a, b in zip(left_names, right_names, strict=True):
-        match = match & left[a].eqNullSafe(right[b])
-    return match
+    one = per_group.select(*(F.col(f"`{c}`").alias(rename.get(c, c)) for c in per_group.columns))
+    match = reduce(lambda a, b: a & b, (rows[k].eqNullSafe(one[rename[k]]) for k in on), F.lit(True))
+    return rows.join(one, match, how).drop(*rename.values())

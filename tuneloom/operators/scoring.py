@@ -80,15 +80,15 @@ def score_group_reward(
     reward: Any,
     group: Sequence[str],
     position: str,
-    group_size: int,
     prompt: str = "prompt",
     completion: str = "completion",
 ) -> DataFrame:
     """Score a function that must see a whole generation group in one call.
 
-    A call gets the completions of one group whose ``position`` (a whole number, unique in
-    the group) falls into the same run of ``group_size`` numbers: one round of generations.
-    That bounds a call however many rounds a prompt has been through.
+    A call gets all completions of a group, in the order of ``position``: the rows that
+    ``group_advantage`` compares under the same ``group``. Where a prompt is generated for again
+    and again, name the round in ``group``. A group is one call by definition, so it has to fit
+    into a row; only the texts and the columns a function names go to Python.
     """
     (reward,) = resolve_rewards([reward])
     function, name, extra = reward.function, reward.name, reward.columns
@@ -100,19 +100,17 @@ def score_group_reward(
     def score(groups: pa.Array) -> pa.Array:
         out = []
         for rows in groups.to_pylist():
-            kwargs = {key: [row["row"][key] for row in rows] for key in extra}
-            values = function(
-                [row["row"][prompt] for row in rows], [row["row"][completion] for row in rows], **kwargs
-            )
+            kwargs = {key: [row[key] for row in rows] for key in extra}
+            values = function([row[prompt] for row in rows], [row[completion] for row in rows], **kwargs)
             out.append(_checked(values, len(rows), name))
         return pa.array(out, pa.list_(pa.float64()))
 
     row = F.struct(F.col(position).alias("position"), F.struct(*df.columns).alias("row"))
-    rounds = df.groupBy(*group, F.floor(F.col(position) / F.lit(group_size)).alias("__round")).agg(
-        F.sort_array(F.collect_list(row)).alias(members)
-    )
+    gathered = df.groupBy(*group).agg(F.sort_array(F.collect_list(row)).alias(members))
+    needed = list(dict.fromkeys([prompt, completion, *extra]))
+    seen = F.transform(members, lambda m: F.struct(*(m["row"][c].alias(c) for c in needed)))
     return (
-        rounds.withColumn(scores, score(members))
+        gathered.withColumn(scores, score(seen))
         .select(F.explode(F.arrays_zip(members, scores)).alias(member))
         .select(f"{member}.{members}.row.*", F.col(f"{member}.{scores}").alias(name))
     )

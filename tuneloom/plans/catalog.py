@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
 from tuneloom.functions.formats import TEMPLATES
 from tuneloom.functions.text import flat_column
@@ -19,12 +20,14 @@ from tuneloom.operators.prompts import (
 )
 from tuneloom.operators.scoring import (
     group_advantage,
+    long_rewards,
     mean_reward,
     score_group_reward,
     score_rewards,
     weighted_total,
 )
-from tuneloom.plans import views
+from tuneloom.plans import jobs, views
+from tuneloom.plans.spec import job_from_dict
 from tuneloom.plans.views import REWARD_NAMES, REWARDS, table
 from tuneloom.session import scratch_path
 from tuneloom.sources import datasets
@@ -110,6 +113,40 @@ def sink_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def sink_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatted rows, written and read back."""
+    rows = views.instruction_rows(_documents(spark, sf_dir)).transform(format_rows("alpaca", keep=["doc_id"]))
+    path = scratch_path(spark, "sink")
+    write_rows(rows, path, max_rows_per_file=200)
+    return spark.read.parquet(path)
+
+
+def _partitioned(spark: SparkSession, sf_dir: str) -> datasets.DatasetCatalog:
+    """A copy of ``documents`` with languages as configs and sources as splits."""
+    path = scratch_path(spark, "partitioned")
+    split = F.when(F.col("source").isin("src1", "src2", "src3"), "test").otherwise("train")
+    rows = _documents(spark, sf_dir).withColumn("config", F.col("lang")).withColumn("split", split)
+    rows.write.partitionBy("config", "split").parquet(path)
+    return datasets.DatasetCatalog(paths={"documents": path}, layout="partitions")
+
+
+@query
+def config_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One config and split of a partitioned dataset; the others' folders are not read."""
+    rows = datasets.load_dataset(spark, _partitioned(spark, sf_dir), "documents", config="en", split="test[10:60]", order_by="doc_id")
+    return rows.select("doc_id", "text", "config", "split")
+
+
+@query
+def stream_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A named load as a stream."""
+    rows = datasets.load_dataset(spark, _partitioned(spark, sf_dir), "documents", config="de", split="train", streaming=True)
+    path = scratch_path(spark, "stream-named")
+    streams.append_stream(rows.select("doc_id", "text"), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/rows")
+
+
 # Projection and formatting -----------------------------------------------------------------
 
 
@@ -188,6 +225,14 @@ def reward_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _score(spark, sf_dir, REWARDS[1])
 
 
+@query
+def reward_regex_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern with literal braces, open-ended counts, inline and outer flags."""
+    kwargs = {"pattern": r"(?i:PURCHASE).*\{\"k\": ?\d{,3}}|^{\"k\": [0-9]{1,}}$", "flags": int(re.MULTILINE | re.DOTALL)}
+    lines = views.log_lines(table(spark, sf_dir, "events")).select("seq", F.col("line").alias("completion"))
+    return score_rewards(lines, [{"name": "regex_format_reward", "kwargs": kwargs}]).drop("completion")
+
+
 @query
 def reward_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _score(spark, sf_dir, REWARDS[2])
@@ -235,8 +280,8 @@ def reward_user_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distinct_share(prompts, completions):
-    """Same value for the whole round: how many different openings it has."""
-    share = len({text[:2] for text in completions}) / len(completions)
+    """Same value for the whole group: the share of its completions that differ."""
+    share = len(set(completions)) / len(completions)
     return [share] * len(completions)
 
 
@@ -248,11 +293,31 @@ def reward_group_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"name": f"{__name__}:distinct_share", "scope": "group"},
         group=["conv_id"],
         position="turn",
-        group_size=4,
     )
     return scored.select("conv_id", "turn", F.round("distinct_share", 6).alias("distinct_share"))
 
 
+@query
+def scored_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scoring job from completions to written scores: an answer counts however late in its text it comes."""
+    job = job_from_dict({
+        "type": "grpo", "output_dir": scratch_path(spark, "scored-job"),
+        "dataset": {"name": "documents"},
+        "max_completion_length": 16,
+        "rewards": [
+            {"name": "contains_reward", "kwargs": {"keywords": ["</answer>"]}},
+            {"name": f"{__name__}:distinct_share", "scope": "group", "weight": 0.5},
+        ],
+    })
+    texts = _documents(spark, sf_dir).select(
+        "doc_id", "source", F.expr("doc_id div 100").alias("step"), F.lit("").alias("prompt"),
+        F.concat("text", F.when(F.col("doc_id") % 2 == 0, "</answer>").otherwise("")).alias("completion"),
+    )
+    jobs.run_scoring(spark, texts, job, ["source"], "step", "doc_id")
+    scores = spark.read.parquet(f"{job.output_dir}/scores")
+    return scores.select("doc_id", "contains_reward", *(F.round(c, 6).alias(c) for c in ("distinct_share", "total_reward", "advantage")))
+
+
 # Groups ------------------------------------------------------------------------------------
 
 
@@ -282,18 +347,23 @@ def pair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def zip_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts and completions as parallel lists per dialogue, zipped to the shorter one."""
-    by_turn = F.col("turn")
+    """The nth prompt and the nth completion of each dialogue, to the end of the shorter list."""
+    nth = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")) - 1
+    turns = _turns(spark, sf_dir).withColumn("pos", nth.cast("bigint"))
 
-    def texts(role: str):
-        mine = F.collect_list(F.when(F.col("role") == role, F.struct(by_turn, F.col("text"))))
-        return F.transform(F.sort_array(mine), lambda x: x["text"])
+    def texts(role: str, name: str) -> DataFrame:
+        return turns.where(F.col("role") == role).select("conv_id", "pos", F.col("text").alias(name))
 
-    lists = _turns(spark, sf_dir).groupBy("conv_id").agg(
-        texts("user").alias("prompt"), texts("assistant").alias("completion")
+    return texts("user", "prompt").join(texts("assistant", "completion"), ["conv_id", "pos"])
+
+
+@query
+def zip_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parallel lists of one row, zipped to the shorter one: the words and the lines of every document."""
+    lists = _documents(spark, sf_dir).select(
+        "doc_id", F.split("text", " ").alias("word"), F.split("text", "\n").alias("line")
     )
-    zipped = zip_lists(lists, "prompt", "completion")
-    return zipped.withColumn("pos", F.col("pos").cast("bigint"))
+    return zip_lists(lists, "word", "line").withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query
@@ -326,21 +396,27 @@ def mean_reward_by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAMPLE_COLUMNS = ["step", "reward_name", "pos", "prompt", "completion", "reward"]
 
 
+def _captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first pairs of every step: cut first, so that only the samples are scored."""
+    first = capture.capture_samples(views.sample_pairs(_turns(spark, sf_dir)), by=["run_id", "step"])
+    return long_rewards(score_rewards(first, REWARDS), REWARD_NAMES)
+
+
 @query
 def capture_per_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captured = capture.capture_rewards(views.sample_rows(_turns(spark, sf_dir)), REWARD_NAMES)
+    captured = _captured(spark, sf_dir)
     return captured.select(*_SAMPLE_COLUMNS)
 
 
 @query
 def recent_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captured = capture.capture_rewards(views.sample_rows(_turns(spark, sf_dir)), REWARD_NAMES)
+    captured = _captured(spark, sf_dir)
     return capture.recent_samples(captured).select(*_SAMPLE_COLUMNS)
 
 
 @query
 def sample_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captured = capture.capture_rewards(views.sample_rows(_turns(spark, sf_dir)), REWARD_NAMES)
+    captured = _captured(spark, sf_dir)
     return capture.sample_table(captured, keep=["step", "reward_name", "pos"])
 
 
@@ -358,6 +434,14 @@ def metric_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.select("run_id", "seq", "step", "loss", "reward")
 
 
+@query
+def metric_ring_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default length of a history, with all runs in one."""
+    events = _events(spark, sf_dir).withColumn("run_id", F.col("run_id") % 3)
+    ring = telemetry.metric_history(events.where(F.col("kind") != telemetry.TRAIN_BEGIN))
+    return ring.select("run_id", "seq", "step", "loss", "reward")
+
+
 @query
 def metric_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = telemetry.latest_points(_events(spark, sf_dir))
@@ -379,6 +463,13 @@ def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.log_tail(views.log_lines(table(spark, sf_dir, "events")), max_lines=20)
 
 
+@query
+def log_tail_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default length of a tail, with few runs."""
+    lines = views.log_lines(table(spark, sf_dir, "events"))
+    return telemetry.log_tail(lines.withColumn("run_id", F.col("run_id") % 3))
+
+
 @query
 def trace_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _documents(spark, sf_dir).select("doc_id", F.col("text").alias("trace"))
@@ -430,6 +521,14 @@ def step_schedule_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.withColumn("epoch", F.col("epoch").cast("bigint"))
 
 
+@query
+def step_schedule_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More steps than the epochs hold: the step count decides alone."""
+    rows = _documents(spark, sf_dir).select("doc_id")
+    plan = layout.step_schedule(rows, "doc_id", seed=3, epochs=1, batch_size=4, accumulation=2, max_steps=300)
+    return plan.withColumn("epoch", F.col("epoch").cast("bigint"))
+
+
 # Streams: run to the end of the tables, then read the result back --------------------------
 
 
@@ -480,13 +579,26 @@ def stream_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First answers of every ten dialogues per reward; the whole table is one batch here."""
-    samples = views.answer_samples(_stream(spark, sf_dir, "conversations"))
+    """First answers of every ten dialogues per reward, from four batches that share the steps."""
+    turns = table(spark, sf_dir, "conversations")
     path = scratch_path(spark, "stream-capture")
-    streams.capture_stream(samples, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
-    captured = spark.read.parquet(f"{path}/rows")
+    turns.repartition(4, "turn", "text").write.parquet(f"{path}/source")
+    feed = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/source")
+    live = streams.capture_table(f"{path}/rows", fold_every=2)
+    streams.capture_stream(views.answer_samples(feed), live, f"{path}/checkpoint").awaitTermination()
+    captured = live.read(spark)
     return captured.select("step", "reward_name", "pos", "completion", "reward")
 
 
+@query
+def stream_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live tail of every run's log."""
+    lines = views.log_lines(_stream(spark, sf_dir, "events"))
+    path = scratch_path(spark, "stream-log")
+    live = streams.log_table(f"{path}/rows", max_lines=20)
+    streams.log_stream(lines, live, f"{path}/checkpoint").awaitTermination()
+    return streams.current_log(spark, live, max_lines=20)
+
+
 def queries() -> dict[str, Query]:
     return dict(_REGISTRY)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tuneloom.functions.resolve import output_names, resolve_rewards
 from tuneloom.functions.text import flat_column
+from tuneloom.operators.capture import capture_rewards
 from tuneloom.operators.formatting import cap_tokens, format_rows
 from tuneloom.operators.layout import step_schedule
 from tuneloom.operators.prompts import generation_slots, map_columns, prompt_column
@@ -38,36 +39,78 @@ def training_texts(spark: SparkSession, catalog: DatasetCatalog, job: JobSpec, s
 
 
 def prompt_table(spark: SparkSession, catalog: DatasetCatalog, job: JobSpec) -> DataFrame:
-    """Capped prompts, once for each generation."""
+    """Capped prompts with ``n_tokens`` and ``was_truncated``, once for each generation."""
     rows = prompt_column(map_columns(_load(spark, catalog, job), job.dataset.column_map), job.prompt_column)
     rows = rows.withColumn("prompt", flat_column(rows, "prompt"))
-    capped = cap_tokens(rows, job.max_prompt_length, "prompt").drop("n_tokens", "was_truncated")
-    return generation_slots(capped, job.num_generations)
+    return generation_slots(cap_tokens(rows, job.max_prompt_length, "prompt"), job.num_generations)
 
 
 def scored_completions(completions: DataFrame, job: JobSpec, group: list[str], position: str = "gen_idx") -> DataFrame:
-    """Rewards, weighted total and group-relative advantage of generated completions.
+    """Rewards, weighted total and group-relative advantage of generated completions, over their whole text.
 
-    The spec's group-scope rewards see one round of ``num_generations`` completions.
+    ``group`` names what is compared, the round of generations included; the spec's group-scope
+    rewards see exactly those completions.
     """
-    rewards = resolve_rewards(job.reward_dicts())
-    # Names are settled over the whole list, so that two uses of one reward do not clash.
-    rewards = [replace(r, name=n) for r, n in zip(rewards, output_names(rewards), strict=True)]
-    flat = completions.withColumn("completion", flat_column(completions, "completion"))
-    out = cap_tokens(flat, job.max_completion_length, "completion").drop("n_tokens", "was_truncated")
+    rewards = _named_rewards(job)
+    out = completions.withColumn("completion", flat_column(completions, "completion"))
     by_row = [r for r in rewards if r.scope == "row"]
     if by_row:
         out = score_rewards(out, by_row)
     for reward in rewards:
         if reward.scope == "group":
-            out = score_group_reward(out, reward, group, position, job.num_generations)
+            out = score_group_reward(out, reward, group, position)
     return group_advantage(weighted_total(out, rewards), group)
 
 
+def _named_rewards(job: JobSpec) -> list:
+    rewards = resolve_rewards(job.reward_dicts())
+    # Names are settled over the whole list, so that two uses of one reward do not clash.
+    return [replace(r, name=n) for r, n in zip(rewards, output_names(rewards), strict=True)]
+
+
+def run_scoring(
+    spark: SparkSession,
+    completions: DataFrame,
+    job: JobSpec,
+    group: list[str],
+    step: str,
+    position: str = "gen_idx",
+) -> dict[str, Any]:
+    """Score completions and write ``scores``, ``samples`` (the first of each step), the config echo and a summary.
+
+    Run again for the same output directory, a finished part is kept and only what is missing is done.
+    """
+    base = job.output_dir.rstrip("/")
+    names = [reward.name for reward in _named_rewards(job)]
+    measured = read_document_if_any(spark, f"{base}/scores_summary")
+    if measured is None:
+        measures = {"mean_total": F.avg("total_reward"), **{f"mean_{n}": F.avg(n) for n in names}}
+        scored = scored_completions(completions, job, group, position)
+        measured = write_rows(scored, f"{base}/scores", measures=measures, mode="overwrite")
+        write_document(spark, f"{base}/config", job.to_dict())
+        write_document(spark, f"{base}/scores_summary", measured)
+    scores = spark.read.parquet(f"{base}/scores")
+    samples = capture_rewards(scored_columns(scores, names), names, by=[step], order=[*group, position])
+    kept = write_rows(samples, f"{base}/samples", mode="overwrite")
+    summary = {"output_dir": base, "type": job.type, "num_rewards": len(names), **measured, "samples": kept["rows"]}
+    write_document(spark, f"{base}/summary", summary)
+    return summary
+
+
+def scored_columns(scores: DataFrame, names: list[str]) -> DataFrame:
+    return scores.select(*(c for c in scores.columns if c not in names), *names)
+
+
+def read_document_if_any(spark: SparkSession, path: str) -> dict[str, Any] | None:
+    try:
+        return read_document(spark, path)
+    except AnalysisException:
+        return None
+
+
 def run_sft(spark: SparkSession, catalog: DatasetCatalog, job: JobSpec) -> dict[str, Any]:
     """Write texts, the training schedule (with a ``key``), the config echo and a summary."""
     base = job.output_dir.rstrip("/")
-    write_document(spark, f"{base}/config", job.to_dict())
     texts = training_texts(spark, catalog, job)
     measured = write_rows(
         texts,
@@ -77,6 +120,8 @@ def run_sft(spark: SparkSession, catalog: DatasetCatalog, job: JobSpec) -> dict[
             "truncated": F.sum(F.col("was_truncated").cast("bigint")),
         },
     )
+    # Only now: texts that are there already are another run's, and so is their config.
+    write_document(spark, f"{base}/config", job.to_dict())
     summary = {"output_dir": base, "type": job.type, "format": job.dataset.format, **measured}
     if job.dataset.key:
         # Planned from the written keys: the texts are neither read nor formatted again.
@@ -100,8 +145,9 @@ def run_grpo(spark: SparkSession, catalog: DatasetCatalog, job: JobSpec) -> dict
     """Write the prompt table, the config echo and a summary; rewards are checked first."""
     base = job.output_dir.rstrip("/")
     rewards = resolve_rewards(job.reward_dicts())
+    truncated = F.sum(F.col("was_truncated").cast("bigint"))
+    measured = write_rows(prompt_table(spark, catalog, job), f"{base}/prompts", measures={"truncated": truncated})
     write_document(spark, f"{base}/config", job.to_dict())
-    measured = write_rows(prompt_table(spark, catalog, job), f"{base}/prompts")
     summary = {"output_dir": base, "type": job.type, "num_rewards": len(rewards), **measured}
     write_document(spark, f"{base}/summary", summary)
     return summary

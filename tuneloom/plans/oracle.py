@@ -70,14 +70,13 @@ saved as (
 
 def _schedule(seed: int, epochs: float, batch: int, accumulation: int, max_steps: int | None = None) -> str:
     per_step = batch * accumulation
-    passes = -int(-epochs // 1)
-    cap = f"ceil({epochs} * spe)" if max_steps is None else f"least(ceil({epochs} * spe), {max_steps})"
+    cap = f"ceil({epochs} * spe)" if max_steps is None else str(max_steps)
     return f"""with sized as (
   select *, ceil(count(*) over () / {per_step}.0) as spe from (select doc_id from documents)),
 placed as (
   select doc_id, epoch, spe,
     row_number() over (partition by epoch order by md5(({seed} + epoch) || ':' || doc_id), doc_id) - 1 as pos
-  from sized, unnest(range(0, {passes})) as e(epoch))
+  from sized, unnest(range(0, ceil({cap} / spe)::bigint)) as e(epoch))
 select doc_id, epoch::bigint as epoch, pos::bigint as pos, (pos // {batch})::bigint as micro_batch,
   (epoch * spe + pos // {per_step})::bigint as step
 from placed where epoch * spe + pos // {per_step} < {cap}"""
@@ -137,10 +136,36 @@ def oracle_sql() -> dict[str, str]:
         "reward_user_columns": f"""with {PAIRS}
             select conv_id, turn, round(length(completion)::double / (1 + turn)::double, 6) as long_for_turn from pairs""",
         "reward_group_udf": f"""with {PAIRS}, shares as (
-              select conv_id, turn // 4 as part, count(distinct substr(completion, 1, 2))::double / count(*)::double as share
-              from pairs group by 1, 2)
-            select p.conv_id, p.turn, round(s.share, 6) as distinct_share
-            from pairs p join shares s on p.conv_id = s.conv_id and p.turn // 4 = s.part""",
+              select conv_id, count(distinct completion)::double / count(*)::double as share from pairs group by 1)
+            select p.conv_id, p.turn, round(s.share, 6) as distinct_share from pairs p join shares s using (conv_id)""",
+        "scored_job": """with texts as (
+              select doc_id, source, text || case when doc_id % 2 = 0 then '</answer>' else '' end as completion from documents),
+            shares as (select source, count(distinct completion)::double / count(*)::double as share from texts group by source),
+            scored as (
+              select doc_id, source, contains(lower(completion), '</answer>')::int::double as contains_reward, share,
+                contains(lower(completion), '</answer>')::int::double + 0.5 * share as total
+              from texts join shares using (source))
+            select doc_id, contains_reward, round(share, 6) as distinct_share, round(total, 6) as total_reward,
+              round(case when min(total) over g = max(total) over g then 0.0::double
+                else (total - avg(total) over g) / stddev_samp(total) over g end, 6) as advantage
+            from scored window g as (partition by source)""",
+        "reward_regex_json": """select event_id as seq, case when regexp_matches(event_type || ' ' || props, '(?i:purchase)(?s:.*)\\{"k": ?[0-9]{0,3}\\}')
+              then 1.0::double else 0.0::double end as regex_format_reward from events""",
+        "sink_rows": alpaca,
+        "config_split": """select doc_id, text, lang as config, 'test' as split from documents
+            where lang = 'en' and source in ('src1', 'src2', 'src3') order by doc_id limit 50 offset 10""",
+        "stream_named": "select doc_id, text from documents where lang = 'de' and source not in ('src1', 'src2', 'src3')",
+        "zip_arrays": """with lists as (select doc_id, string_split(text, ' ') as w, string_split(text, chr(10)) as l from documents)
+            select doc_id, pos::bigint as pos, w[pos + 1] as word, l[pos + 1] as line
+            from lists, unnest(range(0, least(len(w), len(l)))) as e(pos)""",
+        "metric_ring_full": f"""with {LOGS}, merged as (select *, run_id % 3 as run from points)
+            select run as run_id, seq, step, loss, reward from merged
+            qualify row_number() over (partition by run order by seq desc) <= 10000""",
+        "log_tail_full": """select user_id % 3 as run_id, string_agg(
+              '[' || strftime(ts, '%H:%M:%S') || '] ' || event_type || ' ' || props, chr(10) order by event_id) as log_text
+            from (select * from events qualify row_number() over (partition by user_id % 3 order by event_id desc) <= 500)
+            group by user_id % 3""",
+        "step_schedule_long": _schedule(3, 1, 4, 2, 300),
         "prompt_expand": """select conv_id, turn, text as prompt, g::bigint as gen_idx
             from conversations, unnest(range(0, 4)) as e(g) where role = 'user'""",
         "pair_join": f"""with {ANSWERS}, firsts as (
@@ -219,6 +244,10 @@ def oracle_sql() -> dict[str, str]:
                                       {{'n': 'contains_reward', 'r': r3}}]) as u from scored))
             select step, reward_name, pos, completion, reward from samples
             qualify row_number() over (partition by step, reward_name order by pos) <= 4""",
+        "stream_log": """select user_id as run_id, string_agg(
+              '[' || strftime(ts, '%H:%M:%S') || '] ' || event_type || ' ' || props, chr(10) order by event_id) as log_text
+            from (select * from events qualify row_number() over (partition by user_id order by event_id desc) <= 20)
+            group by user_id""",
         "stream_latest": LATEST,
         "stream_ring": RING,
     }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tuneloom.operators.prompts import conversations, dialogue_pairs
@@ -57,14 +59,14 @@ def scored_turns(turns: DataFrame) -> DataFrame:
     return answers.select("conv_id", "turn", *REWARD_NAMES)
 
 
-def _placed(scored: DataFrame, *texts: str) -> DataFrame:
+def _placed(scored: DataFrame, texts: Sequence[str] = (), rewards: Sequence[str] = REWARD_NAMES) -> DataFrame:
     """Ten dialogues make one step."""
     return scored.select(
         F.lit("run").alias("run_id"),
         F.expr("conv_id div 10").alias("step"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"),
         *texts,
-        *REWARD_NAMES,
+        *rewards,
     )
 
 
@@ -73,14 +75,14 @@ def reward_rows(turns: DataFrame) -> DataFrame:
     return long_rewards(_placed(scored_turns(turns)), REWARD_NAMES)
 
 
-def sample_rows(turns: DataFrame) -> DataFrame:
-    """Scored pairs with their texts, one column per reward."""
-    return _placed(score_rewards(pair_rows(turns), REWARDS), "prompt", "completion")
+def sample_pairs(turns: DataFrame) -> DataFrame:
+    """Pairs with their texts at their step and place, not scored yet."""
+    return _placed(pair_rows(turns), ["prompt", "completion"], [])
 
 
 def answer_samples(turns: DataFrame) -> DataFrame:
     """Scored answers in long form, each by itself, so that it also works on a stream."""
-    placed = _placed(score_rewards(answer_rows(turns), REWARDS), "completion")
+    placed = _placed(score_rewards(answer_rows(turns), REWARDS), ["completion"])
     return long_rewards(placed, REWARD_NAMES)
 
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Lets per-run histories of 10,000 rows be cut on the map side, before the shuffle.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
+    # Lets histories of any length be cut on the map side, before the shuffle.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "2147483647",
     # Batches of long texts have to fit into a Python worker.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # Per-run aggregates of the streams keep their state in RocksDB, not on the heap.
@@ -40,10 +41,12 @@ def build_session(app_name: str = "tuneloom", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach; the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (unit tests) is a private folder made and recorded.
+    Only a local session, whose executors are this machine, makes and records a folder of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tuneloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -54,6 +57,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written below the shared folder and read again; not run anew if an executor is lost."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def durable(df):
     """Write ``df`` to the reliable checkpoint folder and read on from there."""
     spark = df.sparkSession

@@ -1,7 +1,8 @@
 """Positions in a table that has an explicit order key.
 
-Spark tables have no row order, so every positional read names a key that is unique and
-never null. A position is turned into the key found there, and the table is then read with
+Spark tables have no row order, so every positional read names a key without nulls. Rows that
+share a key have no order among them: a slice that would part them is refused, at any size of the
+table; other repeated keys do no harm. A position is turned into the key found there, and the table is then read with
 an ordinary range filter on the key, which reaches the parquet scan.
 """
 
@@ -75,14 +76,20 @@ def key_at(df: DataFrame, key: str, position: int, bounds: Row) -> int:
                 break
             position -= row["n"]
     if low == high:
-        if size > 1:
-            raise ValueError(f"Order key {key!r} is not unique: {size} rows share one value")
         return low
     return (
         numbers.where(F.col("k").between(low, high)).orderBy("k").offset(position).limit(1).head()["k"]
     )
 
 
+def _edge(df: DataFrame, key: str, position: int, bounds: Row) -> Column:
+    """The key that begins at ``position``; fails if rows before it share it."""
+    number = key_at(df, key, position, bounds)
+    if df.where(_as_number(F.col(key), df.schema[key].dataType) < number).count() != position:
+        raise ValueError(f"Order key {key!r} is not unique where position {position} begins")
+    return _as_key(number, df.schema[key].dataType)
+
+
 def positional_slice(
     df: DataFrame, key: str | Sequence[str], start: int = 0, stop: int | None = None
 ) -> DataFrame:
@@ -97,15 +104,14 @@ def positional_slice(
     if len(keys) > 1 or not isinstance(df.schema[keys[0]].dataType, _COUNTABLE):
         return _slice_by_positions(df, keys, start, stop)
     (name,) = keys
-    dtype = df.schema[name].dataType
     bounds = key_bounds(df, name)
     if start >= bounds["rows"]:
         return df.limit(0)
     out = df
     if start > 0:
-        out = out.where(F.col(name) >= _as_key(key_at(df, name, start, bounds), dtype))
+        out = out.where(F.col(name) >= _edge(df, name, start, bounds))
     if stop is not None and stop < bounds["rows"]:
-        out = out.where(F.col(name) < _as_key(key_at(df, name, stop, bounds), dtype))
+        out = out.where(F.col(name) < _edge(df, name, stop, bounds))
     return out
 
 
@@ -136,10 +142,12 @@ def _slice_by_positions(df: DataFrame, keys: list[str], start: int, stop: int |
     inside = F.col("pos") >= start
     if stop is not None:
         inside = inside & (F.col("pos") < stop)
+    placed = key_positions(df, keys)
+    if not placed.where(" or ".join(f"`{k}` is null" for k in keys)).isEmpty():
+        raise ValueError(f"Order key {keys} has null values")
     edges = (
-        key_positions(df, keys)
-        .where(inside)
-        .agg(F.min(F.struct(*keys)).alias("first"), F.max(F.struct(*keys)).alias("last"))
+        placed.where(inside)
+        .agg(F.min(F.struct(*keys)).alias("first"), F.max(F.struct(*keys)).alias("last"), F.count(F.lit(1)).alias("rows"))
         .head()
     )
     if edges["first"] is None:
@@ -153,8 +161,11 @@ def _slice_by_positions(df: DataFrame, keys: list[str], start: int, stop: int |
 
     # The plain filter on the first key is what the scan can use; the struct one is exact.
     lead = df.schema[keys[0]].dataType
-    return df.where(
+    wanted = (
         F.col(keys[0]).between(F.lit(edges["first"][0]).cast(lead), F.lit(edges["last"][0]).cast(lead))
         & (row >= bound(edges["first"]))
         & (row <= bound(edges["last"]))
     )
+    if placed.where(wanted).count() != edges["rows"]:
+        raise ValueError(f"Order key {keys} is not unique where the slice begins or ends")
+    return df.where(wanted)

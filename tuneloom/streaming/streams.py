@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import logging
 import uuid
 from collections.abc import Callable
 
@@ -10,12 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tuneloom.operators.capture import capture_samples
-from tuneloom.operators.telemetry import latest_state
+from tuneloom.operators.scale import top_n
+from tuneloom.operators.telemetry import LOG, MAX_LOG_LINES, TRAIN_BEGIN, is_point, log_tail, point_columns
 from tuneloom.streaming.folded import FOLD_EVERY, FoldedTable
 
-logger = logging.getLogger(__name__)
-
-
 def _trigger(writer: DataStreamWriter, interval: str | None) -> DataStreamWriter:
     """Every ``interval``, or everything there is and then stop."""
     return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
@@ -57,12 +54,10 @@ def first_streamed(df: DataFrame, n: int = 5) -> DataFrame:
 
 
 def latest_table(path: str, fold_every: int = FOLD_EVERY) -> FoldedTable:
+    """Per run its latest point and, as a row of its own, where it started last."""
+
     def fold(rows: DataFrame) -> DataFrame:
-        columns = [c for c in rows.columns if c not in ("run_id", "emitted")]
-        newest = F.max_by(F.struct(*columns), "emitted").alias("p")
-        return rows.groupBy("run_id").agg(newest, F.max("emitted").alias("emitted")).select(
-            "run_id", "p.*", "emitted"
-        )
+        return top_n(rows, 1, [F.desc("seq")], ["run_id", "kind"])
 
     return FoldedTable(path, fold, fold_every)
 
@@ -72,45 +67,42 @@ def latest_stream(
 ) -> StreamingQuery:
     """Maintain the latest point of every run since its latest start, in a ``latest_table``.
 
-    The streaming aggregate keeps one row of state per run and emits the runs that changed.
+    A batch is cut to one row per run and kind; the stream itself keeps no state.
     """
+    rows = events.where(is_point() | (F.col("kind") == TRAIN_BEGIN)).select("run_id", "kind", "seq", *point_columns(events))
+    return batch_stream(rows, table.write, checkpoint, interval)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        table.write(batch.withColumn("emitted", F.lit(batch_id).cast("bigint")), batch_id)
 
-    return batch_stream(latest_state(events), write, checkpoint, interval, output_mode="update")
+def current_latest(spark: SparkSession, table: FoldedTable) -> DataFrame:
+    rows = table.read(spark)
+    begun = rows.where(F.col("kind") == TRAIN_BEGIN).select("run_id", F.col("seq").alias("__begin"))
+    points = rows.where(F.col("kind") == LOG).join(begun, "run_id", "left")
+    return points.where(F.col("__begin").isNull() | (F.col("seq") > F.col("__begin"))).drop("__begin", "kind")
 
 
-def current_latest(spark: SparkSession, table: FoldedTable) -> DataFrame:
-    return table.read(spark).where(F.col("seq").isNotNull()).drop("emitted")
+def capture_table(path: str, fold_every: int = FOLD_EVERY, **options) -> FoldedTable:
+    """First samples of every step and reward, over all batches; ``options`` are those of ``capture_samples``."""
+    return FoldedTable(path, lambda rows: capture_samples(rows, **options), fold_every)
 
 
-def guarded(work: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A batch function whose failures are logged and do not stop the stream."""
+def capture_stream(scored: DataFrame, table: FoldedTable, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Keep the first samples of every step and reward, in a ``capture_table``.
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        try:
-            work(batch, batch_id)
-        except Exception:  # noqa: BLE001 - a side view must never break the run it watches
-            logger.exception("Capture of batch %d failed", batch_id)
+    A query of its own beside the scoring sink: if it fails, scores still arrive, and started
+    again it goes on with the batch that failed.
+    """
+    return batch_stream(scored, table.write, checkpoint, interval)
 
-    return run
 
+def log_stream(lines: DataFrame, table: FoldedTable, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Keep the last log lines of every run, in a ``log_table``."""
+    return batch_stream(lines.select("run_id", "seq", "ts", "line"), table.write, checkpoint, interval)
 
-def capture_stream(
-    scored: DataFrame,
-    path: str,
-    checkpoint: str,
-    interval: str | None = None,
-    **options,
-) -> StreamingQuery:
-    """Keep the first samples of every step and reward of each batch.
 
-    A query of its own beside the scoring sink: if it fails, scores still arrive.
-    """
+def log_table(path: str, max_lines: int = MAX_LOG_LINES, fold_every: int = FOLD_EVERY) -> FoldedTable:
+    return FoldedTable(path, lambda rows: top_n(rows, max_lines, [F.desc("seq")], ["run_id"]), fold_every)
 
-    @guarded
-    def write(batch: DataFrame, batch_id: int) -> None:
-        capture_samples(batch, **options).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return batch_stream(scored, write, checkpoint, interval)
+def current_log(spark: SparkSession, table: FoldedTable, max_lines: int = MAX_LOG_LINES) -> DataFrame:
+    """The tail of every run as one text."""
+    return log_tail(table.read(spark), max_lines=max_lines)
