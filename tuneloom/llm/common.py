@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tuneloom.session import scratch_path
+from tuneloom.session import stored  # noqa: F401 - for the operators
 
 BLANKS = "\t\n\x0b\x0c\r"  # with the space: [\x20\x09-\x0D]
 
@@ -13,13 +13,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written below the shared folder and read again: cuts the lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _marked(text: Column) -> Column:
     """``text`` with each run of white space as one tab and line feed, characters it then has nowhere else."""
     for blank in BLANKS:

@@ -80,7 +80,7 @@ def library_table(tokenizer_path: str) -> ChunkTable:
 
     def encode(texts: list[str]) -> list[bytes]:
         # Chunks without white space but their first space stay apart when strung together.
-        plain = [i for i, text in enumerate(texts) if text[:1] == " " and text[1:] and not any(map(str.isspace, text[1:]))]
+        plain = [i for i, text in enumerate(texts) if text[:1] == " " and text.split() == [text[1:]]]
         out: list[bytes | None] = [None] * len(texts)
         groups = [plain[start:start + 256] for start in range(0, len(plain), 256)]
         for group, joined in zip(groups, tokenizer.encode_batch_fast(["".join(texts[i] for i in group) for group in groups], add_special_tokens=False)):
@@ -89,9 +89,9 @@ def library_table(tokenizer_path: str) -> ChunkTable:
             edges = np.cumsum([len(texts[i].encode()) for i in group])
             at = np.searchsorted(ends, edges)
             if len(ids) and (ends[np.minimum(at, len(ends) - 1)] == edges).all():
-                start = 0
-                for i, stop in zip(group, (at + 1).tolist()):
-                    out[i] = ids[start:stop].tobytes()
+                start, data = 0, ids.tobytes()
+                for i, stop in zip(group, (4 * at + 4).tolist()):
+                    out[i] = data[start:stop]
                     start = stop
         rest = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(rest, batch([texts[i] for i in rest])):
