@@ -9,8 +9,9 @@ is only to bring equal strings together, so both are put in the order of fingerp
 1. phrases are told by the hash of the ``CORE`` bytes at their trigger, which every string of the phrase holds;
    phrases whose core is nowhere else are settled, and text that never repeats ends here;
 2. of the rest, contexts that occur again make all strings of their phrases repeated;
-3. where one core has several contexts (at the edges of repeated passages), one phrase per context lists the
-   fingerprints of its strings, and those listed under two contexts, or under one that occurs again, repeat.
+3. where one core has several contexts (at the edges of repeated passages), one phrase per context gives its bytes;
+   its strings are told apart in bins of ``BIN``, by the bytes all strings of a bin hold, and where these repeat one by
+   one: strings that stand under two contexts repeat.
 
 Fingerprints have 128 bits (a core's and a string's hash of 64 bits each); rows are told apart by a 64-bit hash of id and text.
 
@@ -20,6 +21,7 @@ text repeat each other; an empty table gives an empty result; further columns pa
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,7 @@ from tuneloom.llm.common import stored
 
 LENGTH, CORE = 200, 64
 SPREAD = LENGTH - CORE  # positions at which a core fits into a string, but for the last
+BIN = 16  # strings, by their distance to the trigger
 CHUNK = 1 << 20  # bytes of a text that are hashed at a time
 LOW = np.uint64((1 << 30) - 1)
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -105,46 +108,96 @@ def _parse(docs: DataFrame) -> DataFrame:
     return docs.select("rid", "text").mapInArrow(parse, "rid long, core long, context long, first long, last long")
 
 
-def _strings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``core, context, string, nth, again`` for each string of the wanted phrases, ``nth`` from the phrase's first."""
+def _edges(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``core, context, again, data`` of the wanted phrases: the bytes of all strings that start in one."""
     per_row = wanted.groupBy("rid").agg(F.collect_list(F.struct("core", "context", "first", "last", "again")).alias("phrases"))
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows: list[tuple] = []
             for text, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                every = np.frombuffer((text or "").encode(), dtype=np.uint8)
-                rows: list[list[np.ndarray]] = [[], [], [], [], []]
-                for base in range(0, len(every), CHUNK):
-                    inside = [p for p in listed if base <= p["first"] < base + CHUNK]
-                    if not inside:
-                        continue
-                    hashes = Hashes(every[base:base + CHUNK + LENGTH - 1])
-                    for p in inside:
-                        at = np.arange(p["first"] - base, p["last"] - base + 1)
-                        found = (np.full(len(at), p["core"]), np.full(len(at), p["context"]), hashes.of(at, at + LENGTH), at - at[0], np.full(len(at), p["again"]))
-                        for column, x in zip(rows, found):
-                            column.append(x)
-                if rows[0]:
-                    yield pa.RecordBatch.from_arrays([_longs(np.concatenate(x)) for x in rows], names=["core", "context", "string", "nth", "again"])
-
-    joined = docs.join(per_row, "rid").select("text", "phrases")
-    return joined.mapInArrow(spell, "core long, context long, string long, nth long, again long")
+                data = (text or "").encode()
+                rows += [(p["core"], p["context"], p["again"], data[p["first"]:p["last"] + LENGTH]) for p in listed]
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["core", "context", "again", "data"])
+
+    return docs.join(per_row, "rid").select("text", "phrases").mapInArrow(fetch, "core long, context long, again long, data binary")
+
+
+def _bins(data: bytes) -> tuple[Hashes, np.ndarray, int]:
+    """Hashes of a phrase's bytes, the bin of each of its strings (by distance to the trigger), and the trigger."""
+    hashes, at = Hashes(np.frombuffer(data, dtype=np.uint8)), np.arange(SPREAD)
+    trigger = int(at[np.argmin(hashes.of(at, at + CORE) & ~LOW | at.astype(np.uint64))])
+    return hashes, (trigger - np.arange(len(data) - LENGTH + 1)) // BIN, trigger
+
+
+def _binned(edges: DataFrame) -> DataFrame:
+    """``core, context, bin, shared``: hash of the bytes that all strings of a bin hold, wherever the phrase begins."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list[np.ndarray]] = [[], [], [], []]
+            for core, context, data in zip(*(batch.column(c).to_pylist() for c in ("core", "context", "data"))):
+                hashes, bins, trigger = _bins(data)
+                bins = np.unique(bins)
+                start = trigger - bins * BIN
+                for column, x in zip(rows, (np.full(len(bins), core), np.full(len(bins), context), bins, hashes.of(start, start + LENGTH - BIN + 1))):
+                    column.append(x)
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([_longs(np.concatenate(x)) for x in rows], names=["core", "context", "bin", "shared"])
+
+    return edges.mapInArrow(spell, "core long, context long, bin long, shared long")
+
+
+def _strings(edges: DataFrame) -> DataFrame:
+    """``core, context, again, string, nth`` for each string in the listed ``bins``, ``nth`` from the phrase's first."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list[np.ndarray]] = [[], [], [], [], []]
+            for core, context, again, data, wanted in zip(*(batch.column(c).to_pylist() for c in ("core", "context", "again", "data", "bins"))):
+                hashes, bins, _ = _bins(data)
+                at = np.flatnonzero(np.isin(bins, wanted))
+                for column, x in zip(rows, (np.full(len(at), core), np.full(len(at), context), np.full(len(at), again), hashes.of(at, at + LENGTH), at)):
+                    column.append(x)
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([_longs(np.concatenate(x)) for x in rows], names=["core", "context", "again", "string", "nth"])
+
+    return edges.mapInArrow(spell, "core long, context long, again long, string long, nth long")
+
+
+def _of_several(rows: DataFrame, *key: str) -> DataFrame:
+    """Keys under which different contexts stand."""
+    return rows.groupBy("core", *key).agg(F.min("context").alias("a"), F.max("context").alias("b")).filter("a <> b").select("core", *key)
+
+
+def _free(spark) -> None:
+    """Let Spark drop the shuffle files of finished jobs now instead of at some later collection of garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """``rid, first, last``: stretches of starting positions of strings that start anywhere else as well."""
-    cores = _parse(docs).groupBy("core").count().filter("count > 1").select("core")
+    spark = docs.sparkSession
+    cores = stored(_parse(docs).groupBy("core").count().filter("count > 1").select("core"), "repeats-cores")
+    _free(spark)
     seen = stored(_parse(docs).join(cores, "core", "left_semi"), "repeats-phrases")
-    contexts = seen.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rid"))
-    contexts = stored(contexts, "repeats-dictionary")
-    several = contexts.groupBy("core").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("core")
-    edges = contexts.join(several, "core", "left_semi").select("core", "context", "rid", (F.col("n") > 1).cast("long").alias("again"))
-    wanted = seen.join(edges, ["core", "context", "rid"]).dropDuplicates(["core", "context"])
-    strings = stored(_strings(docs, wanted), "repeats-strings")
-    # A context stands under its string once, so two different ones are two places.
-    common = strings.groupBy("core", "string").agg(F.min("context").alias("a"), F.max("context").alias("b"), F.max("again").alias("again"))
-    common = common.filter("a <> b or again = 1").select("core", "string")
-    found = strings.filter("again = 0").join(common, ["core", "string"]).groupBy("core", "context").agg(F.sort_array(F.collect_set("nth")).alias("nths"))
+    _free(spark)
+    contexts = stored(seen.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rid")), "repeats-dictionary")
+    several = _of_several(contexts)
+    wanted = contexts.join(several, "core", "left_semi").select("core", "context", "rid", (F.col("n") > 1).cast("long").alias("again"))
+    wanted = seen.join(wanted, ["core", "context", "rid"]).dropDuplicates(["core", "context"])
+    edges = stored(_edges(docs, wanted), "repeats-edges")
+    _free(spark)
+    binned = stored(_binned(edges), "repeats-bins")
+    common = binned.join(_of_several(binned, "bin", "shared"), ["core", "bin", "shared"], "left_semi")
+    listed = common.groupBy("core", "context").agg(F.collect_list("bin").alias("bins"))
+    strings = stored(_strings(edges.join(listed, ["core", "context"])), "repeats-strings")
+    _free(spark)
+    same = _of_several(strings, "string")
+    found = strings.filter("again = 0").join(same, ["core", "string"], "left_semi").groupBy("core", "context").agg(F.sort_array(F.collect_set("nth")).alias("nths"))
     whole = seen.join(contexts.filter("n > 1").select("core", "context"), ["core", "context"], "left_semi").select("rid", "first", "last")
     parts = seen.join(found, ["core", "context"]).select("rid", "first", F.explode("nths").alias("nth"))
     return whole.unionByName(parts.select("rid", (F.col("first") + F.col("nth")).alias("first"), (F.col("first") + F.col("nth")).alias("last")))
@@ -167,6 +220,7 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rows = docs.select(F.struct(*[F.col(c) for c in (keep if keep is not None else docs.columns)]).alias("row"), rid.alias("rid"), F.col(text).alias("text"))
     starts = repeated_starts(rows.select("rid", "text"))
     per_row = stored(starts.distinct().groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("starts")), "repeats-starts")
+    _free(docs.sparkSession)
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary")
     def cut(texts, starts):
