@@ -178,6 +178,17 @@ def fmt_raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).transform(format_rows("raw_text", keep=["doc_id"]))
 
 
+@query
+def fmt_missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null prompts and answers, and the answer column under its other name."""
+    rows = _documents(spark, sf_dir).select(
+        "doc_id",
+        F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("prompt"),
+        F.when(F.col("doc_id") % 2 != 0, F.col("text")).alias("response"),
+    )
+    return rows.transform(format_rows("completion", keep=["doc_id"]))
+
+
 @query
 def fmt_sharegpt_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = views.turn_lists(_turns(spark, sf_dir))
@@ -428,6 +439,23 @@ def metric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _points(spark, sf_dir).select("run_id", "seq", "step", "loss", "reward")
 
 
+@query
+def metric_points_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log events with empty maps make no point; a mean reward under its other name counts, the plain one first."""
+    events = table(spark, sf_dir, "events")
+    value, kind = F.col("value"), F.col("event_type")
+    logs = (
+        F.when(kind == "view", F.create_map(F.lit("rewards/mean"), value))
+        .when(kind == "purchase", F.create_map(F.lit("reward"), value, F.lit("rewards/mean"), F.lit(-1.0)))
+        .otherwise(F.expr("cast(map() as map<string,double>)"))
+    )
+    rows = events.select(
+        F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.lit(telemetry.LOG).alias("kind"),
+        F.lit(1).cast("bigint").alias("step"), logs.alias("logs"), F.col("ts").cast("timestamp").alias("ts"),
+    )
+    return telemetry.metric_points(rows).select("run_id", "seq", "loss", "reward")
+
+
 @query
 def metric_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring = telemetry.metric_history(_events(spark, sf_dir), max_points=3)
@@ -482,6 +510,14 @@ def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.withColumn("step", F.coalesce("step", F.lit(-1)))
 
 
+@query
+def run_status_done(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that can end: every purchase ends one."""
+    kind = F.col("kind")
+    ended = F.when(F.map_contains_key("logs", "train_loss"), F.lit(telemetry.TRAIN_END)).otherwise(kind)
+    return telemetry.run_status(_events(spark, sf_dir).withColumn("kind", ended)).select("run_id", "status")
+
+
 @query
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.when(F.col("reward").isNotNull(), F.concat(F.lit("reward_"), F.floor(F.col("step") / 34)))
@@ -550,6 +586,20 @@ def stream_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows")
 
 
+@query
+def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that is stopped and started again, by the clock: each row arrives once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = scratch_path(spark, "stream-restart")
+    for part in range(2):
+        docs.where(F.col("doc_id") % 2 == part).write.mode("append").parquet(f"{path}/source")
+        feed = spark.readStream.schema(docs.schema).parquet(f"{path}/source")
+        running = streams.append_stream(feed, f"{path}/rows", f"{path}/checkpoint", interval="200 milliseconds")
+        running.processAllAvailable()
+        running.stop()
+    return spark.read.parquet(f"{path}/rows")
+
+
 @query
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_rewards(views.answer_rows(_stream(spark, sf_dir, "conversations")), REWARDS)

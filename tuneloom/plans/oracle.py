@@ -106,6 +106,17 @@ def oracle_sql() -> dict[str, str]:
         "prompt_rename": "select doc_id, text as prompt from documents",
         "fmt_alpaca": alpaca,
         "fmt_raw_text": "select doc_id, text from documents",
+        "fmt_missing_fields": """select doc_id, case when doc_id % 3 <> 0 then source else '' end
+              || case when doc_id % 2 <> 0 then text else '' end as text from documents""",
+        "metric_points_keys": """select user_id as run_id, event_id as seq, null::double as loss, value as reward
+            from events where event_type in ('view', 'purchase')""",
+        "run_status_done": """with runs as (
+              select user_id as run_id, coalesce(max(event_id) filter (event_type = 'signup'), -1) as b,
+                coalesce(max(event_id) filter (event_type = 'error'), -1) as f,
+                coalesce(max(event_id) filter (event_type = 'purchase'), -1) as e from events group by user_id)
+            select run_id, case when b >= 0 and b > greatest(e, f) then 'running' when f > b then 'error'
+              when e > b then 'done' else 'idle' end as status from runs""",
+        "stream_restart": "select doc_id, text from documents",
         "fmt_sharegpt_plain": """select conv_id, string_agg(
               upper(substr(role, 1, 1)) || lower(substr(role, 2)) || ': ' || text, chr(10) order by turn) as text
             from conversations group by conv_id""",
