@@ -20,10 +20,11 @@ def cut(text: str) -> list[str]:
     parts = text.split(" ")
     if not BLANK_THEN_SPACE.search(text):
         return parts
-    chunks: list[str] = []
-    for part in parts:
-        # No cut before a space that follows white space.
-        if chunks and chunks[-1] and chunks[-1][-1].isspace() or chunks and not chunks[-1] and len(chunks) > 1 or chunks == [""] and text[:2] == "  ":
+    chunks = parts[:1]
+    for part in parts[1:]:
+        # No cut before a space that follows white space; an empty chunk but the first is a space.
+        last = chunks[-1]
+        if last[-1].isspace() if last else len(chunks) > 1:
             chunks[-1] += " " + part
         else:
             chunks.append(part)
