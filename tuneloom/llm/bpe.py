@@ -20,11 +20,11 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F
 
 from tuneloom.llm.chunks import MOST_CHARS, MOST_ENTRIES, ChunkTable
+from tuneloom.llm.common import worker_state
 
 NO_PAIR = 1 << 62
 #: A space, letters of the Latin blocks and perhaps one mark, which the patterns of public vocabularies take as a match or two.
 PLAIN_WORD = re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+([.,;:!?])?")
-_READY: dict[tuple, object] = {}  # per Python worker
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -229,9 +229,10 @@ class ByteBpe:
 
         @F.pandas_udf("binary")
         def encode(texts: pd.Series) -> pd.Series:
-            if ("encode", key) not in _READY:
-                _READY["encode", key] = encoder(shared.value, key[1])
-            table, out = _READY["encode", key], []
+            state = worker_state(("bpe", key))
+            if "encode" not in state:
+                state["encode"] = encoder(shared.value, key[1])
+            table, out = state["encode"], []
             rows = ["" if text is None else text for text in texts]
             for start in range(0, len(rows), 256):
                 out += table.texts(rows[start:start + 256])
@@ -245,9 +246,10 @@ class ByteBpe:
 
         @F.pandas_udf("binary")
         def decode(rows: pd.Series) -> pd.Series:
-            if ("decode", key) not in _READY:
-                _READY["decode", key] = {rank: token for token, rank in shared.value.items()}
-            tokens = _READY["decode", key].__getitem__
+            state = worker_state(("bpe", key))
+            if "decode" not in state:
+                state["decode"] = {rank: token for token, rank in shared.value.items()}
+            tokens = state["decode"].__getitem__
             out = [b"" if row is None else b"".join(map(tokens, struct.unpack(f"<{len(row) // 4}I", row))) for row in rows]
             return pd.Series(out, dtype=object)
 

@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable
 
 BLANK_THEN_SPACE = re.compile(r"\s ")
-MOST_ENTRIES = 800_000
+MOST_ENTRIES = 500_000
 MOST_CHARS = 64
 
 

@@ -13,6 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_WORKER: dict[str, object] = {"owner": None, "held": {}}
+
+
+def worker_state(owner: object) -> dict:
+    """What a Python worker keeps between its tasks for ``owner``; what it kept for another one goes."""
+    if _WORKER["owner"] != owner:
+        _WORKER.update(owner=owner, held={})
+    return _WORKER["held"]
+
+
 def _marked(text: Column) -> Column:
     """``text`` with each run of white space as one tab and line feed, characters it then has nowhere else."""
     for blank in BLANKS:

@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tuneloom.llm.chunks import ChunkTable
+from tuneloom.llm.common import worker_state
 
 MASK_DELTA = 0xA282EAD8
 INDEX_SCHEMA = "doc_id {kind}, part int, file string, offset long, bytes long, n_tokens long, before long, width int"
-_READY: dict[str, ChunkTable] = {}  # per Python worker
 
 
 def masked(data: bytes) -> int:
@@ -112,9 +112,10 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}.rec"
-        if tokenizer_path not in _READY:
-            _READY[tokenizer_path] = library_table(tokenizer_path)
-        table, out, offset, before = _READY[tokenizer_path], None, 0, 0
+        state = worker_state(("records", tokenizer_path))
+        if "table" not in state:
+            state["table"] = library_table(tokenizer_path)
+        table, out, offset, before = state["table"], None, 0, 0
         try:
             for batch in batches:
                 for start in range(0, batch.num_rows, rows):

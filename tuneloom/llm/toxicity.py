@@ -24,6 +24,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tuneloom.llm.common import worker_state
+
 SYMBOLS = 64  # boundary, a-z, the letters of Latin-1, any other letter
 OTHER = 63
 #: What a character may stand for.
@@ -36,7 +38,7 @@ SPELLED = re.compile(r"(?<!\S)\w(?: \w){3,}(?!\S)")
 STRETCHED = re.compile(r"(.)\1\1")
 COST_SUBSTITUTE, COST_GAP, COST_STRETCH = 1.0, 0.5, 1.5
 COST_BREAK, COST_LOST = 2.0, 8.0  # a gap, or a stand-in, that does end a word
-MOST_WORDS_HELD = 300_000
+MOST_WORDS_HELD = 150_000
 
 
 def symbol_table() -> np.ndarray:
@@ -194,9 +196,6 @@ def features(word: str) -> list[str]:
     return [word] + ["^" + word[:n] for n in (3, 4, 5, 6) if len(word) > n] + [word[-n:] + "$" for n in (4, 5) if len(word) > n]
 
 
-_READY: dict[str, object] = {}  # per Python worker
-
-
 class ToxicityModel:
     """A fitted model; ``evidence`` and ``score`` make columns."""
 
@@ -209,10 +208,11 @@ class ToxicityModel:
 
         @F.pandas_udf("array<double>")
         def evidence(texts: pd.Series) -> pd.Series:
-            if _READY.get("key") != key:
+            state = worker_state(("toxicity", key))
+            if not state:
                 counts, weights = shared.value
-                _READY.update(key=key, restorer=Restorer(CharModel(counts)), weights=weights, held={})
-            restorer, weights, held = _READY["restorer"], _READY["weights"], _READY["held"]
+                state.update(restorer=Restorer(CharModel(counts)), weights=weights, held={})
+            restorer, weights, held = state["restorer"], state["weights"], state["held"]
 
             def weigh(word: str) -> float:
                 weight = max((weights.get(f, 0.0) for reading in restorer.reading(word) for f in features(reading)), default=0.0)
