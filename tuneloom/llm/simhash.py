@@ -14,7 +14,7 @@ fingerprints are one node; null ids count in no minimum; an empty table gives an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -178,7 +178,12 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
     """``doc_id, fp, component_id, root`` of every row; a component is named by its smallest id (and by its smallest fingerprint)."""
     marked = stored(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), words).alias("fp")), "simhash")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = components(near_links(distinct, radius)).withColumnRenamed("node", "fp")
+    return named_rows(marked, distinct, near_links(distinct, radius))
+
+
+def named_rows(marked: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """``marked`` (``doc_id, fp``) with the components of links between ``fp``; ``distinct`` has each ``fp`` with its smallest id."""
+    roots = components(links).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id", "root")
@@ -187,7 +192,18 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
 
 def kept_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 2) -> DataFrame:
     """``docs`` with one row of each component: the row with the smallest id, of several such rows one."""
-    named = stored(near_copies(docs, text, doc_id, words, radius), "simhash-named")
+    named = near_copies(docs, text, doc_id, words, radius)
+    return _lowest_rows(docs, named, lambda column: fingerprint(column, words), text, doc_id)
+
+
+def kept_of(docs: DataFrame, marked: DataFrame, links: DataFrame, mark: Callable[[Column], Column], text: str, doc_id: str) -> DataFrame:
+    """``docs`` with one row of each component of ``links``; ``marked`` has ``doc_id, fp`` of every row, ``mark`` makes ``fp`` of a text."""
+    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "copies-distinct")
+    return _lowest_rows(docs, named_rows(marked, distinct, links), mark, text, doc_id)
+
+
+def _lowest_rows(docs: DataFrame, named: DataFrame, mark: Callable[[Column], Column], text: str, doc_id: str) -> DataFrame:
+    named = stored(named, "copies-named")
     per_id = named.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
     if per_id.isEmpty():
         # Ids are unique: a row stays if it names its component.
@@ -195,7 +211,7 @@ def kept_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words
         return docs.join(kept, F.col(doc_id) == F.col("__id"), "left_semi")
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("f"))
     first = first.select(F.col("f.doc_id").alias("__id"), F.col("f.fp").alias("__of"))
-    rows = docs.withColumn("__fp", fingerprint(F.col(text), words))
+    rows = docs.withColumn("__fp", mark(F.col(text)))
     rows = rows.join(first, (F.col("__fp") == F.col("__of")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
     nth = F.row_number().over(Window.partitionBy("__fp", doc_id).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns])))
     return rows.withColumn("__nth", nth).filter("__nth = 1").drop("__nth", "__fp")
