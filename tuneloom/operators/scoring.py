@@ -88,12 +88,18 @@ def score_group_reward(
     A call gets all completions of a group, in the order of ``position``: the rows that
     ``group_advantage`` compares under the same ``group``. Where a prompt is generated for again
     and again, name the round in ``group``. A group is one call by definition, so it has to fit
-    into a row; only the texts and the columns a function names go to Python.
+    into a row; only the texts and the columns a function names go to Python. A function with an
+    ``aggregate`` (see ``group_rewards``) is not called: its value is aggregated and joined back,
+    for groups of any size.
     """
     (reward,) = resolve_rewards([reward])
     function, name, extra = reward.function, reward.name, reward.columns
     if function is None:
         raise ValueError(f"Reward {name!r} is built in and needs no group scope")
+    aggregate = getattr(function, "aggregate", None)
+    if aggregate is not None:
+        values = aggregate(df, group, F.col(prompt), F.col(completion))
+        return join_groups(df, values, group).select(*df.columns, F.col("__value").alias(name))
     member, members, scores = "__member", "__members", "__scores"
 
     @F.arrow_udf("array<double>")

@@ -317,7 +317,7 @@ def scored_job(spark: SparkSession, sf_dir: str) -> DataFrame:
         "max_completion_length": 16,
         "rewards": [
             {"name": "contains_reward", "kwargs": {"keywords": ["</answer>"]}},
-            {"name": f"{__name__}:distinct_share", "scope": "group", "weight": 0.5},
+            {"name": "tuneloom.functions.group_rewards:distinct_share", "scope": "group", "weight": 0.5},
         ],
     })
     texts = _documents(spark, sf_dir).select(
