@@ -34,10 +34,13 @@ STANDS_FOR = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
 GAPS = " .-_*~'/,;:"
-SPELLED = re.compile(r"(?<!\S)\w(?: \w){3,}(?!\S)")
+SINGLE = r"[\w@$!|+(€£]"
+#: Three or more single characters between white space; punctuation may stand around them.
+SPELLED = re.compile(rf"(?<!\S)[\"'«(\[{{]*({SINGLE}(?:\s+{SINGLE}){{2,}})[.,;:!?)\]}}\"'»…]*(?!\S)")
 STRETCHED = re.compile(r"(.)\1\1")
 COST_SUBSTITUTE, COST_GAP, COST_STRETCH = 1.0, 0.5, 1.5
 COST_BREAK, COST_LOST = 2.0, 8.0  # a gap, or a stand-in, that does end a word
+CHANCE = float(np.log(SYMBOLS))  # per symbol; stand-ins alone are a word if their reading is likelier than this
 MOST_WORDS_HELD = 150_000
 
 
@@ -104,6 +107,10 @@ class CharModel:
 
     def decode(self, word: str) -> str:
         """The likeliest reading of a lower-case word or spelled-out run; boundaries become spaces."""
+        return self.likeliest(word)[1]
+
+    def likeliest(self, word: str) -> tuple[float, str]:
+        """The likeliest reading and its score."""
         logs, best = self.logs, {(0, 0): (0.0, "")}
         for options in lattice(word):
             reached: dict[tuple[int, int], tuple[float, str]] = {}
@@ -118,7 +125,7 @@ class CharModel:
                         reached[x, y] = (s, text + "".join(letter for letter, _ in letters))
             best = reached
         ended = ((score + (logs[a][b][0] if b else 0.0), text) for (a, b), (score, text) in best.items())
-        return max(ended)[1]
+        return max(ended)
 
 
 def _symbol(letter: str) -> int:
@@ -160,6 +167,11 @@ def doubtful(word: str) -> bool:
     return any(map(str.isalpha, word))
 
 
+def stand_ins_only(word: str) -> bool:
+    """Whether a word is written without letters, with three stand-ins or more."""
+    return sum(c in STANDS_FOR for c in word) > 2 and all(c in STANDS_FOR or c in GAPS for c in word)
+
+
 class Restorer:
     """Words of texts as they were meant, with the readings of recent words at hand."""
 
@@ -174,20 +186,31 @@ class Restorer:
             if plain.isalpha() and not STRETCHED.search(plain):
                 known = [plain]
             else:
-                known = self._model.decode(word).split() if doubtful(word) else [plain] if plain else []
+                known = self._model.decode(word).split() if doubtful(word) else self._without_letters(plain) if plain else []
             if len(self._readings) >= MOST_WORDS_HELD:
                 self._readings.clear()
             if len(word) <= 64:
                 self._readings[word] = known
         return known
 
+    def _without_letters(self, word: str) -> list[str]:
+        """The reading of stand-ins if the model takes it for a word; a stand-in lost makes it too dear, and numbers stay."""
+        if not stand_ins_only(word):
+            return [word]
+        score, reading = self._model.likeliest(word)
+        return reading.split() if score > -CHANCE * (len(reading) + 1) else [word]
+
+    def _run(self, run: str) -> str:
+        """The reading of single characters, whatever white space is between them."""
+        return self._model.decode(" ".join(run.split()))
+
     def spelled(self, text: str) -> list[str]:
         """Readings of runs of single characters."""
-        return [word for run in SPELLED.findall(text) for word in self._model.decode(run).split()]
+        return [word for run in SPELLED.findall(text) for word in self._run(run).split()]
 
     def restore(self, text: str) -> str:
         """The whole text in lower case with its doubtful words replaced by their readings."""
-        text = SPELLED.sub(lambda run: self._model.decode(run.group()), text.lower())
+        text = SPELLED.sub(lambda run: self._run(run.group(1)), text.lower())
         return " ".join(reading for word in text.split() for reading in self.reading(word))
 
 
