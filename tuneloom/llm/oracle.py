@@ -72,5 +72,46 @@ from normal
 """
 
 
+def _any_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+def op11() -> str:
+    """Whole-text expressions instead of a prefilter; where a match starts follows from what lies between matches."""
+    words = "|".join(map(_any_case, ("password", "passwd", "secret", "token"))) + "|" + _any_case("api") + "_?" + _any_case("key")
+    token = "list_reduce(list_prepend(4294967295::bigint, [ord(c)::bigint for c in string_split(substr({body}, 1, 30), '')]), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))"
+    digits = "[strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', c)::bigint - 1 for c in string_split(substr({body}, 31, 6), '')]"
+    fits = "length({body}) = 36 and xor(4294967295::bigint, " + token + ") = list_reduce(" + digits + ", lambda v, d: v * 62 + d)"
+    kinds = [
+        ("assign", rf"""(?:{words})["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", rf"""length(regexp_extract(found, '^(?:{words})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6"""),
+        ("access", "AKIA[A-Z0-9]+", "length(found) >= 20"),
+        ("hex", "[0-9a-f]+", "length(found) >= 24"),
+        ("github", "gh[pousr]_[0-9A-Za-z]+", fits.format(body="substr(found, 5)")),
+        ("npm", "npm_[0-9A-Za-z]+", fits.format(body="substr(found, 5)")),
+    ]
+    parts = []
+    for at, (kind, pattern, holds) in enumerate(kinds):
+        quoted = pattern.replace("'", "''")
+        parts.append(f"""
+          select nr, '{kind}' as kind, {at} as place, found, length(found) as size,
+            (list_sum([length(g) for g in gaps[1:i]]) + coalesce(list_sum([length(m) for m in matches[1:i - 1]]), 0))::bigint as begins
+          from (select nr, gaps, matches, unnest(matches) as found, unnest(range(1, len(matches) + 1)) as i
+            from (select nr, regexp_extract_all(body, '{quoted}') as matches, regexp_split_to_array(body, '{quoted}') as gaps
+              from numbered where regexp_matches(body, '{quoted}')))
+          where {holds}""")
+    return f"""
+with numbered as (select row_number() over () as nr, doc_id, coalesce(text, '') as body from documents),
+spans as ({" union all ".join(parts)}),
+listed as (
+  select nr, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+    string_agg(kind || ':' || begins || ':' || (begins + size), ',' order by begins, place) filter (place < 3) as base,
+    string_agg(kind || ':' || begins || ':' || (begins + size), ',' order by begins, place) as spans
+  from spans group by nr)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from numbered left join listed using (nr)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pareto_mix": OP1, "op5_licence_digests": op5(), "op6_exact_dedup": OP6}
+    return {"op1_pareto_mix": OP1, "op5_licence_digests": op5(), "op6_exact_dedup": OP6, "op11_secret_spans": op11()}

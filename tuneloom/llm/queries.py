@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tuneloom.llm import bpe, exact, licences, mixing, neighbours, records, repeats, sharding, simhash, toxicity
-from tuneloom.llm.common import table
+from tuneloom.llm import alignment, bpe, exact, licences, mixing, neighbours, periods, records, repeats, secrets, sharding, simhash, toxicity
+from tuneloom.llm.common import squeeze, table
 from tuneloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,5 +109,55 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op11_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every text, and how many of each base kind."""
+    found = table(spark, sf_dir, "documents").select("doc_id", secrets.secret_spans(F.col("text")).alias("all"))
+    base = [kind.name for kind in secrets.KINDS[:secrets.BASE]]
+    counts = [F.size(secrets.of_kinds(F.col("all"), name)).cast("long").alias(f"n_{name}") for name in base]
+    digest = F.sha2(secrets.listed(secrets.of_kinds(F.col("all"), *base)), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), secrets.listed(F.col("all")).alias("spans"))
+
+
+@query
+def op12_shared_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of byte-level and sentence-piece tokens of every text, and how usual their links are."""
+    documents = table(spark, sf_dir, "documents")
+    found = alignment.align(documents, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+def with_repetition(text: Column, doc_id: Column) -> Column:
+    """Every tenth text, by its id's checksum, with its words repeated from one of them on."""
+    def repeated(words: Column, n: Column, seed: Column) -> Column:
+        a = seed % n
+        p = 1 + F.floor((n - a) / (3 + seed % 8))
+        picked = F.transform(words, lambda word, i: F.when(i < a, word).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
+        return F.array_join(picked, " ")
+
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    words = F.filter(F.split(squeeze(text), " "), lambda word: word != "")
+    # Bound by a lambda, the words are cut once however often they are referred to.
+    made = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w, F.size(w).cast("long"), F.floor(h / 10))).otherwise(""))[0]
+    return F.when((h % 10 == 0) & text.isNotNull(), made).otherwise(text)
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every text, the strongest of them, and the text without repetitions."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", with_repetition(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periods.periodic_runs(documents, keep=["doc_id"])
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), "")
+    best = F.col("strongest")
+    exponent = F.expr("strongest.length * 1000 div strongest.period")
+    return found.select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), exponent.alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return dict(_REGISTRY)
