@@ -12,6 +12,7 @@ from odd_rows import CLASHING, no_docs, odd_docs  # noqa: F401
 from tuneloom.llm import alignment
 from tuneloom.llm.queries import op12_shared_cuts
 
+PATTERN = public_tokenizers.PATTERN
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 PARTS = [
     "the", "Quick", "fox", " ", " ", "  ", "   ", "\n", "\t", " \n ", "é", "ß", "中文", "🙂", "don't", "123", "4567", ".", ",", "--", "<|endoftext|>", "<s>", "<0x41>",
@@ -86,29 +87,20 @@ def test_query_equals_all_pairs(spark, libraries, tmp_path, monkeypatch):
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(by_hand(libraries, rows), key=repr)
 
 
-def test_chunks_equal_whole_texts(libraries):
-    a, b = alignment.byte_level(A), alignment.pieces(B)
+def test_ids_equal_those_of_the_libraries(libraries, monkeypatch):
+    a, b = alignment.byte_level(A, PATTERN), alignment.pieces(B)
     empty = 0
-    for text in texts():
-        ids_a, spelt_a, ids_b, spelt_b = libraries(text)
-        data = b" " + text.encode()
-        for side, ids, spelt in ((a, ids_a, spelt_a), (b, ids_b, spelt_b)):
-            (coded,) = side.texts([alignment.following_space(text)])
-            want = ids if b"".join(spelt) == data else []
-            empty += not want
-            assert np.frombuffer(coded, side.kind).tolist() == want, repr(text[:80])
-    assert empty > 3
-
-
-def test_table_of_chunks_stays_bounded(monkeypatch):
-    monkeypatch.setattr(alignment, "MOST_ENTRIES", 50)
-    side, fresh = alignment.pieces(B), alignment.pieces(B)
-    for text in texts()[:60]:
-        cuts = [alignment.following_space(text)]
-        monkeypatch.setattr(alignment, "MOST_ENTRIES", 50)
-        coded = side.texts(cuts)
-        monkeypatch.setattr(alignment, "MOST_ENTRIES", 10**6)
-        assert coded == fresh.texts(cuts) and len(side._known) <= 50 + len(cuts[0])
+    for most in (1 << 20, 30):  # whole, and in parts
+        monkeypatch.setattr(alignment, "STRETCH_CHARS", most)
+        for text in texts():
+            ids_a, spelt_a, ids_b, spelt_b = libraries(text)
+            data = b" " + text.encode()
+            for side, ids, spelt in ((a, ids_a, spelt_a), (b, ids_b, spelt_b)):
+                want = ids if b"".join(spelt) == data else []
+                empty += not want
+                assert side.ids(text).tolist() == want, repr(text[:80])
+    assert empty > 6
+    assert len(alignment.stretches("word " * 100)) == 15 and alignment.stretches("x" * 99) == ["x" * 99]
 
 
 def test_cuts_are_the_common_ends():
@@ -123,7 +115,7 @@ def test_cuts_are_the_common_ends():
 
 
 def test_odd_rows(odd_docs, no_docs):
-    found = alignment.align(odd_docs, A, B).collect()
+    found = alignment.align(odd_docs, A, B, PATTERN).collect()
     assert len(found) == odd_docs.count() and set(CLASHING) < set(found[0]["row"].asDict())
     assert all((r["n_a"] > 0) == bool(r["row"]["text"]) for r in found)
-    assert alignment.align(no_docs, A, B).isEmpty()
+    assert alignment.align(no_docs, A, B, PATTERN).isEmpty()

@@ -15,84 +15,80 @@ columns are in ``row``, so that no name clashes; an empty table gives an empty r
 
 from __future__ import annotations
 
-import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from tuneloom.llm.chunks import cut
 from tuneloom.llm.common import stored, worker_state
 
 BLOCK_BYTES = 8 << 20  # of texts whose pairs are counted together; a longer text is a block
-SLICE_CHARS = 2 << 20  # of texts encoded together
-MOST_ENTRIES, MOST_CHARS = 150_000, 48  # of a table of encoded chunks
+SLICE_CHARS = 1 << 20  # of texts encoded together
+STRETCH_CHARS = 1 << 20  # a longer text is encoded in parts
+SAFE_CUT = re.compile(r"(?<=[^\s▁]) (?=\S)")
+SHORT = 16  # an interval of so few tokens is cut at all its common ends at once
+NONE = np.zeros(0, dtype=np.int64)
 TOKENS = "ids_a binary, ids_b binary, cuts binary"
 
 
-class Encoded:
-    """Ids of texts by chunk, as unsigned 16-bit integers where the vocabulary allows it, else 32-bit."""
+class Side:
+    """One of the two tokenizers: ids of what follows a space, and the bytes of each id."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], tokens: list[bytes]):
+    def __init__(self, encode: Callable[[str], np.ndarray], tokens: list[bytes]):
         self.tokens = tokens
         self.sizes = np.array([len(token) for token in tokens], dtype=np.int64)
+        #: Ids are kept in 16 bits where the vocabulary allows it.
         self.kind = np.dtype("<u2" if len(tokens) <= 1 << 16 else "<u4")
         self._encode = encode
-        self._known: dict[str, bytes] = {}
-        self._odd: set[str] = set()
-
-    def _learn(self, chunks: list[str]) -> None:
-        for chunk, ids in zip(chunks, self._encode(chunks)):
-            self._known[chunk] = np.array(ids, dtype=self.kind).tobytes()
-            if b"".join(map(self.tokens.__getitem__, ids)) != b" " + chunk.encode():
-                self._odd.add(chunk)
-
-    def texts(self, cuts: list[list[str]]) -> list[bytes]:
-        """Ids of each text of chunks, each of which follows a space; empty if they spell something else."""
-        missing = list(set().union(*cuts).difference(self._known)) if cuts else []
-        if len(self._known) + len(missing) > MOST_ENTRIES:
-            self._known, self._odd = {}, set()
-            missing = list(set().union(*cuts).difference(self._known))
-        self._learn(missing)
-        out = []
-        for chunks in cuts:
-            ids = b"".join(map(self._known.__getitem__, chunks))
-            if self._odd and not self._odd.isdisjoint(chunks):
-                spelt = b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, self.kind).tolist()))
-                ids = ids if spelt == b"".join(b" " + chunk.encode() for chunk in chunks) else b""
-            out.append(ids)
-        for chunk in [chunk for chunk in missing if len(chunk) > MOST_CHARS]:
-            self._known.pop(chunk, None)
-            self._odd.discard(chunk)
-        return out
-
-
-def byte_level(path: str) -> Encoded:
-    """A byte-level tokenizer of the tokenizers library; the strings of special tokens are plain text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    # The usual stand-ins: printable bytes are themselves, the others follow from U+0100 on, in order.
-    printable = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    byte_of = {chr(b): b for b in printable}
-    byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
-    tokens = [b""] * tokenizer.get_vocab_size(with_added_tokens=True)
-    for token, at in tokenizer.get_vocab(with_added_tokens=True).items():
-        tokens[at] = bytes(map(byte_of.__getitem__, token)) if all(c in byte_of for c in token) else token.encode()
 
-    def encode(chunks: list[str]) -> list[list[int]]:
-        found = tokenizer.encode_batch_fast([" " + chunk for chunk in chunks], add_special_tokens=False)
-        return [one.ids for one in found]
+    def ids(self, text: str) -> np.ndarray:
+        """Ids of a space and ``text``; none if they spell something else."""
+        ids = np.concatenate([self._encode(part) for part in stretches(text)])
+        spelt = b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        return ids.astype(self.kind) if spelt == b" " + text.encode() else np.zeros(0, self.kind)
+
+
+def stretches(text: str) -> list[str]:
+    """Parts of a long text that follow a space each, cut where no token of either side goes on."""
+    parts, start = [], 0
+    while len(text) - start > STRETCH_CHARS and (found := SAFE_CUT.search(text, start + STRETCH_CHARS)):
+        parts.append(text[start:found.start()])
+        start = found.end()
+    return [*parts, text[start:]]
 
-    return Encoded(encode, tokens)
 
+def byte_level(path: str, pattern: str) -> Side:
+    """A byte-level tokenizer file whose ids are in the order of its merges; special tokens' strings are plain text."""
+    import json
 
-def pieces(path: str) -> Encoded:
+    import tiktoken
+
+    # Fixed values, the usual stand-ins: printable bytes are themselves, the others follow from U+0100 on, in order.
+    printable = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    byte_of = {chr(b): b for b in printable}
+    byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    merged = [model["vocab"][merge.replace(" ", "") if isinstance(merge, str) else "".join(merge)] for merge in model["merges"]]
+    if merged != sorted(merged):
+        raise ValueError(f"{path!r} has ids in another order than its merges")
+    special = {token for token in model["vocab"] if not all(c in byte_of for c in token)}
+    ranks = {bytes(map(byte_of.__getitem__, token)): at for token, at in model["vocab"].items() if token not in special}
+    if len(ranks) != len(merged) + 256:
+        raise ValueError(f"{path!r} has tokens that no merge makes")
+    encode = tiktoken.Encoding("aligned", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, at in ranks.items():
+        tokens[at] = token
+    return Side(lambda text: encode(" " + text, disallowed_special=()), tokens)
+
+
+def pieces(path: str) -> Side:
     """A sentence-piece model that puts a space before a text; no piece goes on over a space."""
     import sentencepiece
 
@@ -104,17 +100,12 @@ def pieces(path: str) -> Encoded:
         bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode()
         for i, piece in enumerate(spelt)
     ]
-    space = [model.piece_to_id("▁")]  # nothing after a space, which the model by itself puts before texts only
-
-    def encode(chunks: list[str]) -> list[list[int]]:
-        return [ids if chunk else space for chunk, ids in zip(chunks, model.encode(chunks, num_threads=1))]
-
-    return Encoded(encode, tokens)
+    return Side(lambda text: np.array(model.encode(text), dtype=np.int64), tokens)
 
 
-def following_space(text: str) -> list[str]:
-    """Chunks of a space and ``text``, each without the space it begins with, that tokenizers treat alone."""
-    return cut(" " + text)[1:]
+def _counting(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each size, one after another."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def shared_ends(ends_a: np.ndarray, ends_b: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -125,8 +116,11 @@ def shared_ends(ends_a: np.ndarray, ends_b: np.ndarray, low: np.ndarray, high: n
     marked = np.zeros(len(ends_a), dtype=bool)
     marked[high - 1] = True
     while True:
-        open_ = high - low > 1
-        low, high = low[open_], high[open_]
+        size = high - low
+        short = (size > 1) & (size <= SHORT)
+        inner = np.repeat(low[short], size[short] - 1) + _counting(size[short] - 1)
+        marked[inner] = ends_b[np.searchsorted(ends_b, ends_a[inner])] == ends_a[inner]
+        low, high = low[size > SHORT], high[size > SHORT]
         if not len(low):
             return marked
         middle = (low + high - 2) // 2
@@ -143,27 +137,28 @@ def shared_ends(ends_a: np.ndarray, ends_b: np.ndarray, low: np.ndarray, high: n
         # Intervals without a common end are leaves.
         cut_at, low, high = found[found >= 0], low[found >= 0], high[found >= 0]
         marked[cut_at] = True
-        low, high = np.concatenate([low, cut_at + 1]), np.concatenate([cut_at + 1, high])
+        low, high = np.stack([low, cut_at + 1], axis=1).ravel(), np.stack([cut_at + 1, high], axis=1).ravel()
 
 
 def _ids(values: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a column, and where each row's begin (and the last one's end)."""
-    rows = [value.as_py() for value in values]
+    """All ids of a column of packed ids, and where each row's begin (and the last one's end)."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    rows = [unpack(value.as_py()) if len(value.as_py()) else b"" for value in values]
     edges = np.concatenate([[0], np.cumsum([len(row) for row in rows])]).astype(np.int64) // kind.itemsize
     return np.frombuffer(b"".join(rows), dtype=kind).astype(np.int64), edges
 
 
-def _tokenizers(path_a: str, path_b: str) -> tuple[Encoded, Encoded]:
-    state = worker_state(("alignment", path_a, path_b))
+def _tokenizers(path_a: str, path_b: str, pattern: str) -> tuple[Side, Side]:
+    state = worker_state(("alignment", path_a, path_b, pattern))
     if "a" not in state:
-        state["a"], state["b"] = byte_level(path_a), pieces(path_b)
+        state["a"], state["b"] = byte_level(path_a, pattern), pieces(path_b)
     return state["a"], state["b"]
 
 
 class Aligned:
     """Tokens of several texts: their ends over all texts, and the links between them."""
 
-    def __init__(self, batch: dict[str, pa.Array], a: Encoded, b: Encoded):
+    def __init__(self, batch: dict[str, pa.Array], a: Side, b: Side):
         self.ids_a, self.edges_a = _ids(batch["ids_a"], a.kind)
         self.ids_b, self.edges_b = _ids(batch["ids_b"], b.kind)
         self.ends_a, self.ends_b = np.cumsum(a.sizes[self.ids_a]), np.cumsum(b.sizes[self.ids_b])
@@ -197,9 +192,10 @@ class Aligned:
         return ["".join(out[low:high])[:-1] for low, high in zip(edges, edges[1:])]
 
 
-def _encode_batches(path_a: str, path_b: str):
+def _encode_batches(files: tuple[str, str, str]):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _tokenizers(path_a, path_b)
+        a, b = _tokenizers(*files)
+        pack = zstandard.ZstdCompressor(level=1).compress
         task, block, held = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             texts, sizes = batch.column(1), batch.column(2).to_pylist()
@@ -209,8 +205,10 @@ def _encode_batches(path_a: str, path_b: str):
                 while stop < len(sizes) and (stop == first or chars + sizes[stop] <= SLICE_CHARS):
                     chars += sizes[stop]
                     stop += 1
-                cuts = [following_space(text) if text else [] for text in texts.slice(first, stop - first).to_pylist()]
-                coded = [[x, y] if x and y else [b"", b""] for x, y in zip(a.texts(cuts), b.texts(cuts))]
+                coded = []
+                for text in texts.slice(first, stop - first).to_pylist():
+                    ids_a, ids_b = (a.ids(text), b.ids(text)) if text else (NONE, NONE)
+                    coded.append((pack(ids_a.tobytes()), pack(ids_b.tobytes())) if len(ids_a) and len(ids_b) else (b"", b""))
                 columns = {name: pa.array([row[i] for row in coded], pa.binary()) for i, name in enumerate(("ids_a", "ids_b"))}
                 both = Aligned(columns, a, b)
                 low, high = both.edges_a[:-1], both.edges_a[1:]
@@ -231,7 +229,7 @@ def _encode_batches(path_a: str, path_b: str):
     return encode
 
 
-def _count_batches(path_a: str, path_b: str):
+def _count_batches(files: tuple[str, str, str]):
     """Per block and pair of ids, how many documents hold it linked."""
     def counted(block: int, held: list[np.ndarray]) -> pa.RecordBatch:
         pairs, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -239,7 +237,7 @@ def _count_batches(path_a: str, path_b: str):
         return pa.RecordBatch.from_arrays(arrays, names=["block", "pair", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _tokenizers(path_a, path_b)
+        a, b = _tokenizers(*files)
         current, held = None, []
         for batch in batches:
             blocks = batch.column("block").to_numpy()
@@ -263,37 +261,39 @@ def _count_batches(path_a: str, path_b: str):
     return count
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: ``row`` (its columns, or those of ``keep``), counts and ``groups``.
 
-    ``groups`` is ``a1,a2|b1;a3|b2,b3``: ids of A and B group by group. ``n_links`` pairs of token occurrences
+    ``path_a`` is a byte-level tokenizer file (JSON), whose texts ``pattern`` splits; ``path_b`` a sentence-piece
+    model. ``groups`` is ``a1,a2|b1;a3|b2,b3``: ids of A and B group by group. ``n_links`` pairs of token occurrences
     overlap; ``n_best`` of them are of a pair that as many documents link as any pair of its A id, and
     ``count_sum`` is the sum of those numbers of documents over all links.
     """
+    files = (path_a, path_b, pattern)
     row = F.struct(*[F.col(c) for c in (keep if keep is not None else docs.columns)]).alias("row")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     narrow = docs.select(row, body.alias("text"), F.length(body).cast("long").alias("size"))
     schema = StructType([narrow.schema["row"], *StructType.fromDDL("block long, " + TOKENS).fields])
-    tokens = stored(narrow.mapInArrow(_encode_batches(path_a, path_b), schema), "aligned-tokens")
+    tokens = stored(narrow.mapInArrow(_encode_batches(files), schema), "aligned-tokens")
 
     counted = tokens.filter(F.octet_length("ids_a") > 0).select("block", "ids_a", "ids_b")
-    held = stored(counted.mapInArrow(_count_batches(path_a, path_b), "block long, pair long, n long"), "aligned-pairs")
+    held = stored(counted.mapInArrow(_count_batches(files), "block long, pair long, n long"), "aligned-pairs")
     totals = held.groupBy("pair").agg(F.sum("n").alias("documents")).withColumn("a", F.shiftright("pair", 32))
     best = totals.groupBy("a").agg(F.max("documents").alias("most"))
     judged = totals.join(best, "a").select("pair", "documents", (F.col("documents") == F.col("most")).alias("best"))
     known = held.select("block", "pair").join(judged, "pair")
 
     out = StructType([tokens.schema["row"], *StructType.fromDDL("n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string").fields])
-    return tokens.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_report(path_a, path_b), out)
+    return tokens.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_report(files), out)
 
 
-def _report(path_a: str, path_b: str):
-    def names(a: Encoded, b: Encoded) -> tuple[np.ndarray, ...]:
+def _report(files: tuple[str, str, str]):
+    def names(a: Side, b: Side) -> tuple[np.ndarray, ...]:
         return tuple(np.array([f"{i}{sign}" for i in range(len(side.tokens))], dtype=object) for side, signs in ((a, ",|"), (b, ",;")) for sign in signs)
 
     def report(tokens: pa.Table, known: pa.Table) -> pa.Table:
-        a, b = _tokenizers(path_a, path_b)
-        state = worker_state(("alignment", path_a, path_b))
+        a, b = _tokenizers(*files)
+        state = worker_state(("alignment", *files))
         if "names" not in state:
             state["names"] = names(a, b)
         pairs = known.column("pair").to_numpy()

@@ -122,8 +122,11 @@ def op11_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_shared_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of byte-level and sentence-piece tokens of every text, and how usual their links are."""
+    import public_tokenizers
+
     documents = table(spark, sf_dir, "documents")
-    found = alignment.align(documents, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
+    files = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), public_tokenizers.PATTERN
+    found = alignment.align(documents, *files, keep=["doc_id"])
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
     return found.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
 
