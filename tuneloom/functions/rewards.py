@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+from collections import Counter
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from tuneloom.functions.patterns import to_spark_pattern
 from tuneloom.functions.text import token_count
 
-# Above this many keywords the expression becomes one loop over a literal array.
+# Above this many keywords one automaton looks for all of them at once.
 UNROLLED_KEYWORDS = 50
 
 
@@ -64,12 +67,49 @@ def contains_reward(parts: TextParts, *, keywords: Sequence[str] | None = None)
             lambda total, word: total + parts.lowered.contains(F.lit(word)).cast("int"), words, F.lit(0)
         )
     else:
-        hits = F.size(
-            F.filter(F.array(*map(F.lit, words)), lambda word: F.contains(parts.lowered, word))
-        )
+        hits = _keyword_hits(tuple(words))(parts.text)
     return hits.cast("double") / F.lit(float(len(words)))
 
 
+@functools.lru_cache(maxsize=8)
+def keyword_automaton(words: tuple[str, ...]):
+    """An Aho-Corasick automaton of the words and how often each is asked for; kept by a worker between batches."""
+    import ahocorasick
+
+    asked = Counter(words)
+    always = asked.pop("", 0)
+    automaton = ahocorasick.Automaton()
+    for at, (word, times) in enumerate(asked.items()):
+        automaton.add_word(word, (at, times))
+    automaton.make_automaton()
+    return automaton, len(asked), always
+
+
+def count_keywords(texts: list[str | None], words: tuple[str, ...]) -> list[int]:
+    """How many of ``words`` each text holds, ignoring case: one pass over the text, however many there are."""
+    automaton, different, always = keyword_automaton(words)
+    counts = []
+    for text in texts:
+        seen: set[int] = set()
+        hits = always
+        for _, (at, times) in automaton.iter((text or "").lower()) if different else ():
+            if at not in seen:
+                seen.add(at)
+                hits += times
+                if len(seen) == different:
+                    break
+        counts.append(hits)
+    return counts
+
+
+def _keyword_hits(words: tuple[str, ...]) -> Callable[[Column], Column]:
+    @F.arrow_udf("bigint")
+    def hits(texts: pa.Array) -> pa.Array:
+        return pa.array(count_keywords(texts.to_pylist(), words), pa.int64())
+
+    return hits
+
+
 BUILT_IN: dict[str, Callable[..., Column]] = {
     "length_reward": length_reward,
     "regex_format_reward": regex_format_reward,

@@ -81,13 +81,58 @@ def _field_text(value: Column, dtype: T.StructType, field: str) -> Column:
     return _scalar_text(value.getField(field), dtype[field].dataType)
 
 
+def variant_items(value: Column) -> Column:
+    """The items of a list in a variant; null for any other shape."""
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def variant_field(value: Column, name: str) -> Column:
+    """A field of an object in a variant, null for any other shape or without the field."""
+    return F.try_variant_get(value, f"$.{name}", "variant")
+
+
+def is_variant_object(value: Column) -> Column:
+    """Whether a variant that is no list is an object; its JSON form tells, at the first character."""
+    return F.startswith(F.to_json(value), F.lit("{"))
+
+
+def variant_scalar(value: Column) -> Column:
+    """A variant as text: strings stay, true and false are ``True`` and ``False``, lists and objects are JSON; null stays null."""
+    as_json = F.to_json(value)
+    return F.when(as_json == "true", F.lit("True")).when(as_json == "false", F.lit("False")).otherwise(F.try_variant_get(value, "$", "string"))
+
+
+def _flatten_variant(value: Column) -> Column:
+    def item(element: Column) -> Column:
+        text = F.when(is_variant_object(element), variant_scalar(variant_field(element, "content"))).otherwise(variant_scalar(element))
+        return F.coalesce(text, F.lit(""))
+
+    listed = F.array_join(F.transform(variant_items(value), item), "\n")
+    content = variant_field(value, "content")
+    single = F.when(is_variant_object(value) & content.isNotNull(), F.coalesce(variant_scalar(content), F.lit("")))
+    return F.coalesce(listed, single, variant_scalar(value), F.lit(""))
+
+
+def first_field(row: Column, *names: str) -> Column:
+    """Of a row kept as a variant, the first of ``names`` it has; a field that holds null or nothing counts."""
+    return F.coalesce(*(variant_field(row, name) for name in names))
+
+
+def parsed_shapes(text: Column) -> Column:
+    """JSON text as a variant that keeps each row's shape; text that is no JSON is a string."""
+    return F.coalesce(F.try_parse_json(text), text.cast("variant"))
+
+
 def flatten(value: Column, dtype: T.DataType) -> Column:
     """Turn a prompt or completion of any shape into one text.
 
     Text stays; a list joins its items by newline (a message item gives its ``content``,
     or '' without one); a single message gives its ``content``, or its JSON form without
-    one; other scalars give their string form. Null gives ''.
+    one; other scalars give their string form. Null gives ''. A variant (see ``parsed_shapes``) does
+    so by the shape of each row and of each item.
     """
+    if isinstance(dtype, T.VariantType):
+        return _flatten_variant(value)
     if isinstance(dtype, T.ArrayType):
         item = dtype.elementType
 

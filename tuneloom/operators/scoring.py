@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections import deque
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from tuneloom.functions.group_rewards import GroupReward, reads_batches
 from tuneloom.functions.resolve import Reward, output_names, resolve_rewards
 from tuneloom.functions.rewards import TextParts
 from tuneloom.functions.text import flat_column
 from tuneloom.operators.scale import join_groups
 
 _PART = "__part_"
+_VALUE, _STATE = "__value", "__state"
+# A task hands on its states of group rewards when it holds more than this many.
+MOST_STATES = 10_000
 
 
 def _checked(values: Sequence[float], expected: int, name: str) -> list[float | None]:
@@ -83,43 +90,143 @@ def score_group_reward(
     prompt: str = "prompt",
     completion: str = "completion",
 ) -> DataFrame:
-    """Score a function that must see a whole generation group in one call.
-
-    A call gets all completions of a group, in the order of ``position``: the rows that
-    ``group_advantage`` compares under the same ``group``. Where a prompt is generated for again
-    and again, name the round in ``group``. A group is one call by definition, so it has to fit
-    into a row; only the texts and the columns a function names go to Python. A function with an
-    ``aggregate`` (see ``group_rewards``) is not called: its value is aggregated and joined back,
-    for groups of any size.
+    """Score a function that judges whole generation groups: the rows that ``group_advantage`` compares.
+
+    Where a prompt is generated for again and again, name the round in ``group``. What a task holds
+    depends on what the function offers (see ``group_rewards``): with an ``aggregate`` or as a
+    ``GroupReward`` it takes groups of any size, as a generator it gets the group batch by batch in the
+    order of ``position``, as a plain function it gets the group's lists in that order. Only the texts
+    and the columns it names go to Python; ``position`` tells the rows of a group apart.
     """
     (reward,) = resolve_rewards([reward])
-    function, name, extra = reward.function, reward.name, reward.columns
+    function, name = reward.function, reward.name
     if function is None:
         raise ValueError(f"Reward {name!r} is built in and needs no group scope")
+    group = list(group)
     aggregate = getattr(function, "aggregate", None)
     if aggregate is not None:
         values = aggregate(df, group, F.col(prompt), F.col(completion))
         return join_groups(df, values, group).select(*df.columns, F.col("__value").alias(name))
-    member, members, scores = "__member", "__members", "__scores"
-
-    @F.arrow_udf("array<double>")
-    def score(groups: pa.Array) -> pa.Array:
-        out = []
-        for rows in groups.to_pylist():
-            kwargs = {key: [row[key] for row in rows] for key in extra}
-            values = function([row[prompt] for row in rows], [row[completion] for row in rows], **kwargs)
-            out.append(_checked(values, len(rows), name))
-        return pa.array(out, pa.list_(pa.float64()))
-
-    row = F.struct(F.col(position).alias("position"), F.struct(*df.columns).alias("row"))
-    gathered = df.groupBy(*group).agg(F.sort_array(F.collect_list(row)).alias(members))
-    needed = list(dict.fromkeys([prompt, completion, *extra]))
-    seen = F.transform(members, lambda m: F.struct(*(m["row"][c].alias(c) for c in needed)))
-    return (
-        gathered.withColumn(scores, score(seen))
-        .select(F.explode(F.arrays_zip(members, scores)).alias(member))
-        .select(f"{member}.{members}.row.*", F.col(f"{member}.{scores}").alias(name))
-    )
+    if isinstance(function, GroupReward):
+        return _merged_score(df, reward, group, prompt, completion)
+    return _streamed_score(df, reward, group, position, prompt, completion)
+
+
+def _lists(batch: pa.RecordBatch, prompt: str, completion: str, extra: Sequence[str]) -> tuple[list, list, dict[str, list]]:
+    return batch.column(prompt).to_pylist(), batch.column(completion).to_pylist(), {c: batch.column(c).to_pylist() for c in extra}
+
+
+def _streamed_score(df: DataFrame, reward: Reward, group: list[str], position: str, prompt: str, completion: str) -> DataFrame:
+    """The group's rows as Arrow batches, sorted before they reach Python; further columns are joined back."""
+    function, name, extra = reward.function, reward.name, reward.columns
+    needed = list(dict.fromkeys([*group, position, prompt, completion, *extra]))
+    by_batch = reads_batches(function)
+
+    def whole_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        prompts, completions, columns = [], [], {c: [] for c in extra}
+        for batch in batches:
+            some = _lists(batch, prompt, completion, extra)
+            prompts += some[0]
+            completions += some[1]
+            for c in extra:
+                columns[c] += some[2][c]
+        scores = _checked(function(prompts, completions, **columns), len(completions), name)
+        start = 0
+        for batch in batches:
+            yield batch.append_column(_VALUE, pa.array(scores[start:start + batch.num_rows], pa.float64()))
+            start += batch.num_rows
+
+    def batch_by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: deque[pa.RecordBatch] = deque()
+
+        def lists():
+            for batch in batches:
+                waiting.append(batch)
+                yield _lists(batch, prompt, completion, extra)
+
+        for scores in function(lists()):
+            if not waiting:
+                raise ValueError(f"Reward {name!r} yields more than it was given")
+            batch = waiting.popleft()
+            yield batch.append_column(_VALUE, pa.array(_checked(scores, batch.num_rows, name), pa.float64()))
+        if waiting or next(batches, None) is not None:
+            raise ValueError(f"Reward {name!r} yields scores for some batches only")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batch_by_batch(batches) if by_batch else whole_group(batches)
+
+    # Sorted by Spark, which spills; the groups then come in the order of their rows.
+    narrow = df.select(*needed).repartition(*group).sortWithinPartitions(*group, position)
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in narrow.schema), T.StructField(_VALUE, T.DoubleType())])
+    score.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    scored = narrow.groupBy(*group).applyInArrow(score, schema)
+    if set(df.columns) <= set(needed):
+        return scored.select(*df.columns, F.col(_VALUE).alias(name))
+    keys = [*group, position]
+    return join_groups(df, scored.select(*keys, _VALUE), keys).select(*df.columns, F.col(_VALUE).alias(name))
+
+
+def _merged_score(df: DataFrame, reward: Reward, group: list[str], prompt: str, completion: str) -> DataFrame:
+    """States of what each task reads of a group, merged per group and joined back to the rows."""
+    function, name, extra = reward.function, reward.name, reward.columns
+    needed = list(dict.fromkeys([*group, prompt, completion, *extra]))
+    keys = df.select(*group).schema
+    state_schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in keys), T.StructField(_STATE, T.BinaryType())])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[tuple, Any] = {}
+        for batch in batches:
+            rows_of: dict[tuple, list[int]] = {}
+            for at, key in enumerate(zip(*(batch.column(c).to_pylist() for c in group))):
+                rows_of.setdefault(key, []).append(at)
+            for key, rows in rows_of.items():
+                prompts, completions, columns = _lists(batch.take(pa.array(rows)), prompt, completion, extra)
+                state = states.pop(key) if key in states else function.init()
+                states[key] = function.add(state, prompts, completions, **columns)
+            if len(states) > MOST_STATES:
+                yield packed(states)
+                states = {}
+        if states:
+            yield packed(states)
+
+    def packed(states: dict[tuple, Any]) -> pa.RecordBatch:
+        columns = [pa.array(values, kind) for values, kind in zip(zip(*states), kinds)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(map(pickle.dumps, states.values()), pa.binary())], names=[*group, _STATE])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last = None, None
+        for batch in batches:
+            for one in batch.column(_STATE).to_pylist():
+                one = pickle.loads(one)
+                state = one if last is None else function.merge(state, one)
+                last = batch.slice(0, 1)
+        whole = pa.array([pickle.dumps(function.finish(state))], pa.binary())
+        yield last.set_column(last.schema.get_field_index(_STATE), _STATE, whole)
+
+    @F.arrow_udf("double")
+    def score(summaries: pa.Array, prompts: pa.Array, completions: pa.Array, *others: pa.Array) -> pa.Array:
+        columns = {key: column.to_pylist() for key, column in zip(extra, others, strict=True)}
+        prompts, completions = prompts.to_pylist(), completions.to_pylist()
+        out: list[float | None] = [None] * len(completions)
+        rows_of: dict[bytes, list[int]] = {}
+        for at, summary in enumerate(summaries.to_pylist()):
+            rows_of.setdefault(summary, []).append(at)
+        for summary, rows in rows_of.items():
+            values = function.score(
+                pickle.loads(summary), [prompts[i] for i in rows], [completions[i] for i in rows],
+                **{key: [column[i] for i in rows] for key, column in columns.items()},
+            )
+            for at, value in zip(rows, _checked(values, len(rows), name)):
+                out[at] = value
+        return pa.array(out, pa.float64())
+
+    kinds = [to_arrow_type(field.dataType) for field in keys]
+    merged.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    states = df.select(*needed).mapInArrow(partial, state_schema)
+    summaries = states.groupBy(*group).applyInArrow(merged, state_schema)
+    joined = join_groups(df, summaries, group)
+    return joined.select(*df.columns, score(F.col(_STATE), F.col(prompt), F.col(completion), *map(F.col, extra)).alias(name))
 
 
 def weighted_total(

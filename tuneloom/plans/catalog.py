@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
 from tuneloom.functions.formats import TEMPLATES
-from tuneloom.functions.text import flat_column
+from tuneloom.functions.text import first_field, flat_column, parsed_shapes
 from tuneloom.operators import capture, checkpoints, layout, telemetry
 from tuneloom.operators.formatting import cap_tokens, format_rows
 from tuneloom.operators.prompts import (
@@ -262,6 +263,30 @@ def reward_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("conv_id", flat_column(lists, "messages").alias("flat"))
 
 
+@query
+def reward_flatten_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions whose shape differs by row and by item."""
+    rows = views.mixed_completions(_turns(spark, sf_dir)).withColumn("completion", parsed_shapes(F.col("completion")))
+    scored = score_rewards(rows, [REWARDS[0]])
+    return scored.select("conv_id", flat_column(scored, "completion").alias("flat"), "length_reward")
+
+
+@query
+def fmt_mixed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dialogues that name their list and its fields differently by row."""
+    parsed = views.mixed_dialogues(_turns(spark, sf_dir)).withColumn("row", F.parse_json("row"))
+    lists = parsed.select("conv_id", first_field(F.col("row"), "conversations", "messages").alias("conversations"))
+    return lists.transform(format_rows("sharegpt", template="im_tags", keep=["conv_id"]))
+
+
+@query
+def reward_contains_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hundred keywords, some of them twice, in either case."""
+    reward = {"name": "contains_reward", "kwargs": {"keywords": views.many_keywords()}}
+    scored = score_rewards(_documents(spark, sf_dir).select("doc_id", "text"), [reward], completion="text")
+    return scored.select("doc_id", F.round("contains_reward", 6).alias("contains_reward"))
+
+
 def shared_words(prompts, completions, weight=1.0):
     """Share of the prompt's words that come back in the completion."""
     scores = []
@@ -290,24 +315,48 @@ def reward_user_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("conv_id", "turn", F.round("long_for_turn", 6).alias("long_for_turn"))
 
 
-def distinct_share(prompts, completions):
-    """Same value for the whole group: the share of its completions that differ."""
-    share = len(set(completions)) / len(completions)
-    return [share] * len(completions)
+def share_shorter(prompts, completions):
+    """Share of the group's completions that are shorter."""
+    sizes = sorted(map(len, completions))
+    return [bisect_left(sizes, len(text)) / len(sizes) for text in completions]
 
 
 @query
 def reward_group_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = views.pair_rows(_turns(spark, sf_dir))
-    scored = score_group_reward(
-        pairs,
-        {"name": f"{__name__}:distinct_share", "scope": "group"},
-        group=["conv_id"],
-        position="turn",
-    )
+    spec = {"name": "tuneloom.functions.group_rewards:distinct_share", "scope": "group"}
+    scored = score_group_reward(pairs, spec, group=["conv_id"], position="turn")
     return scored.select("conv_id", "turn", F.round("distinct_share", 6).alias("distinct_share"))
 
 
+@query
+def reward_group_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plain function over the lists of each group."""
+    pairs = views.pair_rows(_turns(spark, sf_dir))
+    scored = score_group_reward(pairs, {"name": share_shorter, "scope": "group"}, group=["conv_id"], position="turn")
+    return scored.select("conv_id", "turn", F.round("share_shorter", 6).alias("share_shorter"))
+
+
+def _by_source(spark: SparkSession, sf_dir: str, reward: str) -> DataFrame:
+    """Documents as completions, all of a source in one group."""
+    texts = _documents(spark, sf_dir).select("doc_id", "source", F.lit("").alias("prompt"), F.col("text").alias("completion"))
+    spec = {"name": f"tuneloom.functions.group_rewards:{reward}", "scope": "group"}
+    return score_group_reward(texts, spec, group=["source"], position="doc_id")
+
+
+@query
+def reward_group_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reward that reads a source's documents once, in order, batch by batch."""
+    return _by_source(spark, sf_dir, "longer_than_before").select("doc_id", "source", "longer_than_before")
+
+
+@query
+def reward_group_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reward that sums up a source by states which merge."""
+    scored = _by_source(spark, sf_dir, "relative_length")
+    return scored.select("doc_id", "source", F.round("relative_length", 6).alias("relative_length"))
+
+
 @query
 def scored_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scoring job from completions to written scores: an answer counts however late in its text it comes."""

@@ -172,7 +172,7 @@ def resume_texts(spark: SparkSession, catalog: DatasetCatalog, output_dir: str,
     try:
         spec = read_document(spark, f"{base}/config")
     except AnalysisException as error:
-        raise FileNotFoundError(f"No config in {base}; nothing to resume") from error
+        raise FileNotFoundError(f"{base} holds no job: {base}/config is missing") from error
     job = job_from_dict(spec)
     if job.type != "sft":
         raise ValueError(f"A job of type {job.type!r} has no text stream to resume")

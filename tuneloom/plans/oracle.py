@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tuneloom.plans.views import many_keywords
+
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 BREAK = r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
@@ -149,6 +151,29 @@ def oracle_sql() -> dict[str, str]:
         "reward_group_udf": f"""with {PAIRS}, shares as (
               select conv_id, count(distinct completion)::double / count(*)::double as share from pairs group by 1)
             select p.conv_id, p.turn, round(s.share, 6) as distinct_share from pairs p join shares s using (conv_id)""",
+        "reward_flatten_mixed": f"""with lists as (
+              select conv_id, list(role order by turn) as r, list(text order by turn) as t from conversations group by conv_id),
+            flat as (
+              select conv_id, case conv_id % 9 when 1 then array_to_string(t, chr(10)) when 2 then array_to_string(t, chr(10))
+                when 0 then t[1] when 3 then t[1] when 4 then '{{"role":"' || r[1] || '"}}'
+                when 5 then t[1] || chr(10) || t[-1] || chr(10) || '7' || chr(10) || 'True' || chr(10) || chr(10) || '[1,"a"]' || chr(10) || chr(10) || '2.5'
+                when 7 then 'not JSON {{' else '' end as completion from lists)
+            select conv_id, completion as flat, {LENGTH} as length_reward from flat""",
+        "fmt_mixed_rows": """select conv_id, case when conv_id % 3 = 2 then '' else string_agg(
+              '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' order by turn) end as text
+            from conversations group by conv_id""",
+        "reward_contains_many": f"""select doc_id, round(len(list_filter({many_keywords()!r}, lambda w: contains(lower(text), lower(w))))::double
+              / {len(many_keywords())}::double, 6) as contains_reward from documents""",
+        "reward_group_lists": f"""with {PAIRS}, ranked as (
+              select conv_id, turn, rank() over (partition by conv_id order by length(completion)) - 1 as shorter,
+                count(*) over (partition by conv_id) as n from pairs)
+            select conv_id, turn, round(shorter::double / n::double, 6) as share_shorter from ranked""",
+        "reward_group_stream": """select doc_id, source, case when length(text) > coalesce(max(length(text)) over (
+                partition by source order by doc_id rows between unbounded preceding and 1 preceding), -1)
+              then 1.0::double else 0.0::double end as longer_than_before from documents""",
+        "reward_group_merge": """select doc_id, source, round(case when min(length(text)) over g = max(length(text)) over g then 0.0::double
+              else (length(text) - min(length(text)) over g)::double / (max(length(text)) over g - min(length(text)) over g)::double end, 6) as relative_length
+            from documents window g as (partition by source)""",
         "scored_job": """with texts as (
               select doc_id, source, text || case when doc_id % 2 = 0 then '</answer>' else '' end as completion from documents),
             shares as (select source, count(distinct completion)::double / count(*)::double as share from texts group by source),

@@ -37,6 +37,43 @@ def turn_lists(turns: DataFrame) -> DataFrame:
     return conversations(turns)
 
 
+def mixed_completions(turns: DataFrame) -> DataFrame:
+    """One completion a dialogue, as JSON text; by turns a string, lists of strings, of messages and of anything, messages, null."""
+    lists = turn_lists(turns)
+    first, last = F.col("messages")[0], F.element_at("messages", -1)
+
+    def text(column):
+        return F.to_json(column.cast("variant"))
+
+    odd = F.concat(
+        F.lit("["), F.to_json(F.struct(first["content"].alias("content"))), F.lit(","), text(last["content"]),
+        F.lit(',7,true,null,[1,"a"],{"role":"user"},2.5]'),
+    )
+    shapes = [
+        text(first["content"]),
+        F.to_json(F.transform("messages", lambda m: m["content"])),
+        F.to_json("messages"),
+        F.to_json(first),
+        F.to_json(F.struct(first["role"].alias("role"))),
+        odd,
+        F.lit(None).cast("string"),
+        F.lit("not JSON {"),
+    ]
+    chosen = F.lit("null")
+    for i, shape in enumerate(shapes):
+        chosen = F.when(F.col("conv_id") % 9 == i, shape).otherwise(chosen)
+    return lists.select("conv_id", chosen.alias("completion"))
+
+
+def mixed_dialogues(turns: DataFrame) -> DataFrame:
+    """Dialogues as JSON rows that name list and fields by turns one way and the other; some have an empty list first."""
+    named = F.struct(F.transform("messages", lambda m: F.struct(m["role"].alias("from"), m["content"].alias("value"))).alias("conversations"))
+    usual = F.to_json(F.struct("messages"))
+    empty = F.concat(F.lit('{"conversations":[],'), F.substring(usual, 2, 1 << 30))
+    kind = F.col("conv_id") % 3
+    return turn_lists(turns).select("conv_id", F.when(kind == 0, usual).when(kind == 1, F.to_json(named)).otherwise(empty).alias("row"))
+
+
 def answer_rows(turns: DataFrame) -> DataFrame:
     """Assistant turns as completions, without looking at their neighbours."""
     return turns.where(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("completion"))
@@ -86,6 +123,15 @@ def answer_samples(turns: DataFrame) -> DataFrame:
     return long_rewards(placed, REWARD_NAMES)
 
 
+def many_keywords() -> list[str]:
+    """500 keywords by a rule: pairs and triples of letters, every third upper-case; the first fifty come twice."""
+    letters = "etaoinshrdlucmfwypvbgk"
+    pairs = [a + b for a in letters for b in letters][:300]
+    words = pairs + [pair + letters[i % 9] for i, pair in enumerate(pairs[:150])]
+    words += words[:50]
+    return [word.upper() if i % 3 == 0 else word for i, word in enumerate(words)]
+
+
 def log_events(events: DataFrame) -> DataFrame:
     """Events as trainer logs of one run per user."""
     value, none = F.col("value"), F.expr("cast(map() as map<string,double>)")
