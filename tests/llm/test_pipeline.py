@@ -3,7 +3,8 @@ from conftest import SF
 from odd_rows import no_docs, odd_docs  # noqa: F401
 from pyspark.sql import functions as F
 from test_exact_and_shards import normal
-from test_near_copies import by_hand, fingerprint, roots
+from test_near_copies import roots
+from test_similar import jaccard, shingles
 
 from tuneloom.llm import mixing
 from tuneloom.llm.common import stored
@@ -28,11 +29,9 @@ def test_each_stage_on_its_own_input(spark):
 
     apart = stored(STAGES["simhash_near_dedup"](spark, single, SF), "t")
     rows = single.collect()
-    linked = roots({fingerprint(r["text"]) for r in rows}, by_hand({fingerprint(r["text"]) for r in rows}))
-    lowest = {}
-    for r in sorted(rows, key=lambda r: r["doc_id"]):
-        lowest.setdefault(linked[fingerprint(r["text"])], r["doc_id"])
-    assert apart.columns == columns and sorted(r["doc_id"] for r in apart.collect()) == sorted(lowest.values())
+    sets = {r["doc_id"]: shingles(normal(r["text"]).lower()) for r in rows}
+    linked = roots(sorted(sets), [(i, j) for i in sets for j in sets if j < i and sets[i] & sets[j] and jaccard(sets[i], sets[j]) >= 0.8])
+    assert apart.columns == columns and {r["doc_id"] for r in apart.collect()} == set(linked.values())
 
     mixed = stored(STAGES["pareto_mix"](spark, apart, SF), "t")
     want = {r["doc_id"]: r["copies"] for r in mixing.mix(apart).select("row.doc_id", "copies").filter("copies > 0").collect()}
