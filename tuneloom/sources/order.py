@@ -18,6 +18,9 @@ from tuneloom.session import durable
 FAN_OUT = 1024
 # Ranges with at most this many keys are sorted to find the exact one.
 SORTED_KEYS = 10_000
+# Size of the quantile sketch, exact for as many keys; beyond, ranks are off by 0.07 % in 99 of 100 cases, and three times that is allowed.
+SKETCH_SIZE = 4096
+SKETCH_SLACK = 0.0022
 
 _COUNTABLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -38,26 +41,97 @@ def _as_key(number: int, dtype: T.DataType) -> Column:
     return F.lit(number).cast(dtype)
 
 
-def key_bounds(df: DataFrame, key: str) -> Row:
-    """Smallest key, largest key and number of rows; fails on null keys."""
+def key_bounds(df: DataFrame, key: str, positions: Sequence[int] = ()) -> Row:
+    """Smallest key, largest key and number of rows; fails on null keys.
+
+    ``brackets`` are two keys for each position, between which the key there nearly always lies: from a
+    quantile sketch that is made in the same pass.
+    """
     number = _as_number(F.col(key), df.schema[key].dataType)
-    bounds = df.agg(
+    found = df.agg(
         F.min(number).alias("low"), F.max(number).alias("high"),
-        F.count(F.lit(1)).alias("rows"), F.count(key).alias("keys"),
+        F.count(F.lit(1)).alias("rows"), F.count(key).alias("keys"), F.kll_sketch_agg_bigint(number, SKETCH_SIZE).alias("sketch"),
     ).head()
-    if bounds["rows"] != bounds["keys"]:
+    if found["rows"] != found["keys"]:
         raise ValueError(f"Order key {key!r} has null values")
-    return bounds
+    inside = [p for p in positions if p < found["rows"]]
+    ranks = [min(1.0, max(0.0, p / found["rows"] + slack)) for p in inside for slack in (-SKETCH_SLACK, SKETCH_SLACK)]
+    brackets = []
+    if ranks:
+        # The sketch, some 100 KB whatever the table, is asked on the driver: no job runs.
+        asked = F.kll_sketch_get_quantile_bigint(F.lit(bytes(found["sketch"])), F.array(*map(F.lit, ranks)))
+        brackets = df.sparkSession.sql("select 1").select(asked.alias("keys")).head()["keys"]
+    return Row(low=found["low"], high=found["high"], rows=found["rows"], brackets=list(zip(brackets[::2], brackets[1::2])))
+
+
+def _cell(low: int, high: int) -> Column:
+    """Which of ``FAN_OUT`` equal parts of [low, high] a key ``k`` lies in; -1 below and ``FAN_OUT`` above."""
+    width = -(-(high - low + 1) // FAN_OUT)
+    k = F.col("k")
+    return F.when(k < low, -1).when(k > high, FAN_OUT).otherwise(F.expr(f"cast((k - {low}L) div {width}L as int)"))
+
+
+def _bracketed(numbers: DataFrame, positions: Sequence[int], brackets: Sequence[tuple[int, int]]) -> list[tuple[int, int, Row]]:
+    """Per position the part of its bracket that holds it, with the number of rows before that part: one pass for all.
+
+    At most ``FAN_OUT`` counts for each position reach the driver: the parts of two brackets overlap like intervals.
+    """
+    cells = [_cell(*bracket).alias(f"c{i}") for i, bracket in enumerate(brackets)]
+    counts = numbers.groupBy(*cells).agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("low"), F.max("k").alias("high")).collect()
+    found = []
+    for i, position in enumerate(positions):
+        parts: dict[int, list[Row]] = {}
+        for row in counts:
+            parts.setdefault(row[f"c{i}"], []).append(row)
+        before = 0
+        for cell in sorted(parts):
+            size = sum(row["n"] for row in parts[cell])
+            if position < before + size:
+                low, high = min(row["low"] for row in parts[cell]), max(row["high"] for row in parts[cell])
+                found.append((before, cell, Row(low=low, high=high, rows=size)))
+                break
+            before += size
+    return found
+
+
+def _edges(df: DataFrame, key: str, positions: Sequence[int], bounds: Row) -> list[Column]:
+    """The key that begins at each position; fails if rows before it share it.
+
+    Two passes over the key column: the sketch's, and one that counts the keys in its brackets exactly. Only where a part of a
+    bracket still holds several keys (some 10^9 rows of dense keys) is that part narrowed further.
+    """
+    dtype = df.schema[key].dataType
+    numbers = df.select(_as_number(F.col(key), dtype).alias("k"))
+    brackets = bounds["brackets"]
+    narrow = all(high - low < 2**62 for low, high in brackets)
+    parts = _bracketed(numbers, positions, brackets) if narrow else [(0, -1, bounds)] * len(positions)
+    out = []
+    for position, (before, cell, part) in zip(positions, parts):
+        number = part["low"]
+        if part["low"] < part["high"]:
+            # Outside its bracket the sketch was wrong, which is no more than a further pass.
+            inside = numbers if cell < 0 or cell == FAN_OUT else numbers.where(F.col("k").between(part["low"], part["high"]))
+            start, whole = (0, bounds) if inside is numbers else (before, part)
+            number = _key_at(inside, position - start, whole)
+            before = numbers.where(F.col("k") < number).count()
+        if before != position:
+            raise ValueError(f"Order key {key!r} is not unique where position {position} begins")
+        out.append(_as_key(number, dtype))
+    return out
 
 
 def key_at(df: DataFrame, key: str, position: int, bounds: Row) -> int:
-    """The key (as a number) at a 0-based position of the ascending key order.
+    """The key (as a number) at a 0-based position of the ascending key order."""
+    return _key_at(df.select(_as_number(F.col(key), df.schema[key].dataType).alias("k")), position, bounds)
+
+
+def _key_at(numbers: DataFrame, position: int, bounds: Row) -> int:
+    """The same for a column ``k``.
 
     Each pass reads the key column only and counts keys in equal parts of the range that
     holds the position, until few enough are left to sort. At most ``FAN_OUT`` counts
     reach the driver per pass.
     """
-    numbers = df.select(_as_number(F.col(key), df.schema[key].dataType).alias("k"))
     low, high, size = bounds["low"], bounds["high"], bounds["rows"]
     while size > SORTED_KEYS and low < high:
         width = -(-(high - low + 1) // FAN_OUT)
@@ -82,14 +156,6 @@ def key_at(df: DataFrame, key: str, position: int, bounds: Row) -> int:
     )
 
 
-def _edge(df: DataFrame, key: str, position: int, bounds: Row) -> Column:
-    """The key that begins at ``position``; fails if rows before it share it."""
-    number = key_at(df, key, position, bounds)
-    if df.where(_as_number(F.col(key), df.schema[key].dataType) < number).count() != position:
-        raise ValueError(f"Order key {key!r} is not unique where position {position} begins")
-    return _as_key(number, df.schema[key].dataType)
-
-
 def positional_slice(
     df: DataFrame, key: str | Sequence[str], start: int = 0, stop: int | None = None
 ) -> DataFrame:
@@ -104,15 +170,14 @@ def positional_slice(
     if len(keys) > 1 or not isinstance(df.schema[keys[0]].dataType, _COUNTABLE):
         return _slice_by_positions(df, keys, start, stop)
     (name,) = keys
-    bounds = key_bounds(df, name)
+    wanted = [p for p in (start, stop) if p]
+    bounds = key_bounds(df, name, wanted)
     if start >= bounds["rows"]:
         return df.limit(0)
-    out = df
-    if start > 0:
-        out = out.where(F.col(name) >= _edge(df, name, start, bounds))
-    if stop is not None and stop < bounds["rows"]:
-        out = out.where(F.col(name) < _edge(df, name, stop, bounds))
-    return out
+    wanted = [p for p in wanted if p < bounds["rows"]]
+    edges = dict(zip(wanted, _edges(df, name, wanted, bounds))) if wanted else {}
+    out = df.where(F.col(name) >= edges[start]) if start else df
+    return out.where(F.col(name) < edges[stop]) if stop in edges else out
 
 
 def key_positions(df: DataFrame, keys: Sequence[str]) -> DataFrame:
