@@ -5,6 +5,7 @@ import sys
 from pyspark import cloudpickle
 
 from tuneloom.functions.formats import FORMATS, TEMPLATES, ChatTemplate, get_format
+from tuneloom.functions.group_rewards import GroupReward
 from tuneloom.functions.resolve import (
     available_rewards,
     register_user_rewards,
@@ -12,6 +13,7 @@ from tuneloom.functions.resolve import (
     resolve_rewards,
 )
 from tuneloom.functions.rewards import parse_keywords
+from tuneloom.functions.text import first_field, parsed_shapes
 from tuneloom.operators.capture import capture_rewards, capture_samples, recent_samples, sample_table
 from tuneloom.operators.checkpoints import checkpoint_retention, latest_checkpoint
 from tuneloom.operators.formatting import cap_tokens, format_rows
@@ -24,6 +26,7 @@ from tuneloom.operators.prompts import (
     map_columns,
     prompt_column,
     zip_lists,
+    zip_roles,
 )
 from tuneloom.operators.scoring import (
     group_advantage,

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tuneloom.operators.scale import join_groups, previous_row
+from tuneloom.operators.scale import dense_positions, join_groups, previous_row
 
 
 def map_columns(df: DataFrame, column_map: dict[str, str] | None) -> DataFrame:
@@ -74,6 +74,31 @@ def dialogue_pairs(
     )
 
 
+def zip_roles(
+    turns: DataFrame,
+    by: Sequence[str] = ("conv_id",),
+    order: str = "turn",
+    role: str = "role",
+    text: str = "text",
+    roles: dict[str, str] | None = None,
+) -> DataFrame:
+    """The nth text of each role of a dialogue side by side, to the end of the shortest list; adds ``pos``.
+
+    ``roles`` maps a role to the column its texts get. Places are found and matched on the keys; a text is then
+    fetched by its dialogue and order, which no two rows share, so that a dialogue of any size is spread.
+    """
+    roles = roles or {"user": "prompt", "assistant": "completion"}
+    zipped = None
+    for at, name in enumerate(roles):
+        places = dense_positions(turns.where(F.col(role) == name), by, order)
+        places = places.select(F.struct(*by).alias("__group"), "pos", F.col(order).alias(f"__order{at}"))
+        zipped = places if zipped is None else zipped.join(places, ["__group", "pos"])
+    for at, (name, column) in enumerate(roles.items()):
+        texts = turns.where(F.col(role) == name).select(F.struct(*by).alias("__group"), F.col(order).alias(f"__order{at}"), F.col(text).alias(column))
+        zipped = zipped.join(texts, ["__group", f"__order{at}"])
+    return zipped.select("__group.*", "pos", *roles.values())
+
+
 def conversations(
     turns: DataFrame,
     by: Sequence[str] = ("conv_id",),

@@ -109,6 +109,29 @@ def previous_row(
     )
 
 
+def dense_positions(df: DataFrame, by: Sequence[str], order: str, output: str = "pos") -> DataFrame:
+    """``by`` and ``order`` of every row with its 0-based place in its group, in the order of ``order``.
+
+    ``order`` is unique in its group. The keys alone are range-partitioned, sorted and written to the shared folder
+    once; a place is then a row's number in its part, less where its group begins there, and how many rows
+    of the group stand in earlier parts. A large group is as many parts as it needs; no window holds it.
+    Null keys are a group of their own.
+    """
+    group, part, local = "__group", "__part", "__local"
+    keys = stored(
+        df.select(F.struct(*by).alias(group), F.col(order).alias("__order"))
+        .repartitionByRange(group, "__order")
+        .sortWithinPartitions(group, "__order")
+        .select(group, "__order", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias(local)),
+        "positions",
+    )
+    # One row per group and part; in the window, as many rows of a group as it has parts.
+    parts = keys.groupBy(group, part).agg(F.min(local).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    earlier = F.sum("__n").over(Window.partitionBy(group).orderBy(part)) - F.col("__n")
+    placed = keys.join(parts.select(group, part, (earlier - F.col("__first")).alias("__shift")), [group, part])
+    return placed.select(f"{group}.*", F.col("__order").alias(order), (F.col(local) + F.col("__shift")).alias(output))
+
+
 def join_groups(rows: DataFrame, per_group: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join one row per group back to its member rows (null keys match each other).
 

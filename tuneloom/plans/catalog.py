@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tuneloom.functions.formats import TEMPLATES
 from tuneloom.functions.text import first_field, flat_column, parsed_shapes
@@ -18,6 +19,7 @@ from tuneloom.operators.prompts import (
     map_columns,
     prompt_column,
     zip_lists,
+    zip_roles,
 )
 from tuneloom.operators.scoring import (
     group_advantage,
@@ -378,6 +380,20 @@ def scored_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "contains_reward", *(F.round(c, 6).alias(c) for c in ("distinct_share", "total_reward", "advantage")))
 
 
+@query
+def job_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job that ends after its first part and is run again: every text at its steps."""
+    job = job_from_dict({
+        "type": "sft", "output_dir": scratch_path(spark, "resumed-job"), "seed": 42,
+        "dataset": {"name": "documents", "format": "raw_text", "key": "doc_id"},
+        "train": {"epochs": 1.5, "max_seq_length": 128},
+    })
+    next(jobs.sft_parts(spark, _catalog(sf_dir), job))
+    jobs.run_sft(spark, _catalog(sf_dir), job)
+    texts, plan = (spark.read.parquet(f"{job.output_dir}/{part}") for part in ("texts", "schedule"))
+    return plan.join(texts, "doc_id").select("doc_id", F.col("epoch").cast("bigint").alias("epoch"), "pos", "step", F.col("n_tokens").cast("bigint").alias("n_tokens"))
+
+
 # Groups ------------------------------------------------------------------------------------
 
 
@@ -408,13 +424,7 @@ def pair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def zip_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nth prompt and the nth completion of each dialogue, to the end of the shorter list."""
-    nth = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")) - 1
-    turns = _turns(spark, sf_dir).withColumn("pos", nth.cast("bigint"))
-
-    def texts(role: str, name: str) -> DataFrame:
-        return turns.where(F.col("role") == role).select("conv_id", "pos", F.col("text").alias(name))
-
-    return texts("user", "prompt").join(texts("assistant", "completion"), ["conv_id", "pos"])
+    return zip_roles(_turns(spark, sf_dir))
 
 
 @query
@@ -608,9 +618,10 @@ def step_schedule_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def step_schedule_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """More steps than the epochs hold: the step count decides alone."""
+    """More steps than the epochs hold: the step count, here that of 2.4 epochs, decides alone."""
     rows = _documents(spark, sf_dir).select("doc_id")
-    plan = layout.step_schedule(rows, "doc_id", seed=3, epochs=1, batch_size=4, accumulation=2, max_steps=300)
+    max_steps = math.ceil(2.4 * math.ceil(rows.count() / 8))
+    plan = layout.step_schedule(rows, "doc_id", seed=3, epochs=1, batch_size=4, accumulation=2, max_steps=max_steps)
     return plan.withColumn("epoch", F.col("epoch").cast("bigint"))
 
 
@@ -689,6 +700,35 @@ def stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captured.select("step", "reward_name", "pos", "completion", "reward")
 
 
+@query
+def stream_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live mean reward curve, over four batches and a restart."""
+    rows = views.reward_rows(_turns(spark, sf_dir))
+    path = scratch_path(spark, "stream-curve")
+    live = streams.curve_table(f"{path}/rows", fold_every=2)
+    for half in range(2):
+        part = rows.where(F.col("pos") % 2 == half).repartition(2, "pos", "reward_name")
+        part.write.mode("append").parquet(f"{path}/source")
+        feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/source")
+        streams.curve_stream(feed, live, f"{path}/checkpoint").awaitTermination()
+    curve = streams.current_curve(spark, live)
+    return curve.select("run_id", "step", "reward_name", F.round("mean_reward", 6).alias("mean_reward"), "n_rewards")
+
+
+@query
+def stream_ring_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories of the runs heard of within six hours, from batches in the order of time."""
+    events = _events(spark, sf_dir)
+    path, lifetime = scratch_path(spark, "stream-expiry"), 6 * 3_600
+    # One file is one batch; a batch holds a stretch of time.
+    events.repartitionByRange(4, "ts").write.parquet(f"{path}/source")
+    feed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/source")
+    live = history.expiring_table(f"{path}/rows", lifetime, max_points=3, fold_every=2)
+    history.expiring_stream(feed, live, f"{path}/checkpoint").awaitTermination()
+    ring = history.current_expiring(spark, live, lifetime)
+    return ring.select("run_id", "seq", "step", "loss", "reward")
+
+
 @query
 def stream_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live tail of every run's log."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import json
+from collections.abc import Iterator
 from dataclasses import replace
 from typing import Any
 
@@ -16,6 +19,7 @@ from tuneloom.operators.formatting import cap_tokens, format_rows
 from tuneloom.operators.layout import step_schedule
 from tuneloom.operators.prompts import generation_slots, map_columns, prompt_column
 from tuneloom.operators.scoring import group_advantage, score_group_reward, score_rewards, weighted_total
+from tuneloom.plans.parts import CommittedParts, input_of, read_document_if_any
 from tuneloom.plans.spec import JobSpec, job_from_dict
 from tuneloom.sources.datasets import DatasetCatalog, load_dataset
 from tuneloom.sources.sinks import read_document, write_document, write_rows
@@ -101,32 +105,18 @@ def scored_columns(scores: DataFrame, names: list[str]) -> DataFrame:
     return scores.select(*(c for c in scores.columns if c not in names), *names)
 
 
-def read_document_if_any(spark: SparkSession, path: str) -> dict[str, Any] | None:
-    try:
-        return read_document(spark, path)
-    except AnalysisException:
-        return None
-
-
-def run_sft(spark: SparkSession, catalog: DatasetCatalog, job: JobSpec) -> dict[str, Any]:
-    """Write texts, the training schedule (with a ``key``), the config echo and a summary."""
-    base = job.output_dir.rstrip("/")
+def sft_parts(spark: SparkSession, catalog: DatasetCatalog, job: JobSpec) -> Iterator[tuple[str, dict[str, Any]]]:
+    """Write texts and, with a ``key``, the training schedule; each part's name and measures when it is there."""
+    run = _begun(spark, job)
     texts = training_texts(spark, catalog, job)
-    measured = write_rows(
-        texts,
-        f"{base}/texts",
-        measures={
-            "tokens": F.sum("n_tokens"),
-            "truncated": F.sum(F.col("was_truncated").cast("bigint")),
-        },
-    )
-    # Only now: texts that are there already are another run's, and so is their config.
-    write_document(spark, f"{base}/config", job.to_dict())
-    summary = {"output_dir": base, "type": job.type, "format": job.dataset.format, **measured}
+    measures = {"tokens": F.sum("n_tokens"), "truncated": F.sum(F.col("was_truncated").cast("bigint"))}
+    done = run.part("texts", input_of(texts), lambda: texts, measures)
+    yield "texts", done
     if job.dataset.key:
         # Planned from the written keys: the texts are neither read nor formatted again.
-        keys = spark.read.parquet(f"{base}/texts").select(job.dataset.key)
-        plan = step_schedule(
+        keys = spark.read.parquet(f"{run.base}/texts").select(job.dataset.key)
+        plan = functools.partial(
+            step_schedule,
             keys,
             job.dataset.key,
             seed=job.seed,
@@ -135,24 +125,52 @@ def run_sft(spark: SparkSession, catalog: DatasetCatalog, job: JobSpec) -> dict[
             accumulation=job.train.gradient_accumulation_steps,
             max_steps=job.train.max_steps,
         )
-        steps = write_rows(plan, f"{base}/schedule", measures={"last": F.max("step")})
-        summary["steps"] = 0 if steps["last"] is None else steps["last"] + 1
+        yield "schedule", run.part("schedule", input_of(keys), plan, {"last": F.max("step")})
+
+
+def run_sft(spark: SparkSession, catalog: DatasetCatalog, job: JobSpec) -> dict[str, Any]:
+    """Write texts, the training schedule (with a ``key``), the config echo and a summary.
+
+    Run again for the same output directory, it keeps finished parts and does what is missing.
+    """
+    parts = dict(sft_parts(spark, catalog, job))
+    base = job.output_dir.rstrip("/")
+    summary = {"output_dir": base, "type": job.type, "format": job.dataset.format, **parts["texts"]}
+    if "schedule" in parts:
+        last = parts["schedule"]["last"]
+        summary["steps"] = 0 if last is None else last + 1
     write_document(spark, f"{base}/summary", summary)
     return summary
 
 
 def run_grpo(spark: SparkSession, catalog: DatasetCatalog, job: JobSpec) -> dict[str, Any]:
-    """Write the prompt table, the config echo and a summary; rewards are checked first."""
-    base = job.output_dir.rstrip("/")
+    """Write the prompt table, the config echo and a summary; rewards are checked first. Goes on like ``run_sft``."""
     rewards = resolve_rewards(job.reward_dicts())
+    run = _begun(spark, job)
+    prompts = prompt_table(spark, catalog, job)
     truncated = F.sum(F.col("was_truncated").cast("bigint"))
-    measured = write_rows(prompt_table(spark, catalog, job), f"{base}/prompts", measures={"truncated": truncated})
-    write_document(spark, f"{base}/config", job.to_dict())
-    summary = {"output_dir": base, "type": job.type, "num_rewards": len(rewards), **measured}
-    write_document(spark, f"{base}/summary", summary)
+    measured = run.part("prompts", input_of(prompts), lambda: prompts, {"truncated": truncated})
+    summary = {"output_dir": run.base, "type": job.type, "num_rewards": len(rewards), **measured}
+    write_document(spark, f"{run.base}/summary", summary)
     return summary
 
 
+def _begun(spark: SparkSession, job: JobSpec) -> CommittedParts:
+    """The output directory of ``job``, new or left by an earlier run of it; fails if it is another job's."""
+    base = job.output_dir.rstrip("/")
+    own = json.loads(json.dumps(job.to_dict(), default=str))
+    before = read_document_if_any(spark, f"{base}/config")
+    if before is not None and before != own:
+        raise ValueError(f"{base} is the output of a job with other settings")
+    run = CommittedParts(spark, base)
+    if before is None:
+        foreign = [name for name in ("texts", "schedule", "prompts") if run.holds(name)]
+        if foreign:
+            raise ValueError(f"{base} holds {', '.join(foreign)} that no job of this kind has begun")
+        write_document(spark, f"{base}/config", own)
+    return run
+
+
 def run_job(spark: SparkSession, catalog: DatasetCatalog, job: JobSpec) -> dict[str, Any]:
     return run_sft(spark, catalog, job) if job.type == "sft" else run_grpo(spark, catalog, job)
 

@@ -70,7 +70,7 @@ saved as (
   from manifest where is_dir and regexp_matches(path, '^checkpoint-([0-9]+)$'))"""
 
 
-def _schedule(seed: int, epochs: float, batch: int, accumulation: int, max_steps: int | None = None) -> str:
+def _schedule(seed: int, epochs: float, batch: int, accumulation: int, max_steps: str | int | None = None) -> str:
     per_step = batch * accumulation
     cap = f"ceil({epochs} * spe)" if max_steps is None else str(max_steps)
     return f"""with sized as (
@@ -201,7 +201,7 @@ def oracle_sql() -> dict[str, str]:
               '[' || strftime(ts, '%H:%M:%S') || '] ' || event_type || ' ' || props, chr(10) order by event_id) as log_text
             from (select * from events qualify row_number() over (partition by user_id % 3 order by event_id desc) <= 500)
             group by user_id % 3""",
-        "step_schedule_long": _schedule(3, 1, 4, 2, 300),
+        "step_schedule_long": _schedule(3, 1, 4, 2, "ceil(2.4 * spe)"),
         "prompt_expand": """select conv_id, turn, text as prompt, g::bigint as gen_idx
             from conversations, unnest(range(0, 4)) as e(g) where role = 'user'""",
         "pair_join": f"""with {ANSWERS}, firsts as (
@@ -284,6 +284,20 @@ def oracle_sql() -> dict[str, str]:
               '[' || strftime(ts, '%H:%M:%S') || '] ' || event_type || ' ' || props, chr(10) order by event_id) as log_text
             from (select * from events qualify row_number() over (partition by user_id order by event_id desc) <= 20)
             group by user_id""",
+        "stream_curve": f"""with {SAMPLES}
+            select run_id, step, reward_name, round(avg(reward), 6) as mean_reward, count(reward)::bigint as n_rewards
+            from samples group by 1, 2, 3""",
+        "stream_ring_expiry": f"""with {LOGS},
+            heard as (select user_id as run_id, max(ts) as last from events where event_type <> 'error' group by user_id),
+            newest as (
+              select alive.*, e.ts from alive join events e on e.event_id = seq
+              where run_id in (select run_id from heard where last >= (select max(last) from heard) - interval 6 hour)
+              qualify row_number() over (partition by run_id order by seq desc) <= 3),
+            silences as (select *, ts - lag(ts) over (partition by run_id order by ts, seq) > interval 6 hour as silent from newest),
+            begun as (select *, max(case when silent then ts end) over (partition by run_id) as since from silences)
+            select {POINT} from begun where since is null or ts >= since""",
+        "job_resumed": f"""with plan as ({_schedule(42, 1.5, 2, 4)})
+            select doc_id, epoch, pos, step, len({_tokens('text')})::bigint as n_tokens from plan join documents using (doc_id)""",
         "stream_latest": LATEST,
         "stream_ring": RING,
     }

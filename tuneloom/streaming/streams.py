@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -106,3 +106,34 @@ def log_table(path: str, max_lines: int = MAX_LOG_LINES, fold_every: int = FOLD_
 def current_log(spark: SparkSession, table: FoldedTable, max_lines: int = MAX_LOG_LINES) -> DataFrame:
     """The tail of every run as one text."""
     return log_tail(table.read(spark), max_lines=max_lines)
+
+
+def curve_table(path: str, by: Sequence[str] = ("run_id", "step", "reward_name"), fold_every: int = FOLD_EVERY) -> FoldedTable:
+    """Per point of a curve the sum, number, least and greatest of its values, as far as batches have come."""
+
+    def fold(parts: DataFrame) -> DataFrame:
+        return parts.groupBy(*by).agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+    return FoldedTable(path, fold, fold_every)
+
+
+def curve_stream(
+    scored: DataFrame, table: FoldedTable, checkpoint: str, reward: str = "reward",
+    by: Sequence[str] = ("run_id", "step", "reward_name"), interval: str | None = None,
+) -> StreamingQuery:
+    """Keep the mean reward curve of a stream of scored rows up to date, in a ``curve_table`` of the same ``by``.
+
+    A batch is summed up on the map side; a row is one part of a sum, and null rewards are parts of none.
+    """
+    value = F.col(reward).cast("double")
+    parts = scored.select(
+        *by, value.alias("sum"), F.col(reward).isNotNull().cast("bigint").alias("n"), value.alias("low"), value.alias("high")
+    )
+    return batch_stream(parts, table.write, checkpoint, interval)
+
+
+def current_curve(spark: SparkSession, table: FoldedTable) -> DataFrame:
+    """The curve as of now: ``mean_reward``, ``n_rewards`` and the range of rewards at each point."""
+    parts = table.read(spark)
+    rest = [c for c in parts.columns if c not in ("sum", "n", "low", "high")]
+    return parts.select(*rest, (F.col("sum") / F.col("n")).alias("mean_reward"), F.col("n").alias("n_rewards"), "low", "high")
