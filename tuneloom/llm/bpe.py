@@ -6,7 +6,8 @@ leftmost pair of lowest rank. A merge updates the leaves of the merged pair and
 in logarithmic time: a match of n bytes takes O(n log n) however long it is. The trees of short matches
 are updated together, a level at a time.
 
-Defined results: null counts as the empty text, which has no ids; other columns pass through.
+Defined results: null counts as the empty text, which has no ids; repeated rows have equal ids; texts of any length are
+encoded whole; an empty table gives an empty result; the coder makes columns, so columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -14,17 +15,18 @@ from __future__ import annotations
 import base64
 import re
 import struct
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F
 
-from tuneloom.llm.chunks import MOST_CHARS, MOST_ENTRIES, ChunkTable
+from tuneloom.llm.chunks import ChunkTable
 from tuneloom.llm.common import worker_state
 
 NO_PAIR = 1 << 62
-#: A space, letters of the Latin blocks and perhaps one mark, which the patterns of public vocabularies take as a match or two.
-PLAIN_WORD = re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+([.,;:!?])?")
+#: A space, letters of the Latin blocks and one mark, which the patterns of public vocabularies take as two matches (and the word alone as one).
+PLAIN_WORD = re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+[.,;:!?]")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -193,29 +195,49 @@ class Merger:
 def encoder(ranks: dict[bytes, int], pattern: str) -> ChunkTable:
     import regex
 
-    split, merger, known = regex.compile(pattern).findall, Merger(ranks), {}
+    split, merger = regex.compile(pattern).findall, Merger(ranks)
 
     def cut(text: str) -> list[str]:
         word = PLAIN_WORD.fullmatch(text)
-        return split(text) if word is None else [text] if word.end(1) == -1 else [text[:-1], text[-1]]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        pieces = [cut(text) for text in texts]
-        new = list(set().union(*pieces).difference(known))
-        if len(known) + len(new) > MOST_ENTRIES:
-            known.clear()
-            new = list(set().union(*pieces))
-        coded = [piece.encode() for piece in new]
-        ids = merger.all(coded)
-        long = {}
-        for piece, data in zip(new, coded):
-            (known if len(piece) <= MOST_CHARS else long)[piece] = ids[data]
-        find = known.__getitem__ if not long else lambda piece: known[piece] if piece in known else long[piece]
-        return [b"".join(map(find, one)) for one in pieces]
+        return split(text) if word is None else [text[:-1], text[-1]]
+
+    def encode(texts: list[str], known: dict[str, bytes]) -> list[bytes]:
+        alone = {text for text in texts if text.isascii() and text[:1] == " " and text[1:].isalpha()}
+        pieces = {text: cut(text) for text in set(texts) - alone}
+        parts = set().union(*pieces.values()) - alone
+        ids = {part: known[part[1:]] for part in parts if part[1:] in known and part[0] == " "}
+        coded = {text: text.encode() for text in (parts - ids.keys()) | alone}
+        merged = merger.all(list(coded.values()))
+        ids.update(zip(coded, map(merged.__getitem__, coded.values())))
+        find = ids.__getitem__
+        return [find(text) if text in alone else b"".join(map(find, pieces[text])) for text in texts]
 
     return ChunkTable(encode)
 
 
+DECODED_AT_ONCE = 1 << 20  # ids; a longer row is decoded in parts
+
+
+def decoder(ranks: dict[bytes, int]) -> Callable[[bytes], bytes]:
+    """Bytes of a row of ids: the tokens stand in one array, and a row picks its bytes from there."""
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    flat, sizes = np.frombuffer(b"".join(tokens), dtype=np.uint8), np.array([len(token) for token in tokens])
+    starts = np.cumsum(sizes) - sizes
+
+    def decode(row: bytes) -> bytes:
+        parts, ids = [], np.frombuffer(row, dtype="<u4")
+        for first in range(0, len(ids), DECODED_AT_ONCE):
+            some = ids[first:first + DECODED_AT_ONCE]
+            n = sizes[some]
+            ends = np.cumsum(n)
+            parts.append(flat[np.repeat(starts[some] - ends + n, n) + np.arange(ends[-1])].tobytes())
+        return b"".join(parts)
+
+    return decode
+
+
 class ByteBpe:
     """Columns of ids and of decoded bytes; the ranks travel as one broadcast of the vocabulary's size."""
 
@@ -248,9 +270,7 @@ class ByteBpe:
         def decode(rows: pd.Series) -> pd.Series:
             state = worker_state(("bpe", key))
             if "decode" not in state:
-                state["decode"] = {rank: token for token, rank in shared.value.items()}
-            tokens = state["decode"].__getitem__
-            out = [b"" if row is None else b"".join(map(tokens, struct.unpack(f"<{len(row) // 4}I", row))) for row in rows]
-            return pd.Series(out, dtype=object)
+                state["decode"] = decoder(shared.value)
+            return pd.Series([b"" if row is None else state["decode"](row) for row in rows], dtype=object)
 
         return decode(ids)

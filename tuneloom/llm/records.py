@@ -78,9 +78,9 @@ def library_table(tokenizer_path: str) -> ChunkTable:
         found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(one.ids, dtype="<u4").tobytes() for one in found]
 
-    def encode(texts: list[str]) -> list[bytes]:
+    def encode(texts: list[str], known: dict[str, bytes]) -> list[bytes]:
         # Chunks without white space but their first space stay apart when strung together.
-        plain = [i for i, text in enumerate(texts) if text[:1] == " " and text.split() == [text[1:]]]
+        plain = [i for i, text in enumerate(texts) if text[:1] == " " and (text[1:].isalpha() or text.split() == [text[1:]])]
         out: list[bytes | None] = [None] * len(texts)
         groups = [plain[start:start + 256] for start in range(0, len(plain), 256)]
         for group, joined in zip(groups, tokenizer.encode_batch_fast(["".join(texts[i] for i in group) for group in groups], add_special_tokens=False)):
