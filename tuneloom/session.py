@@ -14,8 +14,9 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Lets histories of any length be cut on the map side, before the shuffle.
     "spark.sql.optimizer.windowGroupLimitThreshold": "2147483647",
-    # Batches of long texts have to fit into a Python worker.
+    # Batches of long texts have to fit into a Python worker; a single text may be longer.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     # Per-run aggregates of the streams keep their state in RocksDB, not on the heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
