@@ -89,3 +89,20 @@ def test_odd_rows(odd_docs, no_docs):
 
 def test_registered(spark):
     assert queries()["op1_pareto_mix"](spark, SF).columns == ["doc_id", "size", "source_size", "target", "taken"]
+
+
+@pytest.mark.parametrize("ids", [None, 7])
+def test_source_of_repeated_rows(spark, ids):
+    """The cut falls among rows that agree in everything; the others differ."""
+    rows = [(ids, "s1", "w " * 10)] * 200 + [(i, "s0", "x " * (1 + i % 30)) for i in range(300)] + [(i, None, "y y") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    mixed = mixing.mix(docs).select("row.*", "size", "source_size", "target", "copies", "taken")
+    first = mixed.collect()
+    target = check([(r["source"], r["size"]) for r in first], first)
+    assert len(first) == len(rows) and target["s1"] > 0
+    assert sorted(r["copies"] for r in first if r["source"] == "s1")[0] < sorted(r["copies"] for r in first if r["source"] == "s1")[-1]
+
+    def counted(rows):
+        return sorted((str(r["source"]), r["size"], r["taken"], str(r["doc_id"])) for r in rows)
+
+    assert counted(mixing.mix(docs).select("row.*", "size", "taken").collect()) == counted(first)

@@ -6,8 +6,9 @@ ranked by random odds divided by inclusion odds, and the front of that order is
 that the target still needs.
 
 Defined results: null and blank texts have no words and add nothing; a null source is a source of its
-own, last in order; rows that agree in id and size have one random number and stand or fall together; an empty table gives an
-empty mix; columns of any name pass through.
+own, last in order; rows of a source that agree in id and size stand at one place of the order, and where the cut falls
+among them, as many as the need calls for are taken, in the order in which they are stored; an empty table gives an empty
+mix; columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -109,13 +110,30 @@ def _cuts(ordered: DataFrame, need: DataFrame) -> DataFrame:
         state = first.select("source", "need", (F.col("lo") + F.coalesce("hit", "end") * F.lit(width)).alias("lo"), (F.col("below") + under).alias("below"))
         state = stored(state, "mix-cut")
     last = _within(rows, state, width)
-    order = Window.partitionBy("source").orderBy("q", "doc_id", "size")
-    last = last.withColumn("up_to", F.col("below") + F.sum("size").over(order))
-    # A row is taken if that brings the words nearer to the need than leaving it.
-    last = last.filter(F.col("up_to") - F.col("size") / 2 <= F.col("need"))
-    cuts = last.groupBy("source").agg(F.max(F.struct("q", "doc_id", "size")).alias("cut"), F.first("lo").alias("lo"))
+    ties = last.groupBy("source", "q", "doc_id", "size").agg(F.count(F.lit(1)).alias("rows"), F.first("lo").alias("lo"), F.first("below").alias("below"), F.first("need").alias("need"))
+    earlier = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("below") + F.coalesce(F.sum(F.col("rows") * F.col("size")).over(earlier), F.lit(0))
+    # A row is taken if that brings the words nearer to the need than leaving it; of equal rows, as many as that holds for.
+    room = F.floor((F.col("need") - ahead) / F.col("size") + 0.5)
+    ties = ties.withColumn("taken", F.least(room, F.col("rows"))).filter("taken > 0")
+    cuts = ties.groupBy("source").agg(F.max_by(F.struct("rows", "taken"), F.struct("q", "doc_id", "size")).alias("tied"), F.max(F.struct("q", "doc_id", "size")).alias("cut"))
     return state.alias("s").join(cuts.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")), "left").select(
-        F.col("s.source").alias("source"), F.col("s.lo").alias("cut_lo"), "cut")
+        F.col("s.source").alias("source"), F.col("s.lo").alias("cut_lo"), "cut", F.col("tied.rows").alias("tied_rows"), F.col("tied.taken").alias("tied_taken"))
+
+
+def _first_ties(at_cut: DataFrame) -> DataFrame:
+    """``at_cut``, rows that stand at their source's cut, with ``copies`` raised by one for the first ``tied_taken`` of each source.
+
+    The rows are written first: numbers within a file and offsets of the files make their order, so that no task
+    holds all equal rows and a repeated task numbers them alike.
+    """
+    held = stored(at_cut, "mix-ties").withColumn("__file", F.col("_metadata.file_name")).withColumn("__at", F.col("_metadata.row_index"))
+    files = held.groupBy("source", "__file").count()
+    before = F.sum("count").over(Window.partitionBy("source").orderBy("__file").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.select(F.col("source").alias("__source"), F.col("__file").alias("__name"), F.coalesce(before, F.lit(0)).alias("__before"))
+    joined = held.join(files, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__file") == F.col("__name")))
+    nth = F.col("__before") + F.row_number().over(Window.partitionBy("source", "__file").orderBy("__at"))
+    return joined.withColumn("copies", F.col("copies") + (nth <= F.col("tied_taken")).cast("int")).select(at_cut.columns)
 
 
 def _within(rows: DataFrame, state: DataFrame, width: float) -> DataFrame:
@@ -138,9 +156,14 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     row = F.struct(*[F.col(c) for c in (keep if keep is not None else docs.columns)])
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), sizes.alias("size"), worth.alias("worth"), row.alias("row"))
     ranked = _ranked(rows, rates, seed).alias("r").join(cuts.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")), "left")
-    ahead = F.struct(F.col("q"), F.col("doc_id"), F.col("size")) <= F.col("cut")
-    picked = (F.col("q") < F.col("cut_lo")) | F.coalesce(ahead, F.lit(False))
-    copies = F.coalesce(F.col("whole"), F.lit(0)) + F.coalesce((F.col("size") > 0) & picked, F.lit(False)).cast("int")
+    place = F.struct(F.col("q"), F.col("doc_id"), F.col("size"))
+    parted = F.coalesce((F.col("tied_taken") < F.col("tied_rows")) & place.eqNullSafe(F.col("cut")), F.lit(False))
+    picked = (F.col("q") < F.col("cut_lo")) | (F.coalesce(place <= F.col("cut"), F.lit(False)) & ~parted)
+    copies = F.coalesce(F.col("whole"), F.lit(0)) + F.coalesce(picked, F.lit(False)).cast("int")
     copies = F.when(F.col("size") > 0, copies).otherwise(0).cast("int")
-    return ranked.select(F.col("r.row").alias("row"), F.col("r.size").alias("size"), F.coalesce("source_size", F.lit(0)).alias("source_size"),
-                         F.coalesce("target", F.lit(0.0)).alias("target"), copies.alias("copies"), (copies * F.col("r.size")).alias("taken"))
+    chosen = ranked.select(F.col("r.source").alias("source"), F.col("r.row").alias("row"), F.col("r.size").alias("size"), F.coalesce("source_size", F.lit(0)).alias("source_size"),
+                           F.coalesce("target", F.lit(0.0)).alias("target"), copies.alias("copies"), "tied_taken", parted.alias("parted"))
+    # One row per source; only a source whose cut falls among equal rows has to number them.
+    if not cuts.filter("tied_taken < tied_rows").isEmpty():
+        chosen = chosen.filter("not parted").unionByName(_first_ties(chosen.filter("parted")))
+    return chosen.select("row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -6,7 +6,7 @@ from tuneloom.llm.licences import KNOWN, SPELLINGS
 
 OP1 = r"""
 with sized as (
-  select doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::bigint as size
+  select row_number() over () as nr, doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::bigint as size
   from documents),
 sizes as (select source, sum(size)::bigint as source_size from sized group by source),
 nth as (select *, row_number() over (order by source asc nulls last) - 1 as n from sizes),
@@ -34,7 +34,7 @@ select d.doc_id, d.size, coalesce(t.source_size, 0)::bigint as source_size, coal
   (coalesce(d.whole, 0) * d.size + case when o.up_to - o.size / 2 <= d.target - d.whole * d.source_size then d.size else 0 end)::bigint as taken
 from drawn d
 left join targets t on d.source is not distinct from t.source
-left join ordered o on o.doc_id is not distinct from d.doc_id and o.source is not distinct from d.source and o.size = d.size
+left join ordered o on o.nr = d.nr
 """
 
 
