@@ -17,7 +17,7 @@ from tuneloom.functions.text import first_field, parsed_shapes
 from tuneloom.operators.capture import capture_rewards, capture_samples, recent_samples, sample_table
 from tuneloom.operators.checkpoints import checkpoint_retention, latest_checkpoint
 from tuneloom.operators.formatting import cap_tokens, format_rows
-from tuneloom.operators.layout import batch_plan, step_schedule
+from tuneloom.operators.layout import batch_plan, permuted_schedule, step_schedule
 from tuneloom.operators.prompts import (
     conversations,
     dialogue_pairs,

@@ -6,10 +6,11 @@ import math
 import re
 from bisect import bisect_left
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tuneloom.functions.formats import TEMPLATES
+from tuneloom.functions.formats import TEMPLATES, chat_text
 from tuneloom.functions.text import first_field, flat_column, parsed_shapes
 from tuneloom.operators import capture, checkpoints, layout, telemetry
 from tuneloom.operators.formatting import cap_tokens, format_rows
@@ -216,6 +217,14 @@ def fmt_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.transform(format_rows("chat_template", template=TEMPLATES["role_colon"], keep=["conv_id"]))
 
 
+@query
+def fmt_chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three layouts with rules; conversations whose roles don't take turns are null in the two that ask for it."""
+    lists = views.turn_lists(_turns(spark, sf_dir))
+    names = ("inst_tags", "turn_tags", "header_tags")
+    return lists.select("conv_id", *(chat_text(lists, replace(TEMPLATES[name], broken="null")).alias(name) for name in names))
+
+
 @query
 def truncate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_tokens(_documents(spark, sf_dir).select("doc_id", "text"), 128)
@@ -625,6 +634,14 @@ def step_schedule_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.withColumn("epoch", F.col("epoch").cast("bigint"))
 
 
+@query
+def step_schedule_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epochs by a permutation of the rows' numbers."""
+    rows = _documents(spark, sf_dir).select("doc_id")
+    plan = layout.permuted_schedule(rows, "doc_id", seed=11, epochs=3.5, batch_size=2, accumulation=4)
+    return plan.withColumn("epoch", F.col("epoch").cast("bigint"))
+
+
 # Streams: run to the end of the tables, then read the result back --------------------------
 
 

@@ -84,6 +84,32 @@ select doc_id, epoch::bigint as epoch, pos::bigint as pos, (pos // {batch})::big
 from placed where epoch * spe + pos // {per_step} < {cap}"""
 
 
+def _permuted_schedule(seed: int, epochs: float, batch: int, accumulation: int) -> str:
+    """The walk over the grid as a recursive query, a row a move."""
+    per_step = batch * accumulation
+
+    def shift(coordinate: str, turn: int) -> str:
+        return f"('0x' || substr(md5(({seed} + epoch) || ':{turn}:' || {coordinate}), 1, 12))::bigint"
+
+    moves = "select *, cell // width as y0, cell % width as x0 from walk where moves = 0 or cell >= n"
+    for turn, of, by, size in ((0, "y0", "x0", "height"), (1, "x0", "y1", "width"), (2, "y1", "x1", "height"), (3, "x1", "y2", "width")):
+        name = of[0] + str(int(of[1]) + 1)
+        moves = f"select *, ({of} + {shift(by, turn)}) % {size} as {name} from ({moves})"
+    return f"""with recursive counted as (
+  select doc_id, row_number() over (order by md5('{seed}:' || doc_id), doc_id) - 1 as cell, count(*) over () as n from documents),
+sized as (
+  select *, ceil(n / {per_step}.0) as spe, floor(sqrt(n - 1))::bigint + 1 as height,
+    ceil(n / (floor(sqrt(n - 1)) + 1))::bigint as width from counted),
+walk as (
+  select doc_id, epoch, spe, n, height, width, cell, 0 as moves
+  from sized, unnest(range(0, ceil(ceil({epochs} * spe) / spe)::bigint)) as e(epoch)
+  union all
+  select doc_id, epoch, spe, n, height, width, y2 * width + x2, moves + 1 from ({moves}))
+select doc_id, epoch::bigint as epoch, cell::bigint as pos, (cell // {batch})::bigint as micro_batch,
+  (epoch * spe + cell // {per_step})::bigint as step
+from walk where moves > 0 and cell < n and epoch * spe + cell // {per_step} < ceil({epochs} * spe)"""
+
+
 def _reward(name: str, expression: str) -> str:
     return f"with {ANSWERS} select conv_id, turn, {expression} as {name} from answers"
 
@@ -127,6 +153,27 @@ def oracle_sql() -> dict[str, str]:
             from conversations group by conv_id""",
         "fmt_chat_template": """select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as text
             from conversations group by conv_id""",
+        "fmt_chat_layouts": """with spoken as (
+              select conv_id, role, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body,
+                row_number() over (partition by conv_id order by turn) as nth from conversations),
+            heads as (select conv_id, body as told from spoken where nth = 1 and role = 'system'),
+            judged as (
+              select *, bool_and(role = case when p % 2 = 1 then 'user' else 'assistant' end) over (partition by conv_id) as fits
+              from (select s.*, told, nth - (told is not null)::int as p from spoken s left join heads using (conv_id)) s
+              where p > 0),
+            ordered as (
+              select conv_id,
+                case when any_value(fits) then string_agg(case when role = 'user' then '<s>[INST] '
+                  || case when p = 1 and told is not null then '<<SYS>>' || chr(10) || told || chr(10) || '<</SYS>>' || chr(10) || chr(10) else '' end
+                  || body || ' [/INST]' else ' ' || body || ' </s>' end, '' order by nth) end as inst_tags,
+                case when any_value(fits) then '<bos>' || string_agg('<start_of_turn>' || case when role = 'assistant' then 'model' else role end || chr(10)
+                  || case when p = 1 and told is not null then told || chr(10) || chr(10) else '' end
+                  || body || '<end_of_turn>' || chr(10), '' order by nth) end as turn_tags
+              from judged group by conv_id)
+            select conv_id, inst_tags, turn_tags, header_tags
+            from (select conv_id, '<|begin_of_text|>' || string_agg(
+                '<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || body || '<|eot_id|>', '' order by nth) as header_tags
+              from spoken group by conv_id) left join ordered using (conv_id)""",
         "truncate_tokens": f"""select doc_id,
               case when len(t) > 128 then array_to_string(t[1:128], ' ') else text end as text,
               len(t)::bigint as n_tokens, len(t) > 128 as was_truncated
@@ -269,6 +316,7 @@ def oracle_sql() -> dict[str, str]:
             select doc_id, pos::bigint as pos, (pos // 2)::bigint as micro_batch, (pos // 8)::bigint as step from placed""",
         "step_schedule": _schedule(42, 1.5, 2, 4),
         "step_schedule_capped": _schedule(7, 3, 1, 4, 20),
+        "step_schedule_permuted": _permuted_schedule(11, 3.5, 2, 4),
         "stream_format": alpaca,
         "stream_score": f"""with {ANSWERS} select conv_id, turn, {LENGTH} as length_reward,
             {REGEX} as regex_format_reward, {CONTAINS} as contains_reward from answers""",
