@@ -110,6 +110,25 @@ def test_licences(spark, odd_docs, no_docs):
     assert licences.licence_scan(odd_docs).count() == odd_docs.count() and licences.licence_scan(no_docs).collect() == []
 
 
+def test_whole_licences_and_their_clauses(spark):
+    """Each text with copyright lines in between, in other case and wrapping; a text with a changed or added clause is none."""
+    rows, wanted = [], {}
+    for name, text in licences.known_texts():
+        if len(text) > 200:
+            for other in (text, "Copyright 2021 A. Body\n(c) 2020-2021 B\nAll rights reserved.\n\n" + text.upper(), "\n\n".join(text.split("\n\n")[:1] + ["  Copyright (c) C"] + text.split("\n\n")[1:])):
+                wanted[len(rows)] = name
+                rows.append(other)
+            for other in ("(c) do not sell\n" + text, text + "\nCopyright holders may object.", text[:-150]):
+                wanted[len(rows)] = None
+                rows.append(other)
+    wanted[len(rows)] = None
+    rows.append("(c) do not sell\nReleased under the MIT License.")
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["licence"] for r in licences.licence_scan(docs).collect()}
+    assert got == wanted
+    assert {"MIT", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} == set(wanted.values()) - {None}
+
+
 WORDS = "the of and to in is that for it was on are as with they be at this have from or one had by word but not what all were we when your can said there".split()
 BAD = ["zorgly", "blastic", "krumpf"]
 

@@ -6,12 +6,14 @@ the MIT License." that stand alone in a text. Nothing is searched for inside oth
 text or a whole line.
 
 Defined results: null counts as the empty text, which is no licence; lines are counted once however often
-they repeat; ids that repeat with different texts are told apart by their digest; an empty table gives an
-empty result.
+they repeat; ids that repeat with different texts are told apart by their digest; texts of any length
+are read whole; columns beside id and text are not looked at, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Public licence texts and notices, each under the identifier of its licence.
@@ -34,9 +36,7 @@ ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUT
 DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
 WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE
 USE OR PERFORMANCE OF THIS SOFTWARE."""),
-    ("MIT", """MIT License
-
-Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation
 the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and
 to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -50,7 +50,16 @@ AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY
 CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
 IN THE SOFTWARE."""),
 ]
-COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+# A line that begins with "copyright" or "(c)" is a copyright line only if a year or the other sign follows: clauses begin so too.
+COPYRIGHT_LINE = (
+    r"(?m)^[ \t]*(?:(?:copyright|\(c\)|©)[ \t:,]*[<\[]?(?:\d{4}|year|yyyy)[^\n]*|(?:copyright|©)[ \t]*(?:\(c\)|©)[^\n]*"
+    r"|\(c\)[ \t]*copyright[^\n]*|all rights reserved\.?[ \t\r]*)$"
+)
+#: Headings that whole texts have or lack.
+HEADINGS = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"]}
+#: Where the terms of a text end; what follows tells how to apply them, and copies often leave it out.
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+TEXTS = Path(__file__).parent / "licence_texts"  # whole public texts, each in a file named by its licence
 #: Spellings that mean the same.
 SPELLINGS = [
     ("licence", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("copyright owner", "copyright holder"),
@@ -72,9 +81,22 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """``licence, digest``, one row per digest."""
-    table = spark.createDataFrame(known, "licence string, text string")
+def known_texts() -> list[tuple[str, str]]:
+    """``KNOWN`` and the files of ``TEXTS``, with their usual headings and with and without what follows the terms."""
+    texts = list(KNOWN)
+    for name, text in KNOWN:
+        if len(text) > 200:
+            texts += [(name, f"{heading}\n\n{text}") for heading in HEADINGS.get(name, [])]
+    for file in sorted(TEXTS.glob("*.txt")):
+        whole = file.read_text(encoding="utf-8")
+        terms, end, _ = whole.partition(END_OF_TERMS)
+        texts += [(file.stem, whole)] + ([(file.stem, terms), (file.stem, terms + end)] if end else [])
+    return texts
+
+
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """``licence, digest``, one row per digest; ``known`` is ``known_texts()`` if not given."""
+    table = spark.createDataFrame(known if known is not None else known_texts(), "licence string, text string")
     return table.select("licence", digest(F.col("text")).alias("digest")).groupBy("digest").agg(F.min("licence").alias("licence"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tuneloom.llm.licences import KNOWN, SPELLINGS
+from tuneloom.llm.licences import COPYRIGHT_LINE, SPELLINGS, known_texts
 
 OP1 = r"""
 with sized as (
@@ -40,15 +40,14 @@ left join ordered o on o.nr = d.nr
 
 
 def _canonical(text: str) -> str:
-    line = r"(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
-    text = f"trim(regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{line}', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    text = f"trim(regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
     for spelling, common in SPELLINGS:
         text = f"replace({text}, '{spelling}', '{common}')"
     return f"sha256({text})"
 
 
 def op5() -> str:
-    listed = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN)
+    listed = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in known_texts())
     return f"""
 with known as (select {_canonical('t')} as digest, min(n) as licence from (values {listed}) as k(n, t) group by 1),
 whole as (select doc_id, text, {_canonical('text')} as canonical_sha256 from documents),
