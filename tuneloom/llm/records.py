@@ -59,6 +59,12 @@ def _file_system(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark gives it, so that record files stand beside the index whatever the default file system is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def library_table(tokenizer_path: str) -> ChunkTable:
     """Encodes chunks with the tokenizers library, many per call."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -107,7 +113,7 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     """Encode ``docs`` into record files below ``path``, in ascending order of ``doc_id``, and index them."""
     kind = docs.schema[doc_id].dataType.simpleString()
     end = struct.pack("<I", end_id)
-    root, rows = f"{path}/records", 512
+    root, rows = f"{qualified(docs.sparkSession, path)}/records", 512
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -159,7 +165,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def read_records(index: DataFrame, path: str) -> DataFrame:
     """Rows of an index, or of any selection or order of it, with the ``ids`` in their record (as unsigned 32-bit integers)."""
-    root, schema = f"{path}/records", StructType([*index.schema.fields, StructField("ids", BinaryType())])
+    root, schema = f"{qualified(index.sparkSession, path)}/records", StructType([*index.schema.fields, StructField("ids", BinaryType())])
     at = {name: index.columns.index(name) for name in ("file", "offset", "bytes", "width")}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
