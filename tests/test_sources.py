@@ -1,10 +1,12 @@
 import json
+import os
 
 import pytest
 from conftest import SF, plan, rows
 from pyspark.sql import functions as F
 
 import tuneloom as tl
+from tuneloom.session import discard, stored
 from tuneloom.sources import order
 from tuneloom.sources.datasets import parse_split
 from tuneloom.sources.order import key_positions, positional_slice
@@ -203,3 +205,14 @@ def test_a_shared_folder_has_to_be_named_on_a_cluster(monkeypatch):
         fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master))
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             shared_dir(fake)
+
+
+def test_stored_tables_can_be_removed(spark):
+    kept, gone = stored(spark.range(5).toDF("id"), "kept"), stored(spark.range(9).toDF("id"), "gone")
+    later = stored(gone.groupBy((F.col("id") % 2).alias("odd")).count(), "later")
+    files = gone.inputFiles()
+    discard(gone)
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    assert kept.count() == 5 and {tuple(r) for r in later.collect()} == {(0, 5), (1, 4)}
+    with pytest.raises(KeyError):
+        discard(gone)
