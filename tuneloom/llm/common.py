@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tuneloom.session import stored  # noqa: F401 - for the operators
+from tuneloom.session import discard, stored  # noqa: F401 - for the operators
 
 BLANKS = "\t\n\x0b\x0c\r"  # with the space: [\x20\x09-\x0D]
 

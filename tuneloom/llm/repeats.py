@@ -3,8 +3,8 @@
 Each string of ``LENGTH`` bytes has a trigger: the position of the least rolling hash among the first
 ``SPREAD`` of it, which depends on the string's bytes alone. Consecutive starting positions with the same
 trigger are a phrase. The dictionary has a phrase's context (all bytes of the strings that start in it)
-once, however often the parse uses it. What the suffix arrays of dictionary and parse are needed for here
-is only to bring equal strings together, so both are put in the order of fingerprints instead of letters:
+once, however often the parse uses it. What suffix arrays of dictionary and parse would be needed for here
+is only to bring equal strings together; no array is built and nothing is sorted, hashes group them instead:
 
 1. phrases are told by the hash of the ``CORE`` bytes at their trigger, which every string of the phrase holds;
    phrases whose core is nowhere else are settled, and text that never repeats ends here;
@@ -21,14 +21,13 @@ text repeat each other; an empty table gives an empty result; further columns pa
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tuneloom.llm.common import stored
+from tuneloom.llm.common import discard, stored
 
 LENGTH, CORE = 200, 64
 SPREAD = LENGTH - CORE  # positions at which a core fits into a string, but for the last
@@ -172,35 +171,31 @@ def _of_several(rows: DataFrame, *key: str) -> DataFrame:
     return rows.groupBy("core", *key).agg(F.min("context").alias("a"), F.max("context").alias("b")).filter("a <> b").select("core", *key)
 
 
-def _free(spark) -> None:
-    """Let Spark drop the shuffle files of finished jobs now instead of at some later collection of garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_starts(docs: DataFrame) -> DataFrame:
-    """``rid, first, last``: stretches of starting positions of strings that start anywhere else as well."""
-    spark = docs.sparkSession
+    """``rid, starts`` (array of ``first, last``): stretches of starting positions of strings that start anywhere else as well."""
     cores = stored(_parse(docs).groupBy("core").count().filter("count > 1").select("core"), "repeats-cores")
-    _free(spark)
     seen = stored(_parse(docs).join(cores, "core", "left_semi"), "repeats-phrases")
-    _free(spark)
+    discard(cores)
     contexts = stored(seen.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rid")), "repeats-dictionary")
     several = _of_several(contexts)
     wanted = contexts.join(several, "core", "left_semi").select("core", "context", "rid", (F.col("n") > 1).cast("long").alias("again"))
     wanted = seen.join(wanted, ["core", "context", "rid"]).dropDuplicates(["core", "context"])
     edges = stored(_edges(docs, wanted), "repeats-edges")
-    _free(spark)
     binned = stored(_binned(edges), "repeats-bins")
     common = binned.join(_of_several(binned, "bin", "shared"), ["core", "bin", "shared"], "left_semi")
     listed = common.groupBy("core", "context").agg(F.collect_list("bin").alias("bins"))
     strings = stored(_strings(edges.join(listed, ["core", "context"])), "repeats-strings")
-    _free(spark)
+    discard(edges, binned)
     same = _of_several(strings, "string")
     found = strings.filter("again = 0").join(same, ["core", "string"], "left_semi").groupBy("core", "context").agg(F.sort_array(F.collect_set("nth")).alias("nths"))
+    found = stored(found, "repeats-found")
+    discard(strings)
     whole = seen.join(contexts.filter("n > 1").select("core", "context"), ["core", "context"], "left_semi").select("rid", "first", "last")
     parts = seen.join(found, ["core", "context"]).select("rid", "first", F.explode("nths").alias("nth"))
-    return whole.unionByName(parts.select("rid", (F.col("first") + F.col("nth")).alias("first"), (F.col("first") + F.col("nth")).alias("last")))
+    starts = whole.unionByName(parts.select("rid", (F.col("first") + F.col("nth")).alias("first"), (F.col("first") + F.col("nth")).alias("last")))
+    per_row = stored(starts.distinct().groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("starts")), "repeats-starts")
+    discard(seen, contexts, found)
+    return per_row
 
 
 def removed_spans(starts: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -218,9 +213,7 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """Per row of ``docs``: ``row`` (its columns, or those of ``keep``), ``n_bytes, n_removed, n_spans, spans, kept`` (bytes)."""
     rid = F.xxhash64(F.col(doc_id), F.col(text))
     rows = docs.select(F.struct(*[F.col(c) for c in (keep if keep is not None else docs.columns)]).alias("row"), rid.alias("rid"), F.col(text).alias("text"))
-    starts = repeated_starts(rows.select("rid", "text"))
-    per_row = stored(starts.distinct().groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("starts")), "repeats-starts")
-    _free(docs.sparkSession)
+    per_row = repeated_starts(rows.select("rid", "text"))
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary")
     def cut(texts, starts):
