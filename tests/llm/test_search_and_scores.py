@@ -69,12 +69,32 @@ def test_few_and_useless_vectors(spark):
     frame = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)
     got = neighbours.nearest(frame, lambda i: i % 20 == 0, 20).collect()
     pairs = sorted((r["query_id"], r["vec_id"]) for r in got)
-    # Each row of id 20 asks for itself.
-    assert {q for q, _ in pairs} == {0, 20, 40} and {v for q, v in pairs if q == 0} == {1, 20, 40}
+    # Each row of id 20 asks for itself; the second component that row 7 lacks is zero.
+    assert {q for q, _ in pairs} == {0, 20, 40} and {v for q, v in pairs if q == 0} == {1, 7, 20, 40}
+    assert {r["score"] for r in got if r["query_id"] == 20 and r["vec_id"] == 7} == {0.5, 2.0}
     assert neighbours.nearest(frame.limit(0), lambda i: i % 20 == 0).collect() == []
     assert neighbours.nearest(frame.filter("vec_id in (2, 3)"), lambda i: i % 20 == 0).collect() == []
 
 
+def test_repeated_rows_clashing_columns_and_lengths_that_differ(spark):
+    deal = np.random.default_rng(5)
+    rows = [(i, deal.standard_normal(deal.choice([6, 9, 12])).tolist()) for i in range(400)]
+    rows += [(500, rows[3][1]), (501, rows[3][1])]
+    schema = "vec_id long, embedding array<double>, node string, vec string, query string, block string, score string"
+    frame = spark.createDataFrame([(i, v, *"abcde") for i, v in rows], schema).repartition(4)
+    full = [(i, v + [0.0] * (12 - len(v))) for i, v in rows]
+    got, want = found(neighbours.nearest(frame, lambda i: i % 10 == 0, 10, leaf=64)), brute(full, 10, lambda i: i % 10 == 0)
+    assert set(got) == set(want) and recall(got, want) >= 0.99
+
+
+def test_a_narrow_beam_is_widened(spark):
+    deal = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(deal.standard_normal((3000, 24)))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    want = brute(rows, 10, lambda i: i % 20 == 0)
+    assert recall(found(neighbours.nearest(frame, lambda i: i % 20 == 0, 10, leaf=64, beam=12)), want) >= 0.95
+
+
 def test_first_leaves_and_rounds_improve(spark):
     deal = np.random.default_rng(4)
     x = deal.standard_normal((1500, 16)).astype(np.float32)
