@@ -1,11 +1,12 @@
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import rows
+from conftest import SF, rows
 from pyspark.sql import functions as F
 
 import tuneloom as tl
 from tuneloom.operators import telemetry as tm
+from tuneloom.plans import catalog
 from tuneloom.streaming import history, streams
 from tuneloom.streaming.folded import FoldedTable
 
@@ -155,3 +156,21 @@ def test_live_log_tail(spark, tmp_path):
     from tuneloom.operators.telemetry import log_tail
 
     assert rows(streams.current_log(spark, live, 5)) == rows(log_tail(df, 5))
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_tables_of_one_file_or_a_folder_of_files(spark, tmp_path, files):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.repartition(files).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(3).write.parquet(f"{tmp_path}/documents.parquet.old")  # another table whose name begins alike
+    assert rows(_stream_to_end(spark, tmp_path), "doc_id", "text") == rows(docs, "doc_id", "text")
+
+
+def test_table_that_is_a_file(spark, tmp_path):
+    assert rows(_stream_to_end(spark, SF, tmp_path), "doc_id", "text") == rows(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id", "text")
+
+
+def _stream_to_end(spark, folder, out=None):
+    out = f"{out or folder}/out"
+    streams.append_stream(catalog._stream(spark, str(folder), "documents"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
