@@ -42,10 +42,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, source, n_tokens, ids`` (little-endian unsigned 32-bit) of each row, and whether they decode to its text."""
-    coder = byte_bpe(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
-    coded = docs.select("doc_id", "source", F.encode(text, "UTF-8").alias("bytes"), coder.encode(text).alias("ids"))
-    whole = coder.decode(F.col("ids")) == F.col("bytes")
+    coded = docs.select("doc_id", "source", F.encode(text, "UTF-8").alias("bytes"), byte_bpe(spark).round_trip(text).alias("trip"))
+    coded = coded.select("doc_id", "source", "bytes", "trip.*")
+    whole = F.col("decoded") == F.col("bytes")
     return coded.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", whole.alias("decodes"))
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from conftest import SF
+from conftest import SF, plan
 from odd_rows import no_docs, odd_docs  # noqa: F401
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -136,3 +136,20 @@ def test_ranks_file():
     ranks = bpe.load_ranks(RANKS)
     first = open(RANKS, "rb").readline().split()
     assert ranks[base64.b64decode(first[0])] == int(first[1])
+
+
+def test_a_row_is_encoded_once(spark, odd_docs):
+    # Of ids and of what they decode to, Spark made two calls, of which the second encoded anew.
+    assert "pythonUDF1" not in plan(queries()["op2_bpe_round_trip"](spark, SF))
+    coder = byte_bpe(spark)
+    for row in odd_docs.select("text", coder.round_trip(F.col("text")).alias("trip"), coder.encode(F.col("text")).alias("ids")).collect():
+        assert row["trip"]["ids"] == row["ids"] and row["trip"]["decoded"] == (row["text"] or "").encode()
+
+
+def test_words_marks_and_next_lines(tables):
+    letters = ["ab", "Ǆé", "it", "ɏ", "ª", "中"]
+    marks = [".", "%%%", "'", "'s", "<|", "|>", "×", "1", "", ".\t"]
+    lines = ["", "\nThe", "\n\nThe", "\nendoftext|>", "\n", "\né.", " \nB"]
+    texts = [f"a {word}{mark}{line}" for word in letters for mark in marks for line in lines]
+    agree(tables, texts)
+    agree(tables, texts[::-1])  # with the words in the table

@@ -15,18 +15,18 @@ from __future__ import annotations
 import base64
 import re
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F
 
-from tuneloom.llm.chunks import ChunkTable
+from tuneloom.llm.chunks import LETTERS, ChunkTable
 from tuneloom.llm.common import worker_state
 
 NO_PAIR = 1 << 62
 #: A space, letters of the Latin blocks and one mark, which the patterns of public vocabularies take as two matches (and the word alone as one).
-PLAIN_WORD = re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+[.,;:!?]")
+PLAIN_WORD = re.compile(f" {LETTERS}+[.,;:!?]")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -247,10 +247,40 @@ class ByteBpe:
 
     def encode(self, text: Column) -> Column:
         """Ids as little-endian unsigned 32-bit integers."""
-        shared, key = self._ranks, self._key
+        coded = self._coded
 
         @F.pandas_udf("binary")
         def encode(texts: pd.Series) -> pd.Series:
+            return pd.Series(coded(texts), dtype=object)
+
+        return encode(text)
+
+    def decode(self, ids: Column) -> Column:
+        """The bytes that the ids stand for."""
+        plain = self._plain
+
+        @F.pandas_udf("binary")
+        def decode(rows: pd.Series) -> pd.Series:
+            return pd.Series(plain(rows), dtype=object)
+
+        return decode(ids)
+
+    def round_trip(self, text: Column) -> Column:
+        """``ids`` and, from them, ``decoded`` bytes; with a column for each, Spark would encode once for either."""
+        coded, plain = self._coded, self._plain
+
+        @F.pandas_udf("ids binary, decoded binary")
+        def round_trip(texts: pd.Series) -> pd.DataFrame:
+            ids = coded(texts)
+            return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(plain(ids), dtype=object)})
+
+        return round_trip(text)
+
+    @property
+    def _coded(self) -> Callable[[Iterable[str | None]], list[bytes]]:
+        shared, key = self._ranks, self._key
+
+        def coded(texts: Iterable[str | None]) -> list[bytes]:
             state = worker_state(("bpe", key))
             if "encode" not in state:
                 state["encode"] = encoder(shared.value, key[1])
@@ -258,19 +288,18 @@ class ByteBpe:
             rows = ["" if text is None else text for text in texts]
             for start in range(0, len(rows), 256):
                 out += table.texts(rows[start:start + 256])
-            return pd.Series(out, dtype=object)
+            return out
 
-        return encode(text)
+        return coded
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes that the ids stand for."""
+    @property
+    def _plain(self) -> Callable[[Iterable[bytes | None]], list[bytes]]:
         shared, key = self._ranks, self._key
 
-        @F.pandas_udf("binary")
-        def decode(rows: pd.Series) -> pd.Series:
+        def plain(rows: Iterable[bytes | None]) -> list[bytes]:
             state = worker_state(("bpe", key))
             if "decode" not in state:
                 state["decode"] = decoder(shared.value)
-            return pd.Series([b"" if row is None else state["decode"](row) for row in rows], dtype=object)
+            return [b"" if row is None else state["decode"](row) for row in rows]
 
-        return decode(ids)
+        return plain

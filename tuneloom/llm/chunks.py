@@ -14,6 +14,7 @@ import re
 from collections.abc import Callable
 
 BLANK_THEN_SPACE = re.compile(r"\s ")
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"  # of the Latin blocks
 MOST_ENTRIES = 300_000
 MOST_CHARS = 64
 
