@@ -14,6 +14,7 @@ id stand in any order next to each other; an empty table gives an empty index.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -25,10 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tuneloom.llm.chunks import ChunkTable
+from tuneloom.llm.chunks import LETTERS, ChunkTable
 from tuneloom.llm.common import worker_state
 
 MASK_DELTA = 0xA282EAD8
+#: A space, letters of the Latin blocks, marks, and letters of a next line: where one meets another, byte-level patterns begin a new piece.
+MARKED = re.compile(f"( {LETTERS}+)([!-/:-@\\[-`{{-~]+)(\n{LETTERS}+)?")
+MOST_MARKS = 10_000
 INDEX_SCHEMA = "doc_id {kind}, part int, file string, offset long, bytes long, n_tokens long, before long, width int"
 
 
@@ -84,26 +88,51 @@ def library_table(tokenizer_path: str) -> ChunkTable:
         found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(one.ids, dtype="<u4").tobytes() for one in found]
 
-    def encode(texts: list[str], known: dict[str, bytes]) -> list[bytes]:
-        # Chunks without white space but their first space stay apart when strung together.
-        plain = [i for i, text in enumerate(texts) if text[:1] == " " and (text[1:].isalpha() or text.split() == [text[1:]])]
-        out: list[bytes | None] = [None] * len(texts)
-        groups = [plain[start:start + 256] for start in range(0, len(plain), 256)]
-        for group, joined in zip(groups, tokenizer.encode_batch_fast(["".join(texts[i] for i in group) for group in groups], add_special_tokens=False)):
+    def strung(texts: list[str]) -> list[bytes]:
+        """Ids of texts that begin with a blank and have no other: strung together they stay apart."""
+        out: list[bytes] = []
+        groups = [texts[start:start + 256] for start in range(0, len(texts), 256)]
+        for group, joined in zip(groups, tokenizer.encode_batch_fast(["".join(group) for group in groups], add_special_tokens=False)):
             ids = np.array(joined.ids, dtype="<u4")
             ends = np.cumsum(sizes[ids])
-            edges = np.cumsum([len(texts[i].encode()) for i in group])
+            edges = np.cumsum([len(text) if text.isascii() else len(text.encode()) for text in group])
             at = np.searchsorted(ends, edges)
             if len(ids) and (ends[np.minimum(at, len(ends) - 1)] == edges).all():
-                start, data = 0, ids.tobytes()
-                for i, stop in zip(group, (4 * at + 4).tolist()):
-                    out[i] = data[start:stop]
-                    start = stop
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(rest, batch([texts[i] for i in rest])):
-            out[i] = ids
+                stops, data = (4 * at + 4).tolist(), ids.tobytes()
+                out += [data[start:stop] for start, stop in zip([0, *stops], stops)]
+            else:
+                out += batch(group)
         return out
 
+    marks: dict[str, bytes] = {}
+
+    def encode(texts: list[str], known: dict[str, bytes]) -> list[bytes]:
+        # A word, marks and the first word of a next line are pieces of their own; many of the words are known.
+        cuts, alone, wanted = {}, {}, set()
+        for text in texts:
+            if text[:1] == " " and text[1:].isalpha():
+                wanted.add(text)
+            elif found := MARKED.fullmatch(text):
+                cuts[text] = found.groups()
+            elif text[:1] == " " and text.split() == [text[1:]]:
+                wanted.add(text)
+            else:
+                alone[text] = b""
+        alone.update(zip(alone, batch(list(alone))))
+        new = {mark for _, mark, _ in cuts.values()} - marks.keys()
+        if len(marks) + len(new) > MOST_MARKS:
+            marks.clear()
+            new = {mark for _, mark, _ in cuts.values()}
+        marks.update(zip(new, batch(list(new))))
+        words = {word for word, _, _ in cuts.values() if word[1:] not in known}
+        parts = [*(wanted | words | {line for _, _, line in cuts.values() if line})]
+        coded = dict(zip(parts, strung(parts)))
+        coded[None] = b""
+        for text, (word, mark, line) in cuts.items():
+            coded[text] = (coded.get(word) or known[word[1:]]) + marks[mark] + coded[line]
+        coded.update(alone)
+        return [coded[text] for text in texts]
+
     table = ChunkTable(encode)
     table.width = 2 if len(sizes) <= 1 << 16 else 4
     return table
