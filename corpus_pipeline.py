@@ -30,7 +30,10 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts that share 0.8 or more of their five-word shingles, the one with the smallest id."""
+    """One document of each component of texts that share 0.8 or more of their five-word shingles, the one with the smallest id.
+
+    SimHash fingerprints and BK-trees find what is nearest, a join by shared shingles what they miss.
+    """
     return similar.kept_rows(docs)
 
 

@@ -4,6 +4,7 @@ from conftest import SF
 from test_near_copies import roots
 
 import corpus_pipeline
+from tuneloom.llm import similar, simhash
 
 STAGE = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
 
@@ -50,3 +51,19 @@ def test_pairs_of_all_similarities(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
     kept = {r["doc_id"] for r in STAGE(spark, docs, SF).collect()}
     assert kept == set(linked.values())
+
+
+def test_fingerprints_and_trees_find_the_nearest(spark, monkeypatch):
+    deal = random.Random(6)
+    base = [f"w{deal.randrange(10**6)}" for _ in range(3000)]
+    texts = [" ".join(base[:n] + [f"x{n}"] + base[n + 1:]) for n in (10, 500, 1500, 2990)] + [" ".join(f"w{deal.randrange(10**6)}" for _ in range(50)) for _ in range(5)]
+    asked, search = [], similar.near_links
+    monkeypatch.setattr(similar, "near_links", lambda *given: asked.append(search(*given)) or asked[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in STAGE(spark, docs, SF).collect())
+    assert kept == [0, 4, 5, 6, 7, 8]
+    # The stage asks the trees, for fingerprints of its own shingles.
+    marks = [simhash.fingerprint_of(text, similar.WORDS) for text in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if ((marks[i] ^ marks[j]) & simhash.ALL_BITS).bit_count() <= similar.RADIUS]
+    found = [(marks.index(a), marks.index(b)) for a, b in asked[0].collect()]
+    assert len(asked) == 1 and near and roots(range(len(texts)), found) == roots(range(len(texts)), near)

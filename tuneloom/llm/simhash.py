@@ -14,7 +14,7 @@ fingerprints are one node; null ids count in no minimum; an empty table gives an
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,10 +47,13 @@ def shingle_hashes(words: list[bytes], n: int) -> Iterator[np.ndarray]:
 def fingerprint_of(text: str | None, n: int = 3) -> int:
     """The fingerprint as a signed 64-bit integer."""
     words = (text or "").encode().lower().split()  # on bytes, both know A-Z and ASCII white space only
-    if not words:
-        return 0
+    return voted(shingle_hashes(words, n)) if words else 0
+
+
+def voted(pieces: Iterable[np.ndarray]) -> int:
+    """The bits that over half the hashes have set, as a signed 64-bit integer."""
     counts, total = np.zeros(64, dtype=np.int64), 0
-    for hashes in shingle_hashes(words, n):
+    for hashes in pieces:
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         total += len(hashes)
     return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big", signed=True)

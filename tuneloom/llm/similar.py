@@ -6,9 +6,11 @@ every such pair stands in a bucket of equal shingles, and no probability is invo
 prefix only are dropped. A pair is confirmed on the whole texts, after two bounds that hold for every similar pair:
 of the sizes, and of the number of shingles that the prefixes have in common.
 
-Large groups do not meet pair by pair. In ``STARS`` rounds each bucket's members are compared with one of them
-only; then all pairs of a bucket that no link connects yet are compared. What is left out are pairs of one
-component, so components are those of all similar pairs.
+SimHash goes first: texts whose fingerprints (of the same shingles, repeats included) are equal or found within
+``RADIUS`` bits by the BK-trees meet, and what is confirmed are the first links. Fingerprints of sets of similarity 0.8
+differ in some ten bits, so the buckets find the rest. Large groups do not meet pair by pair: in ``STARS`` rounds each
+bucket's members that no link connects yet are compared with one of them only; then all such pairs of a bucket are
+compared. What is left out are pairs of one component, so components are those of all similar pairs.
 
 Defined results: fewer than five words are one shingle; texts without words are one node; equal sets are one node
 (told by 64 bits of hash); null ids count in no minimum; an empty table gives an empty result.
@@ -25,19 +27,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tuneloom.llm.common import stored
 from tuneloom.llm.components import components
-from tuneloom.llm.simhash import kept_of, shingle_hashes
+from tuneloom.llm.simhash import kept_of, near_links, shingle_hashes, voted
 
-WORDS = 5
+WORDS, RADIUS = 5, 2
 STARS = 2
 SAMPLE_ROWS, LEAST_IN_SAMPLE, MOST_FREQUENT = 2000, 10, 100_000  # only the order depends on them, not the result
 
 
+def hashes_of(text: str | None) -> list[np.ndarray]:
+    """Hashes of the shingles, repeats included, in pieces."""
+    words = (text or "").encode().lower().split()
+    return list(shingle_hashes(words, WORDS)) if words else []
+
+
+def distinct_hashes(pieces: list[np.ndarray]) -> np.ndarray:
+    """In order."""
+    return np.unique(np.concatenate([h.astype(np.uint64) for h in pieces])) if pieces else np.zeros(0, dtype=np.uint64)
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     """Distinct hashes in order."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    return np.unique(np.concatenate([h.astype(np.uint64) for h in shingle_hashes(words, WORDS)]))
+    return distinct_hashes(hashes_of(text))
 
 
 def prefix_size(n: int) -> int:
@@ -74,19 +84,20 @@ def frequent_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def prefixed(text: Column, frequent: np.ndarray) -> Column:
-    """``node, n, prefix`` of a text's shingles."""
+    """``node, n, prefix`` of a text's shingles, and their fingerprint ``fp``."""
 
-    @F.pandas_udf("node long, n int, prefix array<long>")
+    @F.pandas_udf("node long, n int, prefix array<long>, fp long")
     def prefixes(texts: pd.Series) -> pd.DataFrame:
         out = []
         for text in texts:
-            found = shingle_set(text)
+            pieces = hashes_of(text)
+            found = distinct_hashes(pieces)
             late = np.zeros(len(found), dtype=bool)
             if len(frequent):
                 late = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
             ordered = np.concatenate((found[~late], found[late]))
-            out.append((node_of(found), len(found), ordered[:prefix_size(len(found))].view(np.int64)))
-        return pd.DataFrame(out, columns=["node", "n", "prefix"])
+            out.append((node_of(found), len(found), ordered[:prefix_size(len(found))].view(np.int64), voted(pieces) if pieces else 0))
+        return pd.DataFrame(out, columns=["node", "n", "prefix", "fp"])
 
     return prefixes(text)
 
@@ -130,8 +141,19 @@ def _possible(a: str, b: str) -> Column:
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (most >= least_shared(n, m))
 
 
+def fingerprint_pairs(marked: DataFrame) -> DataFrame:
+    """Nodes ``a, b`` that SimHash takes for near copies: a fingerprint's first node and each of its others, and the first ones of two near fingerprints."""
+    nodes = stored(marked.select("fp", "node").distinct(), "similar-fingerprints")
+    first = stored(nodes.groupBy("fp").agg(F.min("node").alias("first")), "similar-first")
+    equal = nodes.join(first, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = near_links(first.select("fp"), RADIUS).withColumnsRenamed({"a": "fp_a", "b": "fp_b"})
+    for x in "ab":
+        near = near.join(first.select(F.col("fp").alias(f"fp_{x}"), F.col("first").alias(x)), f"fp_{x}")
+    return equal.unionByName(near.select("a", "b"))
+
+
 def similar_links(marked: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links ``a, b`` whose components are those of all similar nodes; ``marked`` has ``rid, node, n, prefix``, ``docs`` has ``rid, text``."""
+    """Links ``a, b`` whose components are those of all similar nodes; ``marked`` has ``rid, node, n, prefix, fp``, ``docs`` has ``rid, text``."""
     tokens = marked.select("node", "n", F.explode("prefix").alias("token"))
     several = tokens.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("token")
     shared = stored(tokens.join(several, "token", "left_semi").distinct(), "similar-shared")
@@ -140,7 +162,7 @@ def similar_links(marked: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = marked.join(held.select("node"), "node", "left_semi").groupBy("node").agg(F.min("rid").alias("rid"))
     texts = stored(docs.join(wanted, "rid").select("node", "text").dropDuplicates(["node"]), "similar-texts")
 
-    links = tested = None
+    links, tested = _more(fingerprint_pairs(marked), None, None, held, texts)
     for star in range(STARS):
         named = _rooted(rows, links)
         lead = named.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(star), "member.node").alias("deal"), "member", "root")).alias("lead"))
@@ -157,9 +179,7 @@ def similar_links(marked: DataFrame, docs: DataFrame) -> DataFrame:
     return _more(met.select(F.col("lead.node").alias("a"), F.col("member.node").alias("b")), links, tested, held, texts)[0]
 
 
-def _rooted(rows: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
-        return rows.withColumn("root", F.col("member.node"))
+def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
     roots = components(links)
     return rows.join(roots, F.col("member.node") == F.col("node"), "left").select("token", "member", F.coalesce("root", "member.node").alias("root"))
 
