@@ -24,3 +24,9 @@ def test_stand_ins_alone(written, meant):
     counts = np.zeros((toxicity.SYMBOLS,) * 3)
     np.add.at(counts, (s[:-2], s[1:-1], s[2:]), 1)
     assert toxicity.Restorer(toxicity.CharModel(counts)).restore(written) == meant
+
+
+def test_a_worker_holds_a_word_once():
+    restorer = toxicity.Restorer(toxicity.CharModel(np.ones((toxicity.SYMBOLS,) * 3)), 0)
+    assert restorer.reading("word,") == ["word"] and not restorer._readings
+    assert toxicity.Restorer(toxicity.CharModel(np.ones((toxicity.SYMBOLS,) * 3))).reading("word,") == ["word"]

@@ -25,6 +25,7 @@ from tuneloom.llm.chunks import LETTERS, ChunkTable
 from tuneloom.llm.common import worker_state
 
 NO_PAIR = 1 << 62
+MOST_CHUNKS = 150_000  # the ranks, their hash table and the decoder stand in a worker's memory, too
 #: A space, letters of the Latin blocks and one mark, which the patterns of public vocabularies take as two matches (and the word alone as one).
 PLAIN_WORD = re.compile(f" {LETTERS}+[.,;:!?]")
 
@@ -212,7 +213,7 @@ def encoder(ranks: dict[bytes, int], pattern: str) -> ChunkTable:
         find = ids.__getitem__
         return [find(text) if text in alone else b"".join(map(find, pieces[text])) for text in texts]
 
-    return ChunkTable(encode)
+    return ChunkTable(encode, MOST_CHUNKS)
 
 
 DECODED_AT_ONCE = 1 << 20  # ids; a longer row is decoded in parts

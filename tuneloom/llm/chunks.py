@@ -39,11 +39,11 @@ class ChunkTable:
     """Encoded ids (little-endian unsigned 32-bit) by chunk.
 
     ``encode(texts, known)`` turns texts into their ids; ``known`` has the ids of the chunks of the table, under the
-    text that follows their space.
+    text that follows their space. Either half of the table holds ``most`` entries.
     """
 
-    def __init__(self, encode: Callable[[list[str], dict[str, bytes]], list[bytes]]):
-        self._encode = encode
+    def __init__(self, encode: Callable[[list[str], dict[str, bytes]], list[bytes]], most: int = MOST_ENTRIES):
+        self._encode, self._most = encode, most
         self._recent: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
@@ -52,7 +52,7 @@ class ChunkTable:
         firsts = [chunks.pop(0) for chunks in cuts]
         wanted = set().union(*cuts)
         missing = wanted.difference(self._recent)
-        if len(self._recent) + len(missing) > MOST_ENTRIES:
+        if len(self._recent) + len(missing) > self._most:
             self._recent, self._older = {}, self._recent
             missing = wanted
         table, older = self._recent, self._older

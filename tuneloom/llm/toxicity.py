@@ -70,6 +70,7 @@ def trigram_counts(texts: Column, docs: DataFrame) -> np.ndarray:
     """Counts of symbol trigrams over all rows; the table's size is fixed, whatever the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("trigrams",))  # what an earlier step kept goes
         total, pieces, held = np.zeros(SYMBOLS**3, dtype=np.int64), [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -78,7 +79,7 @@ def trigram_counts(texts: Column, docs: DataFrame) -> np.ndarray:
                     codes = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
                     pieces.append(codes)
                     held += len(codes)
-                if held > 1 << 22:
+                if held > 1 << 19:
                     total += np.bincount(np.concatenate(pieces), minlength=SYMBOLS**3)
                     pieces, held = [], 0
         if pieces:
@@ -175,8 +176,8 @@ def stand_ins_only(word: str) -> bool:
 class Restorer:
     """Words of texts as they were meant, with the readings of recent words at hand."""
 
-    def __init__(self, model: CharModel):
-        self._model = model
+    def __init__(self, model: CharModel, most_held: int = MOST_WORDS_HELD):
+        self._model, self._most = model, most_held
         self._readings: dict[str, list[str]] = {}
 
     def reading(self, word: str) -> list[str]:
@@ -187,9 +188,9 @@ class Restorer:
                 known = [plain]
             else:
                 known = self._model.decode(word).split() if doubtful(word) else self._without_letters(plain) if plain else []
-            if len(self._readings) >= MOST_WORDS_HELD:
+            if len(self._readings) >= self._most:
                 self._readings.clear()
-            if len(word) <= 64:
+            if len(word) <= 64 and self._most:
                 self._readings[word] = known
         return known
 
@@ -234,7 +235,8 @@ class ToxicityModel:
             state = worker_state(("toxicity", key))
             if not state:
                 counts, weights = shared.value
-                state.update(restorer=Restorer(CharModel(counts)), weights=weights, held={})
+                # The weights of words are held, so their readings needn't be.
+                state.update(restorer=Restorer(CharModel(counts), 0), weights=weights, held={})
             restorer, weights, held = state["restorer"], state["weights"], state["held"]
 
             def weigh(word: str) -> float:
@@ -270,6 +272,7 @@ def _feature_counts(texts: DataFrame, counts: np.ndarray) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(counts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("features",))
         restorer = None
         for batch in batches:
             restorer = restorer or Restorer(CharModel(shared.value))
