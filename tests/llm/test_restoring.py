@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from test_search_and_scores import restorer
 
