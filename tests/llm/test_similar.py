@@ -1,6 +1,7 @@
 import random
 
 from conftest import SF
+from pyspark.sql import functions as F
 from test_near_copies import roots
 
 import corpus_pipeline
@@ -67,3 +68,33 @@ def test_fingerprints_and_trees_find_the_nearest(spark, monkeypatch):
     near = [(i, j) for i in range(len(texts)) for j in range(i) if ((marks[i] ^ marks[j]) & simhash.ALL_BITS).bit_count() <= similar.RADIUS]
     found = [(marks.index(a), marks.index(b)) for a, b in asked[0].collect()]
     assert len(asked) == 1 and near and roots(range(len(texts)), found) == roots(range(len(texts)), near)
+
+
+def test_ranges_of_components_rule_out_no_possible_pair(spark):
+    deal = random.Random(8)
+    members = []
+    for root in range(120):
+        base = deal.randrange(1, 600)
+        for _ in range(deal.choice([1, 1, 1, 3])):
+            n = max(1, base * deal.randrange(80, 125) // 100)
+            members.append((root, n, deal.randint(1, similar.prefix_size(n))))
+    rows = spark.createDataFrame(members, "root long, n int, repeated int")
+    ranges = rows.groupBy("root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("repeated").alias("repeated"))
+    met = rows.alias("a").crossJoin(rows.alias("b")).filter("a.root < b.root").filter(similar._possible("a", "b"))
+    possible = {tuple(r) for r in met.select("a.root", F.col("b.root").alias("other")).collect()}
+    both = ranges.alias("x").crossJoin(ranges.alias("y")).filter("x.root < y.root")
+    allowed = {tuple(r) for r in both.filter(similar._ranges_allow("x", "y")).select("x.root", F.col("y.root").alias("other")).collect()}
+    assert possible and possible <= allowed and len(allowed) < both.count() / 2
+
+
+def test_tables_of_the_stage_go(spark, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        docs = spark.createDataFrame(list(enumerate(planted())), "doc_id long, text string")
+        assert STAGE(spark, docs, SF).count() < docs.count()
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
+    left = {path.name.rpartition("-")[0] for path in tmp_path.iterdir()}
+    # Prefixes, texts and buckets, all that grows with the words.
+    assert "similar-nodes" in left and not left & {"similar", "similar-shared", "similar-held", "similar-rows", "similar-texts", "similar-rooted", "similar-roots"}

@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tuneloom.llm.common import stored
+from tuneloom.llm.common import discard, stored
 from tuneloom.llm.components import components
 from tuneloom.llm.simhash import kept_of, near_links, shingle_hashes, voted
 
@@ -113,11 +113,15 @@ def least_shared(n: Column, m: Column) -> Column:
     return F.greatest(F.least(*own), F.lit(1))
 
 
-def _confirmed(pairs: DataFrame, held: DataFrame, texts: DataFrame) -> DataFrame:
-    """The similar ones of the pairs ``a, b``."""
+def _likely(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose prefixes have as many shingles in common as similar ones have."""
     sides = [held.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"shared_{x}")) for x in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
-    likely = both.filter(F.size(F.array_intersect("shared_a", "shared_b")) >= least_shared(F.col("n_a"), F.col("n_b"))).select("a", "b")
+    return both.filter(F.size(F.array_intersect("shared_a", "shared_b")) >= least_shared(F.col("n_a"), F.col("n_b"))).select("a", "b")
+
+
+def _confirmed(likely: DataFrame, texts: DataFrame) -> DataFrame:
+    """The similar ones of the pairs ``a, b``."""
     for x in "ab":
         likely = likely.join(texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")), x)
 
@@ -141,6 +145,15 @@ def _possible(a: str, b: str) -> Column:
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (most >= least_shared(n, m))
 
 
+def _ranges_allow(x: str, y: str) -> Column:
+    """Whether two components in a bucket can have members for which ``_possible`` holds, by the ranges ``low, high, repeated`` of theirs."""
+    low, high = ([F.col(f"{side}.{name}") for side in (x, y)] for name in ("low", "high"))
+    sizes = (5 * high[0] >= 4 * low[1]) & (5 * high[1] >= 4 * low[0])
+    # ``least_shared`` without its rounding: less, the larger the one set and the smaller the other is.
+    least = F.least(*[(large + small) * 4 / F.lit(9.0) - large * 4 / F.lit(5.0) for large, small in ((high[0], low[1]), (high[1], low[0]))])
+    return sizes & (F.least(F.col(f"{x}.repeated"), F.col(f"{y}.repeated")) >= least - 1e-6)
+
+
 def fingerprint_pairs(marked: DataFrame) -> DataFrame:
     """Nodes ``a, b`` that SimHash takes for near copies: a fingerprint's first node and each of its others, and the first ones of two near fingerprints."""
     nodes = stored(marked.select("fp", "node").distinct(), "similar-fingerprints")
@@ -153,16 +166,19 @@ def fingerprint_pairs(marked: DataFrame) -> DataFrame:
 
 
 def similar_links(marked: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links ``a, b`` whose components are those of all similar nodes; ``marked`` has ``rid, node, n, prefix, fp``, ``docs`` has ``rid, text``."""
+    """Links ``a, b`` whose components are those of all similar nodes; ``marked``, a stored table that goes, has ``rid, node, n, prefix, fp``, ``docs`` has ``rid, text``."""
     tokens = marked.select("node", "n", F.explode("prefix").alias("token"))
     several = tokens.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("token")
     shared = stored(tokens.join(several, "token", "left_semi").distinct(), "similar-shared")
     held = stored(shared.groupBy("node", "n").agg(F.collect_list("token").alias("shared")), "similar-held")
-    rows = stored(held.select(F.struct("node", "n", F.size("shared").alias("repeated")).alias("member"), F.explode("shared").alias("token")), "similar-rows")
+    discard(shared)
+    rows = held.select(F.struct("node", "n", F.size("shared").alias("repeated")).alias("member"), F.explode("shared").alias("token"))
     wanted = marked.join(held.select("node"), "node", "left_semi").groupBy("node").agg(F.min("rid").alias("rid"))
-    texts = stored(docs.join(wanted, "rid").select("node", "text").dropDuplicates(["node"]), "similar-texts")
+    # Rows that agree in id and text stand in one partition by the join.
+    texts = stored(docs.join(wanted, "rid").dropDuplicates(["rid", "node"]).select("node", "text"), "similar-texts")
 
     links, tested = _more(fingerprint_pairs(marked), None, None, held, texts)
+    discard(marked)
     for star in range(STARS):
         named = _rooted(rows, links)
         lead = named.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(star), "member.node").alias("deal"), "member", "root")).alias("lead"))
@@ -170,13 +186,24 @@ def similar_links(marked: DataFrame, docs: DataFrame) -> DataFrame:
         met = named.join(lead, "token").filter(F.col("root") != F.col("lead_root")).filter(_possible("lead", "member"))
         links, tested = _more(met.select(F.col("lead.node").alias("a"), F.col("member.node").alias("b")), links, tested, held, texts)
     named = stored(_rooted(rows, links), "similar-rooted")
-    sorts = stored(named.select("token", "root").distinct(), "similar-roots")
+    discard(held)
+    ranges = (F.min("member.n").alias("low"), F.max("member.n").alias("high"), F.max("member.repeated").alias("repeated"))
+    sorts = stored(named.groupBy("token", "root").agg(*ranges), "similar-roots")
     mixed = sorts.groupBy("token").count().filter("count > 1").select("token")
-    sorts = sorts.join(mixed, "token", "left_semi")
-    apart = sorts.join(sorts.withColumnRenamed("root", "other"), "token").filter("root < other")
+    several = sorts.join(mixed, "token", "left_semi")
+    # Most components of a bucket are ruled out in this join, before anything of a pair is shuffled.
+    apart = several.alias("x").join(several.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & _ranges_allow("x", "y"))
+    apart = apart.select("x.token", "x.root", F.col("y.root").alias("other"))
     met = apart.join(named, ["token", "root"]).join(named.select("token", F.col("member").alias("lead"), F.col("root").alias("other")), ["token", "other"])
     met = met.filter(_possible("lead", "member"))
-    return _more(met.select(F.col("lead.node").alias("a"), F.col("member.node").alias("b")), links, tested, held, texts)[0]
+    # Two nodes of different components meet once for every shingle that their prefixes have in common.
+    ends, need = (F.col("lead.node"), F.col("member.node")), least_shared(F.col("lead.n"), F.col("member.n"))
+    met = met.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"), need.alias("need"))
+    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.max("need").alias("need")).filter("common >= need")
+    likely = stored(met.select("a", "b").join(tested, ["a", "b"], "left_anti"), "similar-pairs")
+    links = links.unionByName(stored(_confirmed(likely, texts), "similar-links"))
+    discard(named, sorts, likely, texts)
+    return links
 
 
 def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -190,7 +217,7 @@ def _more(met: DataFrame, links: DataFrame | None, tested: DataFrame | None, hel
     if tested is not None:
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
     pairs = stored(pairs, "similar-pairs")
-    found = stored(_confirmed(pairs, held, texts), "similar-links")
+    found = stored(_confirmed(_likely(pairs, held), texts), "similar-links")
     return (found, pairs) if links is None else (links.unionByName(found), tested.unionByName(pairs))
 
 
@@ -200,5 +227,6 @@ def kept_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     frequent = frequent_shingles(rows.select("text"))
     marked = rows.select("doc_id", "rid", prefixed(F.col("text"), frequent).alias("p")).select("doc_id", "rid", "p.*")
     marked = stored(marked, "similar")
+    nodes = stored(marked.select("doc_id", F.col("node").alias("fp")), "similar-nodes")
     links = similar_links(marked, rows.select("rid", "text"))
-    return kept_of(docs, marked.select("doc_id", F.col("node").alias("fp")), links, node, text, doc_id)
+    return kept_of(docs, nodes, links, node, text, doc_id)
