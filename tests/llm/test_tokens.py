@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tuneloom.llm import bpe, records
-from tuneloom.llm.chunks import cut
+from tuneloom.llm.chunks import _cuts, cut
 from tuneloom.llm.queries import byte_bpe, queries
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -58,6 +58,25 @@ def test_chunks_join_to_the_text(text):
     assert " ".join(cut(text)) == text
 
 
+@settings(deadline=None)
+@given(st.lists(st.text(alphabet=" \n\taé\u3000\x1c", max_size=12), min_size=1, max_size=6))
+def test_chunks_of_many_texts_at_once(texts):
+    assert _cuts(texts).to_pylist() == [cut(text) for text in texts]
+
+
+def test_looks_up_a_chunk_once_for_all_texts_of_a_call(tables):
+    class Counted(dict):
+        def __getitem__(self, key):
+            looked.append(key)
+            return dict.__getitem__(self, key)
+
+    looked, table = [], records.library_table(LIBRARY)
+    table._recent = Counted()
+    texts = ["the word  the\nword and the word"] * 50 + ["and the", "", "the"]
+    assert [ids(data) for data in table.texts(texts)] == [tables[3].encode(text, add_special_tokens=False).ids for text in texts]
+    assert len(looked) == len(set(looked)) > 3
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.binary(min_size=1, max_size=90))
 def test_forest_and_tree_agree(tables, piece):

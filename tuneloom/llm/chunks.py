@@ -12,6 +12,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import compress
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BLANK_THEN_SPACE = re.compile(r"\s ")
 LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"  # of the Latin blocks
@@ -48,9 +53,18 @@ class ChunkTable:
         self._older: dict[str, bytes] = {}
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        cuts = [cut(text) for text in texts]
-        firsts = [chunks.pop(0) for chunks in cuts]
-        wanted = set().union(*cuts)
+        if not texts:
+            return []
+        chunks = _cuts(texts)
+        edges = chunks.offsets.to_numpy().astype(np.int64)
+        coded = chunks.flatten().dictionary_encode()
+        names, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        edges -= edges[0]
+        # A text's first chunk has no space before it; the others are looked up once for all texts.
+        firsts = [names[i] for i in at[edges[:-1]].tolist()]
+        at[edges[:-1]] = np.arange(len(names), len(names) + len(texts))
+        later = np.bincount(at, minlength=len(names))[:len(names)] > 0
+        wanted = set(compress(names, later.tolist()))
         missing = wanted.difference(self._recent)
         if len(self._recent) + len(missing) > self._most:
             self._recent, self._older = {}, self._recent
@@ -60,11 +74,25 @@ class ChunkTable:
             back = missing.intersection(older)
             table.update(zip(back, map(older.__getitem__, back)))
             missing -= back
-        names = list(missing)
-        table.update(zip(names, self._encode([" " + name for name in names], table)))
-        find = table.__getitem__
-        found = [first + b"".join(map(find, chunks)) for first, chunks in zip(self._encode(firsts, table), cuts)]
-        for name in names:
+        new = list(missing)
+        table.update(zip(new, self._encode([" " + name for name in new], table)))
+        rows = [table[name] if has else b"" for name, has in zip(names, later.tolist())] + self._encode(firsts, table)
+        for name in new:
             if len(name) > MOST_CHARS:
                 del table[name]
-        return found
+        joined = pa.array(rows, pa.large_binary()).take(pa.array(at))
+        _, starts, data = joined.buffers()
+        bounds = np.frombuffer(starts, dtype=np.int64)[edges].tolist()
+        whole = memoryview(data) if data is not None else memoryview(b"")
+        return [bytes(whole[a:b]) for a, b in zip(bounds, bounds[1:])]
+
+
+def _cuts(texts: list[str]) -> pa.Array:
+    """A list of each text's chunks, as ``cut`` makes them."""
+    rows = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    odd = [i for i, text in enumerate(texts) if BLANK_THEN_SPACE.search(text)]
+    if odd:
+        order = np.arange(len(texts))
+        order[odd] = np.arange(len(texts), len(texts) + len(odd))
+        rows = pa.concat_arrays([rows, pa.array([cut(texts[i]) for i in odd], rows.type)]).take(pa.array(order))
+    return rows

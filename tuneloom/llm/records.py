@@ -32,6 +32,8 @@ from tuneloom.llm.common import worker_state
 MASK_DELTA = 0xA282EAD8
 #: A space, letters of the Latin blocks, marks, and letters of a next line: where one meets another, byte-level patterns begin a new piece.
 MARKED = re.compile(f"( {LETTERS}+)([!-/:-@\\[-`{{-~]+)(\n{LETTERS}+)?")
+#: A space and letters that stand for themselves in a byte-level vocabulary: one piece of the pattern.
+LATIN_WORD = re.compile(" [A-Za-z]+")
 MOST_MARKS = 10_000
 INDEX_SCHEMA = "doc_id {kind}, part int, file string, offset long, bytes long, n_tokens long, before long, width int"
 
@@ -72,11 +74,14 @@ def qualified(spark: SparkSession, path: str) -> str:
 def library_table(tokenizer_path: str) -> ChunkTable:
     """Encodes chunks with the tokenizers library, many per call."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    if hasattr(tokenizer.model, "_resize_cache"):
-        tokenizer.model._resize_cache(0)  # the chunk table is the cache; a second one only costs
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tokenizer, plain = Tokenizer.from_file(tokenizer_path), Tokenizer.from_file(tokenizer_path)
+    for one in (tokenizer, plain):
+        if hasattr(one.model, "_resize_cache"):
+            one.model._resize_cache(0)  # the chunk table is the cache; a second one only costs
+    # Takes pieces that are known to be whole, in the characters that stand for their bytes.
+    plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
     vocabulary = tokenizer.get_vocab(with_added_tokens=False)
     sizes = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True) + 1, dtype=np.int64)
     for token, at in vocabulary.items():
@@ -88,11 +93,14 @@ def library_table(tokenizer_path: str) -> ChunkTable:
         found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(one.ids, dtype="<u4").tobytes() for one in found]
 
-    def strung(texts: list[str]) -> list[bytes]:
-        """Ids of texts that begin with a blank and have no other: strung together they stay apart."""
+    def strung(texts: list[str], words: bool = False) -> list[bytes]:
+        """Ids of texts that begin with a blank and have no other: strung together they stay apart. ``words`` are one piece each."""
         out: list[bytes] = []
         groups = [texts[start:start + 256] for start in range(0, len(texts), 256)]
-        for group, joined in zip(groups, tokenizer.encode_batch_fast(["".join(group) for group in groups], add_special_tokens=False)):
+        lines = ["".join(group) for group in groups]
+        if words:
+            lines = [line.replace(" ", " \u0120") for line in lines]
+        for group, joined in zip(groups, (plain if words else tokenizer).encode_batch_fast(lines, add_special_tokens=False)):
             ids = np.array(joined.ids, dtype="<u4")
             ends = np.cumsum(sizes[ids])
             edges = np.cumsum([len(text) if text.isascii() else len(text.encode()) for text in group])
@@ -108,9 +116,11 @@ def library_table(tokenizer_path: str) -> ChunkTable:
 
     def encode(texts: list[str], known: dict[str, bytes]) -> list[bytes]:
         # A word, marks and the first word of a next line are pieces of their own; many of the words are known.
-        cuts, alone, wanted = {}, {}, set()
+        cuts, alone, wanted, latin = {}, {}, set(), set()
         for text in texts:
-            if text[:1] == " " and text[1:].isalpha():
+            if LATIN_WORD.fullmatch(text):
+                latin.add(text)
+            elif text[:1] == " " and text[1:].isalpha():
                 wanted.add(text)
             elif found := MARKED.fullmatch(text):
                 cuts[text] = found.groups()
@@ -124,9 +134,11 @@ def library_table(tokenizer_path: str) -> ChunkTable:
             marks.clear()
             new = {mark for _, mark, _ in cuts.values()}
         marks.update(zip(new, batch(list(new))))
-        words = {word for word, _, _ in cuts.values() if word[1:] not in known}
-        parts = [*(wanted | words | {line for _, _, line in cuts.values() if line})]
-        coded = dict(zip(parts, strung(parts)))
+        for part in {word for word, _, _ in cuts.values() if word[1:] not in known}.union(line for _, _, line in cuts.values() if line):
+            (latin if LATIN_WORD.fullmatch(part) else wanted).add(part)
+        coded = {}
+        for some, words in ((list(latin), True), (list(wanted), False)):
+            coded.update(zip(some, strung(some, words)))
         coded[None] = b""
         for text, (word, mark, line) in cuts.items():
             coded[text] = (coded.get(word) or known[word[1:]]) + marks[mark] + coded[line]
@@ -142,7 +154,7 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     """Encode ``docs`` into record files below ``path``, in ascending order of ``doc_id``, and index them."""
     kind = docs.schema[doc_id].dataType.simpleString()
     end = struct.pack("<I", end_id)
-    root, rows = f"{qualified(docs.sparkSession, path)}/records", 512
+    root, rows = f"{qualified(docs.sparkSession, path)}/records", 1024
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
