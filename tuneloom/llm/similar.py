@@ -191,7 +191,7 @@ def similar_links(marked: DataFrame, docs: DataFrame) -> DataFrame:
     sorts = stored(named.groupBy("token", "root").agg(*ranges), "similar-roots")
     mixed = sorts.groupBy("token").count().filter("count > 1").select("token")
     several = sorts.join(mixed, "token", "left_semi")
-    # Most components of a bucket are ruled out in this join, before anything of a pair is shuffled.
+    # What sizes and shared shingles forbid is ruled out in this join, before anything of a pair is shuffled.
     apart = several.alias("x").join(several.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & _ranges_allow("x", "y"))
     apart = apart.select("x.token", "x.root", F.col("y.root").alias("other"))
     met = apart.join(named, ["token", "root"]).join(named.select("token", F.col("member").alias("lead"), F.col("root").alias("other")), ["token", "other"])
