@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from test_near_copies import roots
 
 import corpus_pipeline
+from tuneloom import session
 from tuneloom.llm import similar, simhash
 
 STAGE = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
@@ -87,14 +88,10 @@ def test_ranges_of_components_rule_out_no_possible_pair(spark):
     assert possible and possible <= allowed and len(allowed) < both.count() / 2
 
 
-def test_tables_of_the_stage_go(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        docs = spark.createDataFrame(list(enumerate(planted())), "doc_id long, text string")
-        assert STAGE(spark, docs, SF).count() < docs.count()
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+def test_tables_of_the_stage_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    docs = spark.createDataFrame(list(enumerate(planted())), "doc_id long, text string")
+    assert STAGE(spark, docs, SF).count() < docs.count()
     left = {path.name.rpartition("-")[0] for path in tmp_path.iterdir()}
     # Prefixes, texts and buckets, all that grows with the words.
     assert "similar-nodes" in left and not left & {"similar", "similar-shared", "similar-held", "similar-rows", "similar-texts", "similar-rooted", "similar-roots"}
